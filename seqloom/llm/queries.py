@@ -1,7 +1,11 @@
 """Queries of this subpackage: one for each operator, over its whole table."""
-from . import op5_neardup
+from . import op1_decontam, op5_neardup, op7_langid, op8_tokencount, op10_tokenids
 
 QUERIES = {
+    "op1_decontam": op1_decontam.query,
     "op5_neardup": op5_neardup.query,
+    "op7_langid": op7_langid.query,
+    "op8_tokencount": op8_tokencount.query,
+    "op10_tokenids": op10_tokenids.query,
 }
 ORACLES: dict[str, str] = {}
