@@ -10,9 +10,9 @@ time is below the largest component so far, so the work is about n + m ln m poin
 log2(w) processes a shingle.
 
 Steps: (1) texts with the same word sequence collapse to one representative; (2) signatures of
-representatives are cut in bands; (3) in every band bucket each member is paired with the
-bucket's first and last representative, and these pairs are verified by exact weighted Jaccard;
-(4) pairs of one bucket that the links so far leave in different classes are compared too, in
+representatives are cut in bands; (3) each is paired with the smallest of its bucket mates, then,
+where the classes still differ, with the first and last of each of its buckets, and these pairs
+are verified by exact weighted Jaccard; (4) pairs of one bucket that the links so far leave in different classes are compared too, in
 blocks of bounded size, so no link that the bands propose is lost; (5) classes are connected
 components.
 
@@ -142,19 +142,7 @@ def _hash_pair(h: np.ndarray, first: np.ndarray):
     return out[0], out[1], cnt
 
 
-KEY_SCHEMA = "id long, key_a long, key_b long, words long"
-
-
-def _keys(batches):
-    for batch in batches:
-        ids = batch.column(0)
-        for i, j, data, offs in text_chunks(batch.column(1)):
-            h, _, _, first = word_hashes(data, offs)
-            a, b, cnt = _hash_pair(h, first)
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(cnt)], ["id", "key_a", "key_b", "words"])
-
-
-SIG_SCHEMA = "id long, bands array<long>, sig binary, total long"
+SIG_SCHEMA = "id long, key_a long, key_b long, words long, bands array<long>, sig binary, total long"
 
 
 def _signed(batches):
@@ -162,27 +150,62 @@ def _signed(batches):
         ids = batch.column(0)
         for i, j, data, offs in text_chunks(batch.column(1), 1_000_000):
             h, _, _, first = word_hashes(data, offs)
+            a, b, cnt = _hash_pair(h, first)
             bh, bw, bo = bags(*shingles(h, first))
             sig = signatures(bh, bw, bo)
             acc = np.zeros((j - i, BANDS), np.uint64)
             for r in range(ROWS):
                 acc = mix(acc + sig[:, r::ROWS][:, :BANDS] * _GOLD + _BAND_SEED)
-            small = (sig >> np.uint64(32)).astype(np.uint32)
+            small = (sig >> np.uint64(56)).astype(np.uint8)  # 8 bits each: chance agreement 1/256
             total = np.add.reduceat(np.append(bw, 0), np.minimum(bo[:-1], len(bw))) * (np.diff(bo) > 0)
             flat = pa.array(acc.view(np.int64).ravel())
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * BANDS + 1, BANDS, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), bands, pa.array([x.tobytes() for x in small], pa.binary()), pa.array(total.astype(np.int64))], ["id", "bands", "sig", "total"])
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(i, j - i), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(cnt), bands, pa.array([x.tobytes() for x in small], pa.binary()), pa.array(total.astype(np.int64))],
+                ["id", "key_a", "key_b", "words", "bands", "sig", "total"],
+            )
 
 
-def _packed(batches):
-    for batch in batches:
-        ids = batch.column(0)
-        for i, j, data, offs in text_chunks(batch.column(1)):
-            h, _, _, first = word_hashes(data, offs)
-            bh, bw, bo = bags(*shingles(h, first))
-            w = bw.astype(np.int32)
-            bag = [bh[a:b].tobytes() + w[a:b].tobytes() for a, b in zip(bo[:-1], bo[1:])]
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(bag, pa.binary())], ["id", "bag"])
+def _packer(wanted: np.ndarray):
+    """Bags of the texts whose id may be wanted."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            spot = _spot(ids.to_numpy())
+            batch = batch.filter(pa.array((wanted[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1))
+            ids = batch.column(0)
+            for i, j, data, offs in text_chunks(batch.column(1)):
+                h, _, _, first = word_hashes(data, offs)
+                bh, bw, bo = bags(*shingles(h, first))
+                w = bw.astype(np.int32)
+                bag = [bh[a:b].tobytes() + w[a:b].tobytes() for a, b in zip(bo[:-1], bo[1:])]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(bag, pa.binary())], ["id", "bag"])
+
+    return run
+
+
+#: Bits of the filter of wanted ids: 4 MB, whatever the input.
+FILTER_BITS = 25
+
+
+def _spot(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A bit map of fixed size with the hash of every id (a false hit costs work, never a row)."""
+
+    def run(batches):
+        for batch in batches:
+            spot = np.unique(_spot(batch.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(spot >> 15), pa.array(spot & 0x7FFF)], ["bucket", "bit"])
+
+    rows = ids.mapInArrow(run, "bucket long, bit long").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for bucket, bits in rows.toLocalIterator():
+        out[bucket << 12: (bucket + 1) << 12] = np.frombuffer(bits, np.uint8)
+    return out
 
 
 def _judged(batches):
@@ -198,7 +221,7 @@ def _crossed(table: pa.Table) -> pa.Table:
     blk = table["blk"].to_numpy()
     tot = table["total"].to_numpy()
     i, j = table["i"][0].as_py(), table["j"][0].as_py()
-    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, M)
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, M)
     left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
     out_a, out_b = [], []
     for x in left:
@@ -214,8 +237,11 @@ def _crossed(table: pa.Table) -> pa.Table:
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Exact similarity of id pairs (a, b): rows (a, b, similarity)."""
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    packed = stored(texts.join(need, "id", "left_semi").select("id", "text").mapInArrow(_packed, "id long, bag binary"), "bags")
+    if pairs.isEmpty():
+        return pairs.select("a", "b", F.lit(0.0).alias("similarity"))
+    need = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    wanted = texts.sparkSession.sparkContext.broadcast(_filter(need))
+    packed = stored(texts.select("id", "text").mapInArrow(lambda batches: _packer(wanted.value)(batches), "id long, bag binary"), "bags").dropDuplicates(["id"])
     return (
         pairs.join(packed.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a")
         .join(packed.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
@@ -242,28 +268,37 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "cls")
 
 
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends are not in one class yet."""
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("id").alias(side), F.col("cls").alias(f"cls_{side}")), side, "left")
+    return pairs.filter(F.coalesce("cls_a", "a") != F.coalesce("cls_b", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each distinct id: (id, class_id).
 
     Rows that repeat an id are one document, with the smallest of its texts.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    keys = stored(texts.mapInArrow(_keys, KEY_SCHEMA), "keys")
+    signed = stored(texts.mapInArrow(_signed, SIG_SCHEMA), "signatures")
     own = F.when(F.col("words") == 0, F.col("id"))  # wordless texts are never copies of each other
-    group = [F.coalesce(own, F.col("key_a")).alias("key_a"), F.coalesce(own, F.col("key_b")).alias("key_b"), "words"]
-    reps = keys.select("id", *group).groupBy("key_a", "key_b", "words").agg(F.min("id").alias("rep"))
-    member = stored(keys.select("id", *group).join(reps, ["key_a", "key_b", "words"]).groupBy("id").agg(F.min("rep").alias("rep"), F.max("words").alias("words")), "members")
-    lone = stored(member.filter("id = rep and words > 0").select("id"), "reps")
-    unique = texts.join(lone, "id", "left_semi")
-    sigs = stored(unique.mapInArrow(_signed, SIG_SCHEMA), "signatures").dropDuplicates(["id"])
-
+    keys = signed.select("id", F.coalesce(own, F.col("key_a")).alias("key_a"), F.coalesce(own, F.col("key_b")).alias("key_b"), "words")
+    reps = keys.groupBy("key_a", "key_b", "words").agg(F.min("id").alias("rep"))
+    member = stored(keys.join(reps, ["key_a", "key_b", "words"]).groupBy("id").agg(F.min("rep").alias("rep"), F.max("words").alias("words")), "members")
+    sigs = signed.join(member.filter("id = rep and words > 0").select("id"), "id", "left_semi").dropDuplicates(["id"])
     rows = sigs.select("id", F.posexplode("bands").alias("band", "value"))
     buckets = rows.groupBy("band", "value").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).filter("n > 1")
     inside = stored(rows.join(buckets, ["band", "value"]), "buckets")
-    star = inside.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.a", "p.b").filter("a < b").distinct()
-    star = stored(star, "star")
-    tested = stored(verify(star, unique), "tested")
-    links = tested.filter(F.col("similarity") >= THRESHOLD)
+
+    # First each text with the smallest of all its bucket mates, then with the ends of its buckets.
+    pairs = stored(inside.groupBy("id").agg(F.min("lo").alias("a")).filter("a < id").select("a", F.col("id").alias("b")), "pairs")
+    links = stored(verify(pairs, texts).filter(F.col("similarity") >= THRESHOLD), "verified")
+    classes = components(links)
+    ends = inside.select("lo", "hi", "id").distinct()
+    star = ends.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.a", "p.b").filter("a < b").distinct()
+    star = stored(_apart(star, classes).join(pairs, ["a", "b"], "left_anti"), "star")
+    links = stored(links.unionByName(verify(star, texts).filter(F.col("similarity") >= THRESHOLD)), "verified")
     classes = components(links)
 
     # Buckets that still hold several classes: compare the rest, block by block.
@@ -273,9 +308,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     todo = placed.join(mixed, ["band", "value"]).join(sigs.select("id", "sig", "total"), "id").withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     dealt = todo.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("band", "value", "id", "cls", "blk", "total", "sig", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
     cross = dealt.groupBy("band", "value", "i", "j").applyInArrow(_crossed, "a long, b long").distinct()
-    cross = stored(cross.join(star, ["a", "b"], "left_anti"), "cross")
-    more = verify(cross, unique).filter(F.col("similarity") >= THRESHOLD)
-    links = stored(links.unionByName(more), "all_links")
+    cross = stored(cross.join(pairs, ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti"), "cross")
+    links = stored(links.unionByName(verify(cross, texts).filter(F.col("similarity") >= THRESHOLD)), "verified")
     classes = components(links)
 
     return (
