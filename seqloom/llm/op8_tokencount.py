@@ -7,7 +7,8 @@ more than that of the prefix before the piece: all prefixes are counted in one p
 question about a truncation or a budget is a lookup, with no second encoding.
 
 No piece of the vocabulary has a space after another character (checked when it is loaded), so
-a text falls into units (spaces, then a word) whose counts add up.  The counts of all prefixes
+a text falls into units (spaces, then a word) whose counts add up.  Within a unit it is
+cut further where two neighbours stand side by side in no piece.  The counts of all prefixes
 of a unit are kept in a cache of bounded size; a text's table is its units' starts with running
 totals.  Characters outside the vocabulary fall back to one token a byte.
 
@@ -39,9 +40,17 @@ class PrefixCounter:
         for i in range(sp.get_piece_size()):
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
                 self.score[sp.id_to_piece(i).replace("▁", " ")] = sp.get_score(i)
-        self.longest = max(map(len, self.score))
-        self.additive = not any(a != " " and b == " " for p in self.score for a, b in zip(p, p[1:]))
+        #: Neighbours within some piece; two other neighbours can never be merged.
+        self.inner = {p[i:i + 2] for p in self.score for i in range(len(p) - 1)}
+        self.additive = not any(a != " " and b == " " for a, b in self.inner)
+        self.ends: dict = {}  # pieces by their characters from the last to the first
+        for p in self.score:
+            node = self.ends
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = p
         self.limit = cache
+        self.runs: dict[str, list[int]] = {}
         self.units: dict[str, bytes | array] = {}
         self.fits: dict[tuple[str, str], bool] = {}
 
@@ -64,32 +73,50 @@ class PrefixCounter:
         if ok is None:
             if len(self.fits) >= 4 * self.limit:
                 self.fits.clear()
-            ok = self.fits[(q, p)] = self._merged(q + p) == [q, p]
+            ok = self.fits[(q, p)] = self._merged(q + p) == ([q, p] if q else [p])
         return ok
 
-    def unit(self, text: str):
-        """Token counts of the prefixes of 1, 2, ... characters of one unit."""
-        known = self.units.get(text)
+    def _run(self, text: str) -> list[int]:
+        """Token counts of the prefixes of a run in which any two neighbours might be merged."""
+        known = self.runs.get(text)
         if known is not None:
             return known
-        n, score, fits = len(text), self.score, self.fits
+        n, score, fits, ends = len(text), self.score, self.fits, self.ends
         last, count = [""] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                p = text[j:i]
-                if p in score:
+            node, j = ends, i
+            while j and (node := node.get(text[j - 1])) is not None:
+                j -= 1
+                p = node.get("")
+                if p is not None:
                     q = last[j]
                     ok = fits.get((q, p))
                     if ok is None:
-                        ok = self._fits(q, p) if j else self._merged(p) == [p]
-                        fits[(q, p)] = ok
+                        ok = self._fits(q, p)
                     if ok:
                         last[i], count[i] = p, count[j] + 1
                         break
             else:
                 p = text[i - 1]
                 last[i], count[i] = p, count[i - 1] + (1 if p in score else len(p.encode()))
-        out = bytes(count[1:]) if count[n] < 256 and max(count) < 256 else array("q", count[1:])
+        if len(self.runs) >= self.limit:
+            self.runs.clear()
+        self.runs[text] = count
+        return count
+
+    def unit(self, text: str):
+        """Token counts of the prefixes of 1, 2, ... characters of one unit."""
+        known = self.units.get(text)
+        if known is not None:
+            return known
+        inner, a, count = self.inner, 0, []
+        total = 0
+        for i in range(1, len(text)):
+            if text[i - 1: i + 1] not in inner:
+                count += [total + c for c in self._run(text[a:i])[1:]]
+                total, a = count[-1], i
+        count += [total + c for c in self._run(text[a:])[1:]]
+        out = bytes(count) if max(count) < 256 else array("q", count)
         if len(self.units) >= self.limit:
             self.units.clear()
         self.units[text] = out
