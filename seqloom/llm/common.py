@@ -59,7 +59,7 @@ def write_once(path: str, data: bytes) -> None:
     fs, where = open_fs(path)
     fs.create_dir(os.path.dirname(where), recursive=True)
     part = f"{where}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(part) as f:
+    with fs.open_output_stream(part, compression=None) as f:
         f.write(data)
     fs.move(part, where)
 
