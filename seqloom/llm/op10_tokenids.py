@@ -12,9 +12,9 @@ of the rank table; then u32 ids by rank, i64 document ids, u64 document lengths,
 offsets of the documents, control bytes, data bytes.
 
 The texts are encoded where they are read; only ids travel, in one shuffle to ranges of the
-document id.  A text is cut where the library's own pattern always cuts, at a single space
-between two other characters; the library encodes each distinct piece once and a cache of
-bounded size keeps the result, which equals an encoding of the whole text.
+document id.  The library encodes each distinct word of plain texts once and a cache of
+bounded size keeps the result, where its own pattern would cut the text in these words; other
+texts go through it in whole.  The ids are those of an encoding of the whole text.
 
 Defined results: a null or empty text holds the end id alone; documents without an id come
 first; documents that share an id are ordered by their ids' checksum; extra columns are ignored.
@@ -25,6 +25,7 @@ import math
 import os
 import re
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -32,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_fs, scratch_dir, stored, table, write_once
+from .common import mix, open_fs, scratch_dir, seeded, stored, table, text_chunks, write_once
 
 END_ID = 2
 #: Ids of a shard file, from which on a new one begins at the next document.
 SHARD_IDS = 2_000_000
 #: Documents of a range of ids, and the most ranges.
 RANGE_DOCS, MAX_RANGES = 2_000, 65_536
-CACHE = 600_000
+#: Pieces that a worker keeps before it starts anew.
+CACHE = 3_000_000
 MAGIC = b"RVBSHRD1"
 _HEAD = struct.Struct("<8sQQQQI")
 
@@ -63,9 +65,14 @@ def pack(ids: np.ndarray, lengths: np.ndarray):
     size = 1 + (full >= 1 << 8).astype(np.uint8) + (full >= 1 << 16) + (full >= 1 << 24)
     quad = (size - 1).reshape(-1, 4)
     control = (quad[:, 0] | quad[:, 1] << 2 | quad[:, 2] << 4 | quad[:, 3] << 6).astype(np.uint8)
-    raw = full.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = raw[np.arange(4) < size[:, None]]
     ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    data = np.zeros(ends[-1], np.uint8)
+    data[ends[:-1]] = full  # the low byte
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        data[ends[more] + k] = full[more] >> np.uint32(8 * k)
     starts = ends[np.concatenate([[0], np.cumsum(padded)[:-1]]).astype(np.int64)] if len(lengths) else np.zeros(0, np.int64)
     return order.astype("<u4"), control, data, starts.astype("<u8")
 
@@ -112,9 +119,12 @@ class Shard:
     def ids(self) -> np.ndarray:
         """All ids, documents end to end."""
         full = unpack(self.control, self.data, self.by_rank)
-        first = self.control_at[:-1] * 4
-        skip = np.repeat(first - (np.cumsum(self.lengths) - self.lengths), self.lengths)
-        return full[np.arange(self.n_ids) + skip]
+        real = np.ones(len(full), bool)
+        stop = self.control_at[1:] * 4
+        for k in (1, 2, 3):
+            pad = stop - self.control_at[:-1] * 4 - self.lengths >= k
+            real[stop[pad] - k] = False
+        return full[real]
 
     def document(self, k: int) -> np.ndarray:
         a, b = self.control_at[k], self.control_at[k + 1]
@@ -123,54 +133,168 @@ class Shard:
 
 # ------------------------------------------------------------------ encoding
 
-_ODD = re.compile(r" \s|\s |^ | $")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+# Classes of bytes: letters, digits, marks, space, line feed; the rest isn't plain.
+_LETTER, _DIGIT, _MARK, _SPACE, _FEED, _REST = range(6)
+_CLASS = np.full(256, _REST, np.uint8)
+for _b in range(33, 127):
+    _c = chr(_b)
+    _CLASS[_b] = _LETTER if _c.isalpha() else _DIGIT if _c.isdigit() else _MARK
+_CLASS[0xC3:0xCA] = _LETTER  # first bytes of U+00C0 to U+027F; two of these are no letters, see below
+_CLASS[0x80:0xC0] = _LETTER  # their second bytes
+_CLASS[32], _CLASS[10], _CLASS[39] = _SPACE, _FEED, _REST
+_HASH = seeded(64 * 256, 4242)
+
+
+def plain_pieces(data: np.ndarray, offs: np.ndarray, special: tuple[bytes, ...] = ()):
+    """Pieces of many texts, where classes of bytes tell them: (plain, hash, start, end, text).
+
+    The library's pattern takes a run of letters, digits or marks, with one space before it, as
+    a piece, and a line feed between other characters as another.  ``plain`` says for each text
+    whether it has nothing else (apostrophes, other white space or white space side by side,
+    characters beyond U+027F, special strings); the arrays hold the pieces of the plain texts only.
+    """
+    n = len(offs) - 1
+    cls = _CLASS[data]
+    first = np.zeros(len(data) + 1, bool)
+    first[offs] = True
+    first = first[:-1]
+    prev = np.concatenate([[_REST], cls[:-1]]).astype(np.uint8) if len(data) else cls
+    white, white_before = (cls == _SPACE) | (cls == _FEED), ((prev == _SPACE) | (prev == _FEED)) & ~first
+    bad = (cls == _REST) | (white & white_before)
+    lead = np.concatenate([[0], data[:-1]]) if len(data) else data
+    bad |= (lead == 0xC3) & ((data == 0x97) | (data == 0xB7))  # the signs of multiplication and division
+    tail = (data >= 0x80) & (data < 0xC0)
+    bad |= tail & ~((lead >= 0xC3) & (lead < 0xCA))  # a byte of a longer character
+    plain = np.diff(offs) > 0
+    where = np.flatnonzero(bad)
+    plain[np.searchsorted(offs, where, side="right") - 1] = False
+    raw = data.tobytes() if special else b""
+    for mark in special:
+        at = raw.find(mark)
+        while at >= 0:
+            plain[np.searchsorted(offs, at, side="right") - 1] = False
+            at = raw.find(mark, at + 1)
+    ends = offs[1:][plain] - 1
+    plain[np.flatnonzero(plain)[cls[ends] == _SPACE]] = False
+    start = first | white | ((cls != prev) & (prev != _SPACE))
+    keep = np.repeat(plain, np.diff(offs))
+    s = np.flatnonzero(start & keep)
+    if not len(s):
+        return plain, np.zeros(0, np.uint64), s, s, s
+    flat = data[keep].astype(np.int32)
+    text = np.searchsorted(offs, s, side="right") - 1
+    size = np.diff(offs) * plain
+    into = np.cumsum(size) - size  # where each text begins among the kept bytes
+    at = s - offs[text] + into[text]
+    length = np.diff(np.append(at, len(flat)))
+    pos = np.arange(len(flat), dtype=np.int32) - np.repeat(at.astype(np.int32), length)
+    val = _HASH[((pos & 63) << 8) + flat]
+    if length.max() > 64:
+        val = val * ((pos >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    h = mix(np.add.reduceat(val, at) + length.astype(np.uint64))
+    return plain, h, s, s + length, text
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned integers of ``width`` bytes."""
+    """Ids of whole texts as little-endian unsigned integers of two or four bytes.
 
-    def __init__(self, path: str):
+    The pieces of plain texts are encoded once each and kept by their 64-bit hashes (among
+    CACHE pieces two share one with a chance below 1e-6); other texts are encoded in whole.
+    """
+
+    def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.kind = "<u2" if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-
-    def _learn(self, cache: dict, missing: set, lead: str) -> None:
-        words = list(missing)
-        for w, e in zip(words, self.lib.encode_batch_fast([lead + w for w in words], add_special_tokens=False)):
-            cache[w] = np.array(e.ids, self.kind).tobytes()
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        cut = []
-        for t in texts:
-            if _ODD.search(t):
-                parts = _CUT.split(t)
-                cut.append((parts[0], [p[1:] for p in parts[1:]]))
-            else:
-                parts = t.split(" ")
-                cut.append((parts[0], parts[1:]))
-        if len(self.spaced) > CACHE:
-            self.spaced.clear()
-        if len(self.plain) > CACHE // 4:
-            self.plain.clear()
-        end, out = np.array([end_id], self.kind).tobytes(), []
-        missing: set = set()
-        for _, rest in cut:
-            missing.update(rest)
-        self._learn(self.spaced, missing.difference(self.spaced), " ")
-        self._learn(self.plain, {p for p, _ in cut}.difference(self.plain), "")
-        get = self.spaced.__getitem__
-        for p, rest in cut:
-            out.append(b"".join([self.plain[p], *map(get, rest), end]))
+        self.kind = "<u2" if max(self.lib.get_vocab().values()) < 1 << 16 else "<u4"
+        self.limit = cache
+        self.special = tuple(t.content.encode() for t in self.lib.get_added_tokens_decoder().values() if t.content)
+        feed = self.lib.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # sorted hashes, and for each its place in ``flat``
+        self.begin = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, self.kind)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Rows of hashes, -1 if unknown: a direct table first, then a search for the rest."""
+        out = np.full(len(h), -1, np.int64)
+        if len(self.known):
+            row = self.direct[(h >> np.uint64(64 - _DIRECT)).astype(np.int64)]
+            hit = self.known[row] == h
+            out[hit] = row[hit]
+            rest = np.flatnonzero(~hit)
+            at = np.minimum(np.searchsorted(self.known, h[rest]), len(self.known) - 1)
+            same = self.known[at] == h[rest]
+            out[rest[same]] = at[same]
+        return out
+
+    def _learn(self, h: np.ndarray, words: list[str]) -> None:
+        ids = np.array(self.lib.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        feeds = np.flatnonzero(ids == self.feed)
+        start, stop = np.append(0, feeds + 1), np.append(feeds, len(ids))
+        if len(start) != len(words):
+            raise ValueError("the vocabulary does not cut words as expected")
+        at = np.searchsorted(self.known, h)
+        self.known = np.insert(self.known, at, h)
+        self.begin = np.insert(self.begin, at, start + len(self.flat))
+        self.size = np.insert(self.size, at, stop - start)
+        self.flat = np.concatenate([self.flat, ids])
+        self.direct = np.zeros(1 << _DIRECT, np.int32)
+        self.direct[(self.known >> np.uint64(64 - _DIRECT)).astype(np.int64)] = np.arange(len(self.known), dtype=np.int32)
+
+    def encode(self, arr: pa.Array, end_id: int) -> list[bytes]:
+        """Ids of each text, with the end id."""
+        out: list = [None] * len(arr)
+        end = np.array([end_id], self.kind).tobytes()
+        for i, j, data, offs in text_chunks(arr, 4_000_000):
+            if self.feed is None:
+                break
+            plain, h, s, e, text = plain_pieces(data, offs, self.special)
+            if not len(h):
+                continue
+            if len(self.known) > self.limit:
+                self._forget()
+            h[(e - s == 1) & (data[s] == 10)] = _FEED_HASH
+            row = self._find(h)
+            new = np.flatnonzero(row < 0)
+            if len(new):
+                uniq, at = np.unique(h[new], return_index=True)
+                raw, at = data.tobytes(), new[at]
+                words = [raw[a:b].decode() for a, b in zip(s[at].tolist(), e[at].tolist())]
+                if uniq[0] == _FEED_HASH:  # the line feed separates words in _learn
+                    self.known = np.insert(self.known, 0, _FEED_HASH)
+                    self.begin, self.size = np.insert(self.begin, 0, len(self.flat)), np.insert(self.size, 0, 1)
+                    self.flat = np.append(self.flat, np.array([self.feed], self.kind))
+                    self.direct = np.zeros(1 << _DIRECT, np.int32)
+                    uniq, words = uniq[1:], words[1:]
+                if len(words):
+                    self._learn(uniq, words)
+                row = self._find(h)
+            size = self.size[row]
+            src = np.repeat(self.begin[row] - (np.cumsum(size) - size), size)
+            src += np.arange(len(src))
+            raw = self.flat[src].tobytes()
+            width = self.flat.itemsize
+            total = np.bincount(text, size, j - i).astype(np.int64)
+            stop = np.cumsum(total) * width
+            for k, a, b in zip(np.flatnonzero(plain).tolist(), (stop - total * width)[plain].tolist(), stop[plain].tolist()):
+                out[i + k] = raw[a:b] + end
+        whole = [i for i, x in enumerate(out) if x is None]
+        texts = arr.take(pa.array(whole, pa.int64())).to_pylist() if whole else []
+        for i, x in zip(whole, self.lib.encode_batch_fast([t or "" for t in texts], add_special_tokens=False) if whole else ()):
+            out[i] = np.array([*x.ids, end_id], self.kind).tobytes()
         return out
 
 
+_DIRECT = 21
+_FEED_HASH = np.uint64(0)
 _encoders: dict[str, Encoder] = {}
 
 
@@ -196,11 +320,11 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str) -> Dat
     def encoded(batches):
         enc = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 ids = part.column(0)
                 where = np.searchsorted(marks, ids.fill_null(-(2 ** 62)).to_numpy().astype(np.float64), side="right")
-                codes = enc.encode([t or "" for t in part.column(1).to_pylist()], end_id)
+                codes = enc.encode(part.column(1), end_id)
                 crc = pa.array([zlib.crc32(c) for c in codes], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), ids, crc, pa.array(codes, pa.binary())], ["range", "id", "crc", "ids"])
 
@@ -215,7 +339,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str) -> Dat
             if names:
                 lengths = np.array([len(c) for c in codes], np.int64) // np.dtype(kind).itemsize
                 raw = shard_bytes(np.array(names, np.int64), lengths, np.frombuffer(b"".join(codes), kind))
-                path = f"{out_dir}/{now:06d}-{seq:06d}.ids"
+                path = f"{out_dir}/{now:06d}-{seq:06d}-{uuid.uuid4().hex}.ids"  # no other attempt's name
                 write_once(path, raw)
                 found.append((now, seq, path, len(names), int(lengths.sum())))
                 seq += 1
@@ -253,7 +377,7 @@ def read_ids(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, where = open_fs(path)
-                with fs.open_input_stream(where) as f:
+                with fs.open_input_stream(where, compression=None) as f:
                     shard = Shard(f.read())
                 ids = shard.ids().astype("<u4")
                 ends = np.cumsum(shard.lengths)

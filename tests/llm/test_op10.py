@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from seqloom.llm import op10_tokenids as op
@@ -26,10 +27,12 @@ def test_codes_round_trip():
 def test_pieces_equal_whole_texts():
     lib = Tokenizer.from_file(PATH)
     r = random.Random(2)
-    bits = ["a", "Ab", " ", "  ", "\n", "\t", " \n", " ", "　", "\x1c", "\x85", "'s", "'ll", "12", ".", ",,", "é", "ß", "日", "\U0001f600", "<|endoftext|>", "​"]
+    bits = ["a", "Ab", " ", "  ", "\n", "\t", " \n", " ", "　", "\x1c", "\x85", "'s", "'ll", "12", ".", ",,", "é", "ß", "日", "\U0001f600", "<|endoftext|>", "​", "word", "wörter.", "X,", "?!", "\nNext.", "...", "'S"]
     texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(3000)]
     enc = op.Encoder(PATH)
-    for t, b in zip(texts, enc.encode(texts, 2)):
+    texts += ["a × b", "x÷y", "ɐ ɏ", "Ω", "a\u0301", "ab " * 3000, "x" * 300 + " " + "y" * 65, None]
+    for t, b in zip(texts, enc.encode(pa.array(texts), 2)):
+        t = t or ""
         assert list(np.frombuffer(b, enc.kind)) == lib.encode(t, add_special_tokens=False).ids + [2], repr(t)
 
 
