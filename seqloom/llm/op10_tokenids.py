@@ -41,7 +41,7 @@ SHARD_IDS = 2_000_000
 #: Documents of a range of ids, and the most ranges.
 RANGE_DOCS, MAX_RANGES = 2_000, 65_536
 #: Pieces that a worker keeps before it starts anew.
-CACHE = 3_000_000
+CACHE = 1_500_000
 MAGIC = b"RVBSHRD1"
 _HEAD = struct.Struct("<8sQQQQI")
 
@@ -253,7 +253,7 @@ class Encoder:
         """Ids of each text, with the end id."""
         out: list = [None] * len(arr)
         end = np.array([end_id], self.kind).tobytes()
-        for i, j, data, offs in text_chunks(arr, 4_000_000):
+        for i, j, data, offs in text_chunks(arr, 2_000_000):
             if self.feed is None:
                 break
             plain, h, s, e, text = plain_pieces(data, offs, self.special)
