@@ -13,7 +13,7 @@ Steps: (1) texts with the same word sequence collapse to one representative; (2)
 representatives are cut in bands; (3) each is paired with the smallest of its bucket mates, then,
 where the classes still differ, with the first and last of each of its buckets, and these pairs
 are verified by exact weighted Jaccard; (4) pairs of one bucket that the links so far leave in different classes are compared too, in
-blocks of bounded size, so no link that the bands propose is lost; (5) classes are connected
+blocks of bounded size that give out links only, so no link that the bands propose is lost; (5) classes are connected
 components.
 
 Defined results: null, empty or wordless texts are classes of their own; texts of fewer than
@@ -36,7 +36,7 @@ THRESHOLD = 0.8
 #: this many has a chance below 1e-5 there, and such pairs of step 4 aren't fetched for the check.
 AGREE = 80
 #: Rows that one task of step 4 compares with as many others at a time.
-BLOCK = 512
+BLOCK = 256
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BAND_SEED = seeded(BANDS, 9001)
@@ -215,33 +215,42 @@ def _judged(batches):
 
 
 def _crossed(table: pa.Table) -> pa.Table:
-    """Pairs of one block pair of a bucket whose signatures agree enough and whose classes differ."""
-    ids = table["id"].to_numpy()
-    cls = table["cls"].to_numpy()
-    blk = table["blk"].to_numpy()
-    tot = table["total"].to_numpy()
-    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    """Links between classes in one block pair of a bucket: enough of them to join the classes.
+
+    A pair that meets in several buckets is compared in the first one only.
+    """
+    ids, blk, total = (table[c].to_numpy() for c in ("id", "blk", "total"))
+    cls = table["cls"].to_numpy().copy()
+    i, j, band = (table[c][0].as_py() for c in ("i", "j", "band"))
     sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, M)
+    keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, :band]
+    bag = table["bag"].to_pylist()
     left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-    out_a, out_b = [], []
+    out = []
     for x in left:
         y = right[(cls[right] != cls[x]) & (ids[right] > ids[x] if i == j else ids[right] != ids[x])]
-        y = y[np.minimum(tot[y], tot[x]) >= THRESHOLD * np.maximum(tot[y], tot[x])]
+        y = y[np.minimum(total[y], total[x]) >= THRESHOLD * np.maximum(total[y], total[x])]
         y = y[(sig[y] == sig[x]).sum(axis=1) >= AGREE]
-        out_a.append(np.minimum(ids[y], ids[x]))
-        out_b.append(np.maximum(ids[y], ids[x]))
-    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+        y = y[~(keys[y] == keys[x]).any(axis=1)]
+        for z in y:
+            if cls[z] != cls[x] and weighted_jaccard(bag[x], bag[z]) >= THRESHOLD:
+                out.append((min(ids[x], ids[z]), max(ids[x], ids[z])))
+                cls[cls == cls[z]] = cls[x]
+    a, b = zip(*out) if out else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _bags(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, bag) of at least the texts with these ids: one scan, nothing but bags is moved."""
+    wanted = texts.sparkSession.sparkContext.broadcast(_filter(ids))
+    return stored(texts.select("id", "text").mapInArrow(lambda batches: _packer(wanted.value)(batches), "id long, bag binary"), "bags").dropDuplicates(["id"])
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Exact similarity of id pairs (a, b): rows (a, b, similarity)."""
     if pairs.isEmpty():
         return pairs.select("a", "b", F.lit(0.0).alias("similarity"))
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    wanted = texts.sparkSession.sparkContext.broadcast(_filter(need))
-    packed = stored(texts.select("id", "text").mapInArrow(lambda batches: _packer(wanted.value)(batches), "id long, bag binary"), "bags").dropDuplicates(["id"])
+    packed = _bags(pairs.select(F.explode(F.array("a", "b")).alias("id")), texts)
     return (
         pairs.join(packed.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a")
         .join(packed.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
@@ -305,12 +314,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = inside.filter("n > 2").join(classes, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
     mixed = placed.groupBy("band", "value").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).filter("c0 <> c1").select("band", "value")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    todo = placed.join(mixed, ["band", "value"]).join(sigs.select("id", "sig", "total"), "id").withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    dealt = todo.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("band", "value", "id", "cls", "blk", "total", "sig", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
-    cross = dealt.groupBy("band", "value", "i", "j").applyInArrow(_crossed, "a long, b long").distinct()
-    cross = stored(cross.join(pairs, ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti"), "cross")
-    links = stored(links.unionByName(verify(cross, texts).filter(F.col("similarity") >= THRESHOLD)), "verified")
-    classes = components(links)
+    todo = stored(placed.join(mixed, ["band", "value"]).withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")), "mixed")
+    if not todo.isEmpty():
+        bags_ = _bags(todo.select("id"), texts)
+        full = todo.join(sigs.select("id", "sig", "total", "bands"), "id").join(bags_, "id")
+        dealt = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("band", "value", "id", "cls", "blk", "total", "sig", "bands", "bag", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
+        cross = dealt.groupBy("band", "value", "i", "j").applyInArrow(_crossed, "a long, b long")
+        links = stored(links.unionByName(cross.distinct().withColumn("similarity", F.lit(THRESHOLD))), "verified")
+        classes = components(links)
 
     return (
         member.join(classes.select(F.col("id").alias("rep"), "cls"), "rep", "left")
