@@ -44,8 +44,10 @@ def words_of(text):
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def char_counts(text):
+def char_counts(text, white=None):
     known = [F.length(F.regexp_replace(text, p, "")) for p in CLASSES]
+    if white is not None:  # known already
+        known[3] = white
     return let(F.array(*known), lambda a: F.concat(a, F.array(F.length(text) - F.aggregate(a, F.lit(0), lambda s, x: s + x))))
 
 
@@ -64,20 +66,40 @@ def _repeat_words(words):
         step = lambda a, i: F.struct((a["n"] + i + 3 - F.greatest(i, a["end"])).alias("n"), (i + 3).alias("end"))
         return F.aggregate(at, start, step, lambda a: a["n"])
 
-    def count(g):
+    def sorted_all(g):
         pairs = F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-        full = let(F.sort_array(pairs), lambda s: covered(marked(s)))
-        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(full)
+        return let(F.sort_array(pairs), lambda s: covered(marked(s)))
+
+    def among(g, again):
+        at = F.transform(g, lambda h, i: F.when(F.array_contains(again, h), i).otherwise(F.lit(-1)))
+        return covered(F.filter(at, lambda i: i >= 0))
+
+    def count(g):
+        again = let(F.sort_array(g), lambda s: F.array_distinct(F.filter(s, lambda h, i: (i > 0) & (h == F.get(s, i - 1)))))
+        # a few repeated windows are looked up one by one, many by sorting with their positions
+        return let(again, lambda r: F.when(F.size(r) == 0, F.lit(0)).when(F.size(r) <= 16, among(g, r)).otherwise(sorted_all(g)))
 
     return F.when(n < 4, F.lit(0)).otherwise(let(windows, count))
 
 
+def common_counts(words, common):
+    """How often each of ``common`` stands among the words, case folded.
+
+    Words become their place in the list, 0 for others; one of each place is added, so that in
+    sorted order the first of each place tells the counts.
+    """
+    place = F.transform(F.filter(words, lambda w: F.length(w) <= 5), lambda w: F.array_position(common, F.lower(w)).cast("int"))
+    every = F.sequence(F.lit(0), F.size(common) + 1)
+    first = let(F.sort_array(F.concat(place, every)), lambda s: F.transform(F.sequence(F.lit(1), F.size(common) + 1), lambda k: F.array_position(s, k).cast("int")))
+    return let(first, lambda f: F.transform(F.slice(f, 2, F.size(common)), lambda x, i: (x - F.get(f, i) - 1).cast("double")))
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` (id, text, lang) with words and base measures."""
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("words", words_of(F.col("text"))).withColumn("lines", lines)
     return out.select(
-        "id", "text", "lang",
+        "id", "text", "lang", "words",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -118,10 +140,10 @@ def judged(docs: DataFrame) -> DataFrame:
     """``docs`` (id, text, lang) to one row each: the base measures, both distances, the verdict."""
     rows = measured(docs).join(F.broadcast(references(docs)), "lang", "left")
     share = lambda counts, n: F.transform(counts, lambda x: x / n)
-    spread = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), SPACE, "  "), F.lit(" "))
-    found = let(spread, lambda s: F.transform("common", lambda w: let(F.concat(F.lit(" "), w, F.lit(" ")), lambda k: (F.length(s) - F.length(F.replace(s, k, F.lit("")))) / F.length(k))))
+    found = common_counts(F.col("words"), F.col("common"))
     hist = let(found, lambda c: F.concat(c, F.array(F.col("n_words") - F.aggregate(c, F.lit(0.0), lambda s, x: s + x))))
-    chars = F.when(F.col("char_ref").isNotNull() & (F.col("n_words") >= MIN_CHAR_WORDS), distance(share(char_counts(F.col("text")), F.length("text")), F.col("char_ref")))
+    white = (F.length("text") - F.col("word_chars")).cast("int")
+    chars = F.when(F.col("char_ref").isNotNull() & (F.col("n_words") >= MIN_CHAR_WORDS), distance(share(char_counts(F.col("text"), white), F.length("text")), F.col("char_ref")))
     words = F.when(F.col("char_ref").isNotNull() & (F.col("n_words") >= MIN_WORD_WORDS), distance(share(hist, F.col("n_words")), F.col("word_ref")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = rows.withColumn("char_distance", chars).withColumn("word_distance", words)
