@@ -52,7 +52,7 @@ class ClusterOptions:
         ok = [
             (0 <= self.min_identity <= 1, "min-seq-id must be in [0,1]"), (0 <= self.min_coverage <= 1, "cov must be in [0,1]"),
             (self.cov_mode in (0, 1, 2, 3), "cov-mode must be 0..3"), (self.kmers_per_seq > 0, "kmer-per-seq must be > 0"),
-            (self.k is None or self.k > 0, "kmer-size must be > 0"), (0 <= self.sensitivity <= 10, "sensitivity must be in [0,10]"),
+            (self.k is None or self.k > 0, "kmer-size must be > 0"), (self.sensitivity >= 0, "sensitivity must be >= 0"),
             (self.level in LEVELS, f"cascade-level must be one of {', '.join(LEVELS)}"),
         ]
         for good, message in ok:
