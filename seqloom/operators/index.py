@@ -18,6 +18,8 @@ from ..functions.udfs import codec, fnv1a64, seed_rows
 from ..storage import stored
 
 SEGMENTS = "version int, segment_id int, db_path string, db_fingerprint long, k int, m int, seed long, n_seqs long, global_seq_base long, dbtype string, hot_df_threshold long, hot_mode string, codec string"
+SEQUENCES = "local_id long, name string, seq string, seq_len int, segment_id int"
+POSTINGS = "key long, df long, tier string, encoded binary, segment_id int"
 STATS = "version int, segment_id int, n_seqs long, n_keys long, min_key string, max_key string, df_p50 long, df_p90 long, df_max long"
 
 
@@ -65,9 +67,6 @@ class Index:
         self.spark, self.path = spark, path.rstrip("/")
 
     # -------------------------------------------------------------- tables
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
-
     def exists(self) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/segments")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
@@ -75,17 +74,17 @@ class Index:
     def segments(self) -> DataFrame:
         if not self.exists():
             raise SeqError("io", f"no index at {self.path}")
-        return self._read("segments")
+        return self.spark.read.schema(SEGMENTS).parquet(f"{self.path}/segments")
 
     def rows(self) -> list:
         """Rows of ``segments``: one for each build or update, by id."""
         return sorted(self.segments().collect(), key=lambda r: r["segment_id"])
 
     def sequences(self) -> DataFrame:
-        return self._read("sequences")
+        return self.spark.read.schema(SEQUENCES).parquet(f"{self.path}/sequences")
 
     def postings(self) -> DataFrame:
-        return self._read("postings")
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
 
     def with_global_ids(self) -> DataFrame:
         base = F.broadcast(self.segments().select("segment_id", "global_seq_base"))  # a row a segment
@@ -140,11 +139,11 @@ class Index:
         self._segment(seqs, opts, next_id, base, dbtype, db_path, "append")
         return self
 
-    def tune(self) -> DataFrame:
-        """Recount the statistics; the seed policy goes back to the general one."""
+    def tune(self, mode: str | None = None) -> DataFrame:
+        """Recount the statistics; the seed policy goes back to the general one (of ``mode``)."""
         out = stored(self.stats(), "stats")
         out.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats")
-        self.save_policy(SeedPolicy())
+        self.save_policy(SeedPolicy(mode or "fixed_k"))
         return out
 
     def stats(self) -> DataFrame:
