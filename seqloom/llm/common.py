@@ -22,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes that Spark hands a Python worker at a time (a longer single row goes whole).
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches bounded in bytes from now on in its session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which all executors share.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, open_fs, scratch_dir, seeded, stored, table, text_chunks, write_once
+from .common import mix, open_fs, scratch_dir, seeded, small_batches, stored, table, text_chunks, write_once
 
 END_ID = 2
 #: Ids of a shard file, from which on a new one begins at the next document.
@@ -360,7 +360,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str) -> Dat
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["range", "seq", "path", "n_docs", "n_ids"])
 
-    rows = docs.mapInArrow(encoded, "range int, id long, crc long, ids binary")
+    rows = small_batches(docs).mapInArrow(encoded, "range int, id long, crc long, ids binary")
     rows = rows.repartition(max(1, ranges), "range").sortWithinPartitions("range", "id", "crc")
     return stored(rows.mapInArrow(write, FILES), "shard-list")
 

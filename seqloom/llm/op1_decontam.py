@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, seeded, table, text_chunks, word_hashes
+from .common import mix, seeded, small_batches, table, text_chunks, word_hashes
 
 MAX_EDIT = 0.2
 MIN_WORDS = 5
@@ -208,7 +208,7 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``docs``: (id, text), ``benchmark``: (item_id, text).  Returns RESULT: the least edit
     distance, the item's number of words, and the first and last + 1 word of the place.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     out = None
     for ids, texts in _blocks(benchmark):
         sent = spark.sparkContext.broadcast(Items(ids, texts))

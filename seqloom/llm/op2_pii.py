@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "iban", "national_id", "email_like", "ip_like", "phone_like")
@@ -355,7 +355,7 @@ SCHEMA = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha2
 
 def find(docs: DataFrame) -> DataFrame:
     """``docs`` (id, text) to SCHEMA, one row for each row."""
-    trees = docs.sparkSession.sparkContext.broadcast(model())  # some tens of kB
+    trees = small_batches(docs).sparkSession.sparkContext.broadcast(model())  # some tens of kB
 
     def run(batches):
         m = trees.value

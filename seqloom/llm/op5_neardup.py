@@ -16,7 +16,7 @@ are verified by exact weighted Jaccard; (4) pairs of one bucket that the links s
 blocks of bounded size that give out links only, so no link that the bands propose is lost; (5) classes are connected
 components.
 
-Defined results: null, empty or wordless texts are classes of their own; texts of fewer than
+Defined results: rows without an id are left out; null, empty or wordless texts are classes of their own; texts of fewer than
 five words have one shingle (all words); repeated rows share a class; extra columns are ignored.
 The class id is the smallest doc_id of the class.
 """
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK, mix, seeded, shingles, stored, text_chunks, word_hashes
+from .common import MASK, mix, seeded, shingles, small_batches, stored, text_chunks, word_hashes
 
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows that repeat an id are one document, with the smallest of its texts.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     signed = stored(texts.mapInArrow(_signed, SIG_SCHEMA), "signatures")
     own = F.when(F.col("words") == 0, F.col("id"))  # wordless texts are never copies of each other
     keys = signed.select("id", F.coalesce(own, F.col("key_a")).alias("key_a"), F.coalesce(own, F.col("key_b")).alias("key_b"), "words")

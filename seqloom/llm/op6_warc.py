@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_fs, scratch_dir, stored, table
+from .common import open_fs, scratch_dir, small_batches, stored, table
 
 MIN_REVISIT = 0
 FILE_BYTES = 32_000_000
@@ -177,7 +177,7 @@ def write_archives(pages: DataFrame, out_dir: str) -> DataFrame:
         close()
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], ["path", "n_records"])
 
-    return stored(pages.mapInArrow(run, RAW), "raw-archives")
+    return stored(small_batches(pages).mapInArrow(run, RAW), "raw-archives")
 
 
 def _each_file(files: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_chunks
+from .common import small_batches, table, text_chunks
 
 ORDER = 3
 SAMPLE_DOCS = 600
@@ -169,7 +169,7 @@ def identify(docs: DataFrame, model: Ppm) -> DataFrame:
     """``docs`` (id, text) to (id, held_out, lang_pred, score); only the text is looked at."""
     if not model.langs:
         return docs.select("id", held_out("id").alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         ppm = sent.value

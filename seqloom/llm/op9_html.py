@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small_batches, stored, table
 
 SAMPLE = 8
 #: Tokens of a sample page that are aligned; the extractor reads all.
@@ -391,7 +391,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             text = [extract(h, json.loads(p) if p else None) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = pages.withColumn("host", host_of(F.col("url"))).join(wrappers(pages), "host", "left")
+    joined = small_batches(pages).withColumn("host", host_of(F.col("url"))).join(wrappers(pages), "host", "left")
     return joined.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
