@@ -112,7 +112,7 @@ _CUES = {
     "phone_like": ("phone", "tel", "call", "mobile", "cell", "fax", "contact"),
     "email_like": ("mail", "contact", "write"),
 }
-_COUNTER_CUES = ("version", "date", "isbn", "price", "total", "page", "part", "order", "sha", "md5", "commit", "http", "www")
+_COUNTER_CUES = re.compile(r"\b(?:version|date|isbn|price|total|page|part|order|sha|md5|commit|http|www)\b")
 
 
 def proposals(text: str):
@@ -157,7 +157,7 @@ def features(text: str, s: int, e: int, kind: str) -> list[float]:
     return [
         float(EXTRA.index(kind)), n, digits / n, upper / n, lower / n, hexa / n, (n - digits - upper - lower) / n,
         entropy, change / n, len(runs), max(map(len, runs), default=0), len(d), float(luhn(d)) if d else 0.0, float(iban), float(valid_id),
-        float(any(c in near for c in _CUES[kind])), float(any(c in before for c in _CUES[kind])), float(any(c in before for c in _COUNTER_CUES)),
+        float(any(c in near for c in _CUES[kind])), float(any(c in before for c in _CUES[kind])), float(bool(_COUNTER_CUES.search(before))),
         float(near[-1:].isalnum()), float(near.rstrip()[-1:] in ("=", ":", '"', "'")), float(text[e: e + 1].isalnum()), x.count("-"), x.count("."), x.count(" "), x.count("/"), x.count("("),
     ]
 
