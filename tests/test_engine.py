@@ -389,3 +389,12 @@ def test_streams(spark, tmp_path):
 
 def test_fixture_parse():
     assert parse(SMALL)[3] == ["seq4", "PEPTIDE"]
+
+
+def test_sql_functions(spark):
+    from seqloom.functions import udfs
+
+    udfs.register(spark)
+    r = spark.sql("select fnv1a64('GATTACA') f, hamming_overlap('ACGT', 'ACCTT') h, sw_align('WWWW', 'WWWW') a, sw_align_banded('WWWW', 'WWAW') b, size(kmer_seeds('ACGTACGT', 5, 8, false)) n").first()
+    assert r["f"] == C.signed64(10139454686114222884) and r["h"] == 1 and r["n"] == 4
+    assert tuple(r["a"]) == (44, 4, 4) and tuple(r["b"]) == (K.align_pair(b"WWWW", b"WWAW", K.PROTEIN, 0.9))
