@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import IndexOptions, SeedPolicy
 from ..errors import SeqError
 from ..functions import columns as C
-from ..functions.udfs import codec, fnv1a64, seed_rows
+from ..functions.udfs import codec, seed_rows
 from ..storage import stored
 
 SEGMENTS = "version int, segment_id int, db_path string, db_fingerprint long, k int, m int, seed long, n_seqs long, global_seq_base long, dbtype string, hot_df_threshold long, hot_mode string, codec string"
@@ -169,6 +169,3 @@ class Index:
         g = F.col("global_id")
         return ids.join(s, (g >= F.col("global_seq_base")) & (g < F.col("global_seq_base") + F.col("n_seqs"))).select("global_id", "segment_id", (g - F.col("global_seq_base")).alias("local_id"))
 
-
-def checksums(seqs: DataFrame) -> DataFrame:
-    return seqs.select("seq_id", fnv1a64("seq").alias("checksum"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ClusterOptions, IndexOptions, SearchOptions
+from ..config import ClusterOptions, IndexOptions, SearchOptions, SeedPolicy
 from ..functions import columns as C
 from ..functions.udfs import codec, fnv1a64
 from ..operators import candidates as cand
@@ -329,3 +329,56 @@ def clusters_tsv(spark, sf_dir):
     path = scratch_dir(spark, "clusters-tsv")
     sinks.write_clusters(cluster_fast(spark, sf_dir), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query(sql.with_(sql.clusters(FAST), "SELECT cluster_id, count(*) AS members, array_to_string(list(member_id ORDER BY member_id), ',') AS member_ids FROM cl GROUP BY cluster_id"))
+def cluster_members(spark, sf_dir):
+    """Members of each cluster in order; a cluster's list is at most its group of similar texts."""
+    ids = F.transform(F.sort_array(F.collect_list("member_id")), lambda x: x.cast("string"))
+    return cluster_fast(spark, sf_dir).groupBy("cluster_id").agg(F.count("*").alias("members"), F.concat_ws(",", ids).alias("member_ids"))
+
+
+@query(sql.with_(sql.clusters(FAST), r"SELECT cluster_id, md5('>' || s.name || CASE WHEN s.seq = '' THEN '' ELSE chr(10) || array_to_string(list_transform(range(0, length(s.seq), 60), lambda i: substr(s.seq, CAST(i + 1 AS BIGINT), 60)), chr(10)) END) AS record_md5 FROM cl JOIN s ON s.seq_id = rep_id WHERE rep_id = member_id"))
+def rep_fasta(spark, sf_dir):
+    """FASTA records of the representatives, wrapped at 60 letters."""
+    s = sequences(spark, sf_dir)
+    reps = cluster.representatives(cluster.cluster(s, FAST), s)
+    return reps.select("cluster_id", F.md5(sinks.fasta_lines(F.col("name"), F.col("seq"))).alias("record_md5"))
+
+
+@query(sql.with_(sql.seeds(10, 20, True), "SELECT count(*) AS seeds, count(DISTINCT hash) AS unique_kmers, count(DISTINCT seq_id) AS seeded_sequences FROM sd"))
+def kmer_totals(spark, sf_dir):
+    return cand.kmer_seeds(sequences(spark, sf_dir), 10, 20, True).agg(F.count("*").alias("seeds"), F.countDistinct("hash").alias("unique_kmers"), F.countDistinct("seq_id").alias("seeded_sequences"))
+
+
+@query(sql.with_(sql.SEQS, "SELECT seq_id, CASE WHEN length(seq) < 80 THEN 13 ELSE 14 END AS k FROM s"))
+def query_k_policy(spark, sf_dir):
+    """k of each sequence as a query under a variable-k policy."""
+    policy = SeedPolicy.named("variable_k", INDEX.k, INDEX.m)
+    return sequences(spark, sf_dir).select("seq_id", C.choose_k(policy, INDEX.k, F.length("seq")).alias("k"))
+
+
+NUCLEOTIDE = ClusterOptions(dbtype="nucleotide")
+_RECODED = sql.SEQS.replace("upper(", "translate(upper(").replace("'g'))", f"'g')), '{_LETTERS}', '{_BASES}')")
+
+
+@query(sql.with_(sql.clusters(NUCLEOTIDE).replace(sql.SEQS, _RECODED), "SELECT cluster_id, rep_id, member_id FROM cl"))
+def cluster_nucleotide(spark, sf_dir):
+    """Clusters of the documents recoded as nucleotides: k-mers of 15, exact alphabet."""
+    s = sequences(spark, sf_dir).withColumn("seq", F.translate("seq", _LETTERS, _BASES))
+    return cluster.cluster(s, NUCLEOTIDE)
+
+
+@query()
+def hits_tsv(spark, sf_dir):
+    """Lines of the hit file, in the order of queries and ranks."""
+    path = scratch_dir(spark, "hits-tsv")
+    index = built(spark, sf_dir, True)
+    sinks.write_hits(search.search(index, query_sequences(spark, sf_dir), SEARCH), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query()
+def index_tune(spark, sf_dir):
+    """Statistics of both segments, recounted and stored; the seed policy becomes the general one."""
+    return built(spark, sf_dir, True).tune()
