@@ -167,7 +167,7 @@ def write_archives(pages: DataFrame, out_dir: str) -> DataFrame:
         for batch in batches:
             for page_id, url, html, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
-                    out, z = Output(f"{out_dir}/{uuid.uuid4().hex}.warc.gz"), zlib.compressobj(1, zlib.DEFLATED, 31)
+                    out, z = Output(f"{out_dir}/{uuid.uuid4().hex}.warc.gz"), zlib.compressobj(6, zlib.DEFLATED, 31)
                 rec = record(page_id, url, (html or "").encode(), refers)
                 out.write(z.compress(rec))
                 n += 1
