@@ -17,7 +17,9 @@ share of the rows a source has.
 
 Defined results: a null source is the source ''; texts that are null or without words have no
 tokens and come with their block; a source without tokens gives no rows; an empty table gives
-none; rows that repeat an id are separate documents; extra columns are ignored.
+none; rows that repeat an id are separate documents
+(the pipeline stage, which joins on the id, keeps one of them and leaves out rows without an id);
+extra columns are ignored.
 """
 from __future__ import annotations
 
