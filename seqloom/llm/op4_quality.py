@@ -33,6 +33,7 @@ MAX_WORD, MIN_WORD_WORDS = 0.45, 200
 SPACE = r"[\x20\x09-\x0D]+"
 #: Patterns of the classes of characters; the last class is the rest.
 CLASSES = (r"[^\p{Ll}]+", r"[^\p{Lu}]+", r"[^0-9]+", r"[^\x20\x09-\x0D]+", r"[^.,;:!?'\"()-]+")
+LOWER = r"\p{Ll}+"
 
 
 def let(value, body):
@@ -46,6 +47,7 @@ def words_of(text):
 
 def char_counts(text, white=None):
     known = [F.length(F.regexp_replace(text, p, "")) for p in CLASSES]
+    known[0] = F.length(text) - F.length(F.regexp_replace(text, LOWER, ""))  # most of a text: quicker taken away
     if white is not None:  # known already
         known[3] = white
     return let(F.array(*known), lambda a: F.concat(a, F.array(F.length(text) - F.aggregate(a, F.lit(0), lambda s, x: s + x))))
@@ -54,7 +56,7 @@ def char_counts(text, white=None):
 def _repeat_words(words):
     """Words inside three-word windows that the text has twice or more."""
     n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)))
+    windows = F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), F.lit(1), n - 2)
 
     def marked(s):
         same = lambda i, j: F.get(s, i)["h"] == F.get(s, j)["h"]
