@@ -1,6 +1,8 @@
 """Tables in the scratch folder that all executors share."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,7 +15,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="scratch-"))
+        if spark.sparkContext.applicationId not in _own:
+            folder = tempfile.mkdtemp(prefix="scratch-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own[spark.sparkContext.applicationId] = f"file://{folder}"
+        base = _own[spark.sparkContext.applicationId]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
