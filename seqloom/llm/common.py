@@ -4,7 +4,9 @@ Texts are handled in whole.  A null text counts as an empty text everywhere.
 """
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,7 +42,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         app = spark.sparkContext.applicationId
-        base = _own_scratch.setdefault(app, "file://" + tempfile.mkdtemp(prefix="scratch-"))
+        if app not in _own_scratch:
+            folder = tempfile.mkdtemp(prefix="scratch-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own_scratch[app] = f"file://{folder}"
+        base = _own_scratch[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
