@@ -107,19 +107,20 @@ class Index:
     # -------------------------------------------------------------- writing
     def _segment(self, seqs: DataFrame, opts: IndexOptions, segment_id: int, base: int, dbtype: str, db_path: str, mode: str) -> None:
         opts.check()
-        seqs = seqs.select("seq_id", "name", "seq")
-        n = seqs.count()
-        lists = with_tiers(posting_lists(seqs, opts), hot_threshold(n, opts.hot_df))
-        encoded = codec(opts.codec, True)("seq_ids")
-        out = lists.select(F.lit(segment_id).alias("segment_id"), "key", F.col("df").cast("long").alias("df"), "tier", encoded.alias("encoded"))
         body = seqs.select(F.lit(segment_id).alias("segment_id"), F.col("seq_id").alias("local_id"), "name", "seq", F.length("seq").cast("int").alias("seq_len"))
-        for name, df in (("postings", out.repartitionByRange("key").sortWithinPartitions("key")), ("sequences", body)):
-            self._drop_segment(name, segment_id)
-            df.write.mode(mode).partitionBy("segment_id").parquet(f"{self.path}/{name}")
-        print_ = body.agg(F.bit_xor(F.xxhash64("local_id", "name", "seq"))).first()[0]
+        self._write("sequences", body, segment_id, mode)
+        own = self.sequences().filter(F.col("segment_id") == segment_id)  # what was made once is read from here on
+        n, print_ = own.agg(F.count("*"), F.bit_xor(F.xxhash64("local_id", "name", "seq"))).first()
+        lists = with_tiers(posting_lists(own.withColumnRenamed("local_id", "seq_id"), opts), hot_threshold(n, opts.hot_df))
+        out = lists.select(F.lit(segment_id).alias("segment_id"), "key", F.col("df").cast("long").alias("df"), "tier", codec(opts.codec, True)("seq_ids").alias("encoded"))
+        self._write("postings", out.repartitionByRange("key").sortWithinPartitions("key"), segment_id, mode)
         row = (1, segment_id, db_path, print_ or 0, opts.k, opts.m, C.signed64(opts.seed), n, base, dbtype, hot_threshold(n, opts.hot_df), opts.hot_mode, opts.codec)
         self.spark.createDataFrame([row], SEGMENTS).coalesce(1).write.mode(mode).parquet(f"{self.path}/segments")
 
+    def _write(self, name: str, df: DataFrame, segment_id: int, mode: str) -> None:
+        self._drop_segment(name, segment_id)
+        df.write.mode(mode).partitionBy("segment_id").parquet(f"{self.path}/{name}")
+
     def _drop_segment(self, name: str, segment_id: int) -> None:
         """Remove what an update that failed before its commit may have left."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/segment_id={segment_id}")
