@@ -6,10 +6,13 @@ L words where some run of its words is within edit distance floor(MAX_EDIT * L)
 The CGK embedding walks over a string: step j emits the word under the pointer and moves the
 pointer by a random bit that depends on j and that word, so two strings at a small edit distance
 give walks at a small Hamming distance.  Each of ``REPEATS`` independent walks is sampled at
-``SAMPLES`` of its steps; equal samples propose (window, item).  At a per-step agreement of 0.6
-one repeat finds a pair with probability 0.216 and all of them miss it with less than 1e-3.
-Every proposal is settled by a semi-global edit distance between the item and the words about
-the window.
+``SAMPLES`` of its steps; equal samples propose (window, item).  The walks drift apart as the edits
+of a long item add up, so they alone would miss many.  Therefore the items' segments propose
+places too: an item with k edits allowed is cut into k + 1 segments, of 2 to 5 words, and as an
+edit destroys one of them at most, one stands unchanged in every passage.  Nothing within
+the limit is missed.  Proposals whose place holds fewer of the item's own word pairs than k edits
+leave are dropped, and every other one is settled by a semi-global edit distance between the item
+and the words about the place.
 
 Windows are as long as the items, at every word of every whole document.  A window can only be
 within k edits of an item of L words if at least L - 1 - 2k of its neighbouring word pairs occur
@@ -35,6 +38,8 @@ REPEATS, SAMPLES = 32, 3
 #: Items are shipped in blocks of at most so many rows and bytes of text.
 BLOCK_ROWS, BLOCK_BYTES = 20_000, 16_000_000
 _PAIR_BITS = 22
+#: Proposals, and words of proposed places, that are looked at in one go.
+_PART = 1_000_000
 #: Item lengths of one class differ by this factor at most.
 _CLASS = 1.25
 
@@ -47,6 +52,22 @@ def pair_hash(h: np.ndarray) -> np.ndarray:
     return mix(h[:-1] * np.uint64(3) + h[1:] * np.uint64(0x9E3779B97F4A7C15))
 
 
+_GRAM = seeded(8, 23) | np.uint64(1)
+
+
+def gram_hash(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each place on."""
+    out = np.zeros(max(len(h) - size + 1, 0), np.uint64) + np.uint64(size)
+    for j in range(size):
+        out += h[j: j + len(out)] * _GRAM[j]
+    return mix(out)
+
+
+def _ranges(a: np.ndarray, cnt: np.ndarray) -> np.ndarray:
+    """The numbers a, a + 1, ... of each range, one range after the other."""
+    return np.repeat(a, cnt) + np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+
+
 def walk_plan(length: int, seed: int):
     """Step seeds (repeats x steps) and the sorted sampled steps of each repeat, for a class."""
     steps = max(SAMPLES, int(1.7 * length))
@@ -130,6 +151,65 @@ class Items:
                 order = np.argsort(flat, kind="stable")
                 self.classes.append((lo, hi, need, flat[order], np.repeat(own, REPEATS)[order]))
             lo = hi + 1
+        self.size, self.room = size, np.array([allowed(int(n)) for n in size], np.int64)
+        found: dict[int, list] = {}
+        own = [np.zeros(0, np.uint64)]
+        for k, w in enumerate(self.words):
+            own.append(np.unique(self._own(pair_hash(w), np.uint64(k))))
+            cut = np.arange(self.room[k] + 2) * len(w) // (self.room[k] + 1)
+            for g in np.unique(np.diff(cut)):
+                at = cut[:-1][np.diff(cut) == g]
+                found.setdefault(int(g), []).append((gram_hash(w, int(g))[at], np.full(len(at), k), at))
+        self.own = np.sort(np.concatenate(own))  # the word pairs of each item
+        self.segments = []  # (words, known hashes, sorted hashes, their items, their places in them)
+        for g, parts in sorted(found.items()):
+            key, item, at = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(key, kind="stable")
+            seen = np.zeros(1 << _PAIR_BITS, bool)
+            seen[(key >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)] = True
+            self.segments.append((g, seen, key[order], item[order], at[order]))
+
+    @staticmethod
+    def _own(pairs: np.ndarray, item) -> np.ndarray:
+        return mix(pairs + np.atleast_1d(item + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+    def _anchors(self, h: np.ndarray, first: np.ndarray):
+        """Arrays (text, item, place) of the items whose segments stand in the texts."""
+        for g, seen, keys, owner, offset in self.segments:
+            key = gram_hash(h, g)
+            at = np.flatnonzero(seen[(key >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)])
+            text = np.searchsorted(first, at, side="right") - 1
+            whole = at + g <= first[text + 1]
+            at, text = at[whole], text[whole]
+            a, b = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
+            ends = np.cumsum(b - a)
+            for part in np.split(np.arange(len(at)), np.searchsorted(ends, np.arange(_PART, ends[-1] if len(ends) else 0, _PART))):
+                cnt = (b - a)[part]
+                idx = _ranges(a[part], cnt)
+                yield np.stack([np.repeat(text[part], cnt), owner[idx], np.repeat(at[part], cnt) - offset[idx]], axis=1)
+
+    def _possible(self, rows: np.ndarray, pairs: np.ndarray, known: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The (text, item, place) rows whose words hold enough of the item's own word pairs."""
+        rows = np.unique(rows, axis=0)
+        text, item, place = rows.T
+        size, room = self.size[item], self.room[item]
+        need = size - 1 - 2 * room
+        lo, hi = np.maximum(first[text], place - room), np.minimum(first[text + 1], place + size + 2 * room) - 1  # of pairs
+        ok = known[hi] - known[lo] >= need
+        rows, item, need, lo, hi = rows[ok], item[ok], need[ok], lo[ok], hi[ok]
+        keep = [np.zeros((0, 3), np.int64)]
+        for part in np.array_split(np.arange(len(rows)), (hi - lo).sum() // _PART + 1):
+            cnt = (hi - lo)[part]
+            at = np.flatnonzero(cnt > 0)
+            if not len(at):
+                keep.append(rows[part][need[part] <= 0])
+                continue
+            key = self._own(pairs[_ranges(lo[part], cnt)], np.repeat(item[part], cnt).astype(np.uint64))
+            place = np.minimum(np.searchsorted(self.own, key), len(self.own) - 1)
+            held = np.zeros(len(part), np.int64)
+            held[at] = np.add.reduceat((self.own[place] == key).astype(np.int64), (np.cumsum(cnt) - cnt)[at])
+            keep.append(rows[part][held >= need[part]])
+        return np.concatenate(keep)
 
     def match(self, h: np.ndarray, first: np.ndarray):
         """(text, item, distance, start, end) of all passages in many texts."""
@@ -137,11 +217,19 @@ class Items:
         if n < MIN_WORDS or not self.classes:
             return []
         known = np.zeros(n + 1, np.int32)
-        hit = self.pairs[(pair_hash(h) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)]
+        pairs = pair_hash(h)
+        hit = self.pairs[(pairs >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)]
         hit[first[1:-1][(first[1:-1] > 0) & (first[1:-1] < n)] - 1] = False  # no pair across texts
         np.cumsum(hit, out=known[1:n])
         known[n] = known[n - 1]
         found: dict[tuple[int, int], list[int]] = {}
+
+        def propose(rows):
+            for t, k, p in self._possible(rows, pairs, known, first).tolist():
+                found.setdefault((t, k), []).append(p)
+
+        for rows in self._anchors(h, first):
+            propose(rows)
         for lo, hi, need, keys, owner in self.classes:
             at = np.arange(n)
             inside = known[np.minimum(at + hi - 1, n - 1)] - known[at]
@@ -157,10 +245,7 @@ class Items:
                 a, b = np.searchsorted(keys, flat, "left"), np.searchsorted(keys, flat, "right")
                 cnt = b - a
                 src = np.repeat(np.arange(len(flat)) // REPEATS, cnt)
-                idx = np.repeat(a, cnt) + np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-                both = np.unique(np.stack([text[src], owner[idx], part[src]], axis=1), axis=0) if len(src) else ()
-                for t, k, p in both:
-                    found.setdefault((int(t), int(k)), []).append(int(p))
+                propose(np.stack([text[src], owner[_ranges(a, cnt)], part[src]], axis=1))
         out = []
         for (t, k), places in found.items():
             item = self.words[k]

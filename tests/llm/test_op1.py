@@ -89,3 +89,23 @@ def test_empty_tables(spark):
     assert op.passages(none, items).collect() == []
     assert op.passages(some, spark.createDataFrame([], "item_id long, text string")).collect() == []
     assert [tuple(x) for x in op.passages(some, items).collect()] == [(1, 1, 0, 7, 0, 7)]
+
+
+def test_long_items_by_kind_of_edit():
+    r = random.Random(8)
+    kinds = {"change": lambda w, p: w.__setitem__(p, f"n{r.randrange(10**9)}"), "insert": lambda w, p: w.insert(p, f"n{r.randrange(10**9)}"), "delete": lambda w, p: w.__delitem__(p)}
+    sizes = [5, 9, 14, 49, 100, 124, 200, 400]
+    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate(sizes)]
+    block = op.Items(list(range(len(items))), [" ".join(w) for w in items])
+    for kind in [*kinds, "mixed"]:
+        docs = []
+        for w in items:
+            w, places = list(w), sorted(r.sample(range(len(w)), op.allowed(len(w))), reverse=True)
+            for p in places:
+                kinds[r.choice(list(kinds)) if kind == "mixed" else kind](w, p)
+            docs.append(" ".join([f"b{r.randrange(10**9)}" for _ in range(r.randint(0, 90))] + w + ["end"] * r.randint(0, 9)))
+        _, _, data, offs = next(op.text_chunks(op.pa.array(docs)))
+        h, _, _, first = op.word_hashes(data, offs)
+        got = {t: (k, d) for t, k, d, *_ in block.match(h, first)}
+        for k, (w, t) in enumerate(zip(items, docs)):
+            assert got.get(k) == (k, least(w, words(t))), (kind, len(w))
