@@ -96,7 +96,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # ------------------------------------------------------------------ proposals
 
 _GENERATORS = (
-    ("secret", re.compile(r"[=:][ ]?[\"']?([A-Za-z0-9+/_.~-]{12,200})"), 1),
+    ("secret", re.compile(r"[=:][ ]?[\"']?([A-Za-z0-9+/_.~-]{12,})"), 1),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), 0),
     ("national_id", re.compile(r"(?<![0-9.-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])"), 0),
     ("ip_like", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), 0),
@@ -178,15 +178,24 @@ def examples(rows: int, seed: int = 11):
         v = body[:2] + f"{check if good else (check + r.randint(1, 90)) % 97:02d}" + body[4:]
         return " ".join(v[i:i + 4] for i in range(0, len(v), 4)) if r.random() < 0.5 else v
 
+    def long_key():
+        return r.choice([
+            "eyJ" + chars(r.randint(15, 60), alnum) + "." + chars(r.randint(60, 1200), alnum + "-_") + "." + chars(r.choice([43, 86, 342]), alnum + "-_"),
+            chars(r.randint(100, 2000), alnum + "+/"), chars(r.choice([128, 256, 512, 1024]), "0123456789abcdef"),
+        ])
+
+    def long_path():
+        return r.choice("/-_.").join(chars(r.randint(2, 9), "abcdeilmnorstu") for _ in range(r.randint(4, 200)))
+
     def made(kind, good):
         cue = r.choice(_CUES[kind]) + r.choice([": ", " = ", " ", " is "]) if r.random() < 0.6 else prose()[:12] + " "
         if kind == "secret":
             name = r.choice(["token", "api_key", "secret", "password", "auth_token", "passwd", "private_key", "KEY"])
             sep, q = r.choice([" = ", "=", ": ", ":"]), r.choice(['"', "'", ""])
             if good:
-                return f"{name}{sep}{q}", r.choice([chars(r.choice([32, 40, 64]), "0123456789abcdef"), chars(r.randint(20, 44), alnum), "sk-" + chars(32, alnum), "AKIA" + chars(16, alnum[:26] + "0123456789")])
+                return f"{name}{sep}{q}", r.choice([chars(r.choice([32, 40, 64]), "0123456789abcdef"), chars(r.randint(20, 44), alnum), "sk-" + chars(32, alnum), "AKIA" + chars(16, alnum[:26] + "0123456789"), long_key()])
             word = r.choice(["note", "url", "title", "see", "name", "http", "class", "sha", "md5", "commit", "path"])
-            return f"{word}{sep}{q}", r.choice([chars(r.randint(12, 22), "aeilnorst"), "//" + chars(8, "abcdefg") + ".example.com/" + chars(5, "abc"), digs(4) + "-" + digs(2) + "-" + digs(2) + "T" + digs(2), chars(6, "abcdef") + "-" + chars(8, "ghiklm"), chars(9, "xyz") + "_" + chars(8, "abc"), digs(12) + ".00"])
+            return f"{word}{sep}{q}", r.choice([chars(r.randint(12, 22), "aeilnorst"), "//" + chars(8, "abcdefg") + ".example.com/" + chars(5, "abc"), digs(4) + "-" + digs(2) + "-" + digs(2) + "T" + digs(2), chars(6, "abcdef") + "-" + chars(8, "ghiklm"), chars(9, "xyz") + "_" + chars(8, "abc"), digs(12) + ".00", long_path()])
         if kind == "iban":
             return cue, iban(good)
         if kind == "national_id":

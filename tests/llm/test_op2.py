@@ -60,3 +60,14 @@ def test_added_spans_spare_prose(spark):
     rows = op.query(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 1000
     assert sum(r["n_added"] > 0 for r in rows) < 60
+
+
+def test_long_secrets_are_whole():
+    r = random.Random(4)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda n, a=alnum: "".join(r.choice(a) for _ in range(n))
+    for key in (some(622), some(201, "0123456789abcdef"), f"eyJ{some(33)}.{some(500)}.{some(43)}", some(5000, alnum + "+/")):
+        text = f'so the token = "{key}" is old'
+        assert op.redact(text, op.all_spans(text, op.model())[1]) == 'so the token = "[secret]" is old', len(key)
+    path = "see = " + "/".join(["some", "long", "place"] * 40)
+    assert op.all_spans(path, op.model())[1] == []
