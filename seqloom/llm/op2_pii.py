@@ -95,15 +95,74 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # ------------------------------------------------------------------ proposals
 
+_DOT = r"\.|[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?|[ ]dot[ ]"
+_COLONS = re.compile(r"::|(?::[0-9A-Fa-f]{1,4}){4}")
+_GROUP = re.compile(r"[0-9]+")
 _GENERATORS = (
     ("secret", re.compile(r"[=:][ ]?[\"']?([A-Za-z0-9+/_.~-]{12,})"), 1),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), 0),
     ("national_id", re.compile(r"(?<![0-9.-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])"), 0),
-    ("ip_like", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), 0),
-    ("phone_like", re.compile(r"(?<![0-9+.-])\(?[0-9]{2,5}\)?[ .-][0-9]{2,5}(?:[ .-][0-9]{2,5}){1,3}(?![0-9-])"), 0),
-    ("email_like", re.compile(r"[\[(]at[\])][ ]?[A-Za-z0-9-]{1,63}[ ]?(?:\.|[\[(]dot[\])])[ ]?[A-Za-z]{2,}"), 0),
+    ("email_like", re.compile(rf"(?:[\[({{<][ ]?at[ ]?[\])}}>]|(?<=[ ])at(?=[ ][A-Za-z0-9-]+(?:{_DOT})[A-Za-z]))[ ]?(?:[A-Za-z0-9-]{{1,63}}(?:(?:{_DOT})[A-Za-z0-9-]{{1,63}})+(?<=[A-Za-z]{{2}})|[A-Za-z0-9-]{{1,63}}[ ]?\.[ ]?[A-Za-z]{{2,}})", re.I), 0),
 )
-_NEED = {"iban": re.compile(r"[A-Z]{2}[0-9]{2}"), "email_like": re.compile(r"[\[(]at[\])]"), "secret": re.compile(r"[=:]")}
+_NEED = {"iban": re.compile(r"[A-Z]{2}[0-9]{2}"), "email_like": re.compile(r"(?i:[\[({< ]at[\])}> ])"), "secret": re.compile(r"[=:]")}
+#: Credentials after a word that announces them, without = or :.
+_BEARER = re.compile(r"(?<![A-Za-z])(?:bearer|basic|token|key|secret|passw(?:or)?d|pwd)(?:[ ]is)?[ ]+[\"']?([A-Za-z0-9+/_.~-]{12,}=*)", re.I)
+_NAME = re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}(?:(?:{_DOT})[A-Za-z0-9_%+-]{{1,64}})*[ ]?\Z", re.I)
+_ADDRESS6 = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]+(?:\.[0-9]{1,3}){0,3}")
+_RUN = re.compile(r"(?<![0-9A-Za-z])[0-9]+(?:[ ()./\u00a0\u2013-]{1,3}[0-9]+)*")
+#: Digits of a number that may be a phone; groups of a part of a longer run.
+PHONE_DIGITS, PHONE_GROUPS = (7, 15), 6
+
+
+def _addresses6(text: str):
+    for m in _ADDRESS6.finditer(text) if _COLONS.search(text) else ():
+        s, e = m.span()
+        if text.startswith(":", s) and not text.startswith("::", s):
+            s += 1
+        elif s and text[s - 1].isalnum():  # the end of a word
+            continue
+        if text[e - 1] == ":" and text[e - 2] != ":":
+            e -= 1
+        groups = text[s:e].split(":")
+        if e < len(text) and text[e].isalnum() or not any(groups) or len(groups) > 9 or max(map(len, groups[:-1]), default=0) > 4:
+            continue
+        if "::" in text[s:e] or len(groups) > 4:
+            yield s, e
+
+
+def _phones(text: str):
+    """Runs of digits and separators; of long runs each few groups, of others also what spaces part."""
+    least, most = PHONE_DIGITS
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() < least:
+            continue
+        groups = [g.span() for g in _GROUP.finditer(text, m.start(), m.end())]
+        size = [e - s for s, e in groups]
+        ends = set()
+        if least <= sum(size) <= most:
+            ends.add((0, len(groups) - 1))
+            i = 0
+            for j in range(len(groups)):
+                if j + 1 == len(groups) or text[groups[j][1]] in " \u00a0":
+                    if sum(size[i: j + 1]) >= least:
+                        ends.add((i, j))
+                    i = j + 1
+        elif sum(size) > most:
+            for i in range(len(groups)):
+                n = 0
+                for j in range(i, min(i + PHONE_GROUPS, len(groups))):
+                    n += size[j]
+                    if n > most:
+                        break
+                    if n >= least:
+                        ends.add((i, j))
+        for i, j in sorted(ends):
+            s, e = groups[i][0], groups[j][1]
+            if s and text[s - 1] == "(" and ")" in text[s:e]:
+                s -= 1
+            yield s - (s > 0 and text[s - 1] == "+"), e
+
+
 _CUES = {
     "secret": ("token", "key", "secret", "passw", "pwd", "auth", "bearer", "credential"),
     "iban": ("iban", "account", "konto", "bank", "cuenta", "compte"),
@@ -112,6 +171,7 @@ _CUES = {
     "phone_like": ("phone", "tel", "call", "mobile", "cell", "fax", "contact"),
     "email_like": ("mail", "contact", "write"),
 }
+_DOT_WORD = re.compile(r"[ \[({<](?:dot|at)[ \])}>]", re.I)
 _COUNTER_CUES = re.compile(r"\b(?:version|date|isbn|price|total|page|part|order|sha|md5|commit|http|www)\b")
 
 
@@ -123,16 +183,19 @@ def proposals(text: str):
         for m in pattern.finditer(text):
             s, e = m.span(group)
             if kind == "email_like":  # the name stands before the written-out @
-                p = s
-                while p > 0 and text[p - 1] == " " and s - p < 1:
-                    p -= 1
-                q = p
-                while q > 0 and text[q - 1] in _LOCAL and p - q < 64:
-                    q -= 1
-                if q == p:
+                name = _NAME.search(text, max(0, s - 140), s)
+                if not name or name[0] == " ":
                     continue
-                s = q
+                s = name.start()
             yield s, e, kind
+    yield from ((*m.span(1), "secret") for m in _BEARER.finditer(text))
+    yield from ((s, e, "ip_like") for s, e in _addresses6(text))
+    yield from ((s, e, "phone_like") for s, e in _phones(text))
+
+
+#: Digits that a number goes on with, past a separator.
+_MORE = re.compile(r"[ ()./\u00a0\u2013-]{1,3}([0-9]+)")
+_LESS = re.compile(r"([0-9]+)[ ()./\u00a0\u2013-]{1,3}\Z")
 
 
 def features(text: str, s: int, e: int, kind: str) -> list[float]:
@@ -154,11 +217,15 @@ def features(text: str, s: int, e: int, kind: str) -> list[float]:
         flat = x.replace(" ", "")
         iban = int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
     valid_id = kind == "national_id" and d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+    after, less = _MORE.match(text, e, e + 20), _LESS.search(text, max(0, s - 20), s)
+    shape = [len(g) for g in runs]
     return [
         float(EXTRA.index(kind)), n, digits / n, upper / n, lower / n, hexa / n, (n - digits - upper - lower) / n,
         entropy, change / n, len(runs), max(map(len, runs), default=0), len(d), float(luhn(d)) if d else 0.0, float(iban), float(valid_id),
         float(any(c in near for c in _CUES[kind])), float(any(c in before for c in _CUES[kind])), float(bool(_COUNTER_CUES.search(before))),
         float(near[-1:].isalnum()), float(near.rstrip()[-1:] in ("=", ":", '"', "'")), float(text[e: e + 1].isalnum()), x.count("-"), x.count("."), x.count(" "), x.count("/"), x.count("("),
+        len(after[1]) if after else 0, len(less[1]) if less else 0, x.count(":"), x.count("::"), shape[0] if shape else 0, shape[-1] if shape else 0,
+        float(x[:1] == "0"), float(x[:2] in ("19", "20")), float(bool(_DOT_WORD.search(x))) if kind == "email_like" else 0.0,
     ]
 
 
@@ -189,6 +256,10 @@ def examples(rows: int, seed: int = 11):
 
     def made(kind, good):
         cue = r.choice(_CUES[kind]) + r.choice([": ", " = ", " ", " is "]) if r.random() < 0.6 else prose()[:12] + " "
+        if kind == "secret" and r.random() < 0.25:  # announced by a word alone
+            if good:
+                return r.choice(["Authorization Bearer ", "bearer ", "Bearer ", "the token ", "key ", "secret is ", "password is ", "Basic "]), r.choice([chars(r.choice([32, 40, 64]), "0123456789abcdef"), chars(r.randint(16, 44), alnum), long_key()])
+            return r.choice(["bearer ", "basic ", "token ", "key ", "secret ", "the password "]), r.choice([chars(r.randint(12, 22), "aeilnorstuy"), chars(6, "abcdef") + "-" + chars(8, "ghiklm"), chars(12, "abcdeilnorst") + ".", chars(7, "abcde") + "/" + chars(7, "ilnorst")])
         if kind == "secret":
             name = r.choice(["token", "api_key", "secret", "password", "auth_token", "passwd", "private_key", "KEY"])
             sep, q = r.choice([" = ", "=", ": ", ":"]), r.choice(['"', "'", ""])
@@ -205,27 +276,48 @@ def examples(rows: int, seed: int = 11):
             return r.choice(["part ", "order ", "page ", "total ", prose() + " "]), f"{r.choice(['000', '666', str(r.randint(900, 999))])}{sep}{digs(2)}{sep}{digs(4)}"
         if kind == "ip_like":
             if good:
-                return cue, ":".join(chars(r.randint(1, 4), "0123456789abcdef") for _ in range(8))
-            return r.choice(["time ", "total ", prose() + " "]), ":".join(digs(2) for _ in range(r.randint(5, 6)))
+                groups = lambda n: ":".join(chars(r.randint(1, 4), "0123456789abcdef") for _ in range(n))
+                left = r.randint(1, 4)
+                short = r.choice(["2001:db8", "2a02:" + groups(1), "fe80", "fd" + chars(2, "0123456789abcdef"), "2" + groups(1)[:3] + ":" + groups(left)]) + "::" + groups(r.randint(1, 7 - left - 2 if left < 4 else 2))
+                return (cue if r.random() < 0.7 else prose() + " "), r.choice([groups(8), short])
+            return r.choice(["time ", "total ", prose() + " "]), r.choice([":".join(digs(2) for _ in range(r.randint(5, 6))), chars(r.randint(1, 3), "abcdef") + "::" + chars(r.randint(1, 4), "abcdef"), "::" + chars(r.randint(1, 4), "abcdef"), digs(1) + "::" + digs(1)])
         if kind == "phone_like":
             if good:
-                return r.choice(["tel ", "phone: ", "call ", "mobile ", "fax: ", "contact "]), r.choice([f"({digs(3)}) {digs(3)}-{digs(4)}", f"{digs(3)}-{digs(3)}-{digs(4)}", f"0{digs(3)} {digs(3)} {digs(3)}", f"0{digs(1)} {digs(2)} {digs(2)} {digs(2)} {digs(2)}"])
-            return r.choice(["date ", "version ", "price ", "total ", "isbn ", prose() + " ", prose() + " "]), r.choice([f"{r.randint(1900, 2100)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{digs(2)}.{digs(2)}.{digs(4)}", f"{digs(3)} {digs(3)} {digs(3)}", f"{digs(4)} {digs(4)} {digs(4)}", f"{digs(2)}-{digs(2)}-{digs(2)}"])
+                gap = r.choice([" ", "-", ".", "/"])
+                tail = " " + r.choice(["2", "10", "24"]) + " times" if r.random() < 0.1 else ""
+                return r.choice(["tel ", "phone: ", "call ", "mobile ", "fax: ", "contact ", "call me on ", "Tel. ", "my cell "]), r.choice([
+                    f"({digs(3)}) {digs(3)}-{digs(4)}", f"({digs(3)}){gap if r.random() < 0.3 else ''}{digs(3)}-{digs(4)}", f"{digs(3)}-{digs(3)}-{digs(4)}", f"0{digs(3)} {digs(3)} {digs(3)}",
+                    f"0{digs(1)} {digs(2)} {digs(2)} {digs(2)} {digs(2)}", f"0{digs(r.randint(2, 4))}{gap}{digs(r.randint(5, 8))}", f"{digs(3)}{gap}{digs(4)}", f"0{digs(r.randint(8, 11))}", f"00{digs(2)} {digs(r.randint(2, 4))} {digs(r.randint(4, 7))}", digs(10),
+                ]), tail
+            return r.choice(["date ", "version ", "price ", "total ", "isbn ", "order ", "page ", prose() + " ", prose() + " "]), r.choice([
+                f"{r.randint(1900, 2100)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{digs(2)}.{digs(2)}.{digs(4)}", f"{digs(3)} {digs(3)} {digs(3)}", f"{digs(4)} {digs(4)} {digs(4)}", f"{digs(2)}-{digs(2)}-{digs(2)}{digs(2)}",
+                digs(r.randint(7, 13)), f"{digs(r.randint(1, 4))}.{digs(r.randint(6, 9))}", f"{digs(4)}-{digs(4)}", f"{r.randint(1900, 2100)} {digs(4)}", f"{digs(2)}/{digs(2)}/{r.randint(1900, 2100)}", f"97{digs(1)}-{digs(1)}-{digs(4)}-{digs(4)}-{digs(1)}", f"{digs(4)} {digs(4)} {digs(4)} {digs(4)} {digs(4)}",
+            ])
+        word = lambda: chars(r.randint(2, 9), "abcdeinorst")
         if good:
-            return cue, f"{chars(r.randint(4, 9), 'abcdeinorst')} {r.choice(['[at]', '(at)'])} {chars(6, 'abcdeinorst')}{r.choice(['.', ' [dot] ', ' (dot) '])}{r.choice(['com', 'org', 'net', 'de'])}"
+            at = r.choice(["[at]", "(at)", "at", "{at}", "[AT]"])
+            dot = " dot " if at == "at" else r.choice([".", " [dot] ", " (dot) ", " dot "])
+            name = word() + r.choice(["", "", "." + word(), dot.replace(".", "_") + word()])
+            return (cue if at != "at" or r.random() < 0.5 else prose() + " mail "), f"{name} {at} {chars(6, 'abcdeinorst')}{dot}{r.choice(['', '', word() + dot])}{r.choice(['com', 'org', 'net', 'de', 'co' + dot + 'uk'])}"
+        if r.random() < 0.4:
+            return r.choice(["look ", "met ", prose() + " "]), f"{word()} at {word()}.{word()}"
         return cue, f"{chars(2, 'abcdeinorst')} (at) {chars(2, 'abcde')}. {chars(3, 'ghik')}"
 
     while rows:
         kind, good = r.choice(EXTRA), r.random() < 0.5
-        head, body = made(kind, good)
+        head, body, *tail = made(kind, good)
         text = f"{prose()} {head}"
         start = len(text)
-        text += body + (r.choice(['"', "'", ""]) if kind == "secret" else "") + r.choice([" ", ". ", ", "]) + prose()
-        for s, e, k in proposals(text):
-            if k == kind and s < start + len(body) and e > start:
-                yield text, s, e, kind, good
-                rows -= 1
-                break
+        text += body + "".join(tail) + (r.choice(['"', "'", ""]) if kind == "secret" else "") + r.choice([" ", ". ", ", "]) + prose()
+        over = [(s, e) for s, e, k in proposals(text) if k == kind and s < start + len(body) and e > start]
+        whole = (start, start + len(body))
+        others = [x for x in over if x != whole]
+        if kind == "phone_like" and good and others and (whole not in over or r.random() < 0.3):
+            yield text, *r.choice(others), kind, False  # a part of the number, or more than it
+            rows -= 1
+        elif over:
+            yield text, *(whole if whole in over else over[0]), kind, good
+            rows -= 1
 
 
 class Trees:
