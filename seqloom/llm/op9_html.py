@@ -5,8 +5,8 @@ neighbours become repeated groups; the pages of a host are aligned one after the
 wrapper so far, and each mismatch is resolved: differing texts become a text slot, an element on
 one side only becomes an optional group, a repeated element a repeated group.  The result is an
 expression of sequence, slot, optional and repetition, without unions.  The wrapper tells where
-the pages of the host differ in their running text: its content element, the innermost one that
-holds the mass of the slots outside menus and the like.  An <article> or <main> in that place is
+the pages of the host differ in their running text: its content element, the innermost one
+outside of which all text is the same on different pages, or in menus and the like.  An <article> or <main> in that place is
 taken first.  The extractor then reads every page's whole stream inside that element, or, where
 a page hasn't got it, inside its own article, main or body.
 
@@ -22,6 +22,7 @@ rows give repeated rows; extra columns are ignored.
 """
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import json
 import re
@@ -150,21 +151,30 @@ class Walker:
 TEXT, SLOT, TAG, OPTIONAL, REPEAT = "text", "slot", "tag", "optional", "repeat"
 
 
+def _digest(*parts) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=7).digest())
+
+
 def tree(page: str) -> list:
-    """A page as nested nodes [TAG, key, noisy, children] and [TEXT, text]."""
-    root: list = [TAG, "", False, []]
+    """A page as nested nodes [TAG, key, noisy, children, digest, page] and [TEXT, length, digest, page].
+
+    The digest of an element is that of its running text, 0 without any; ``page`` that of the
+    page's.  In wrappers either is None where the pages differ.
+    """
+    root: list = [TAG, "", False, [], 0, 0]
     stack, walk = [root], Walker()
     for n, (what, x, attrs) in enumerate(tokens(page)):
         if n >= SAMPLE_TOKENS:
             break
         if what == "text":
             if x.strip():
-                stack[-1][3].append([TEXT, " ".join(x.split())])
+                x = " ".join(x.split())
+                stack[-1][3].append([TEXT, len(x), _digest(x), 0])
         elif what == "open":
             for _ in range(walk.implied(x)):
                 walk.names.pop()
                 stack.pop()
-            node = [TAG, key(x, attrs), noisy(x, attrs), []]
+            node = [TAG, key(x, attrs), noisy(x, attrs), [], 0, 0]
             stack[-1][3].append(node)
             if x not in _VOID and len(stack) < 200:
                 stack.append(node)
@@ -173,6 +183,21 @@ def tree(page: str) -> list:
             for _ in range(walk.closed(x)):
                 walk.names.pop()
                 stack.pop()
+
+    def sign(node):
+        if node[0] == TAG:
+            below = [d for d in map(sign, node[3]) if d]
+            node[4] = _digest(*below) if below and not node[2] else 0
+            return node[4]
+        return node[2]
+
+    def mark(node):
+        node[-1] = root[4]
+        for c in node[3] if node[0] == TAG else ():
+            mark(c)
+
+    sign(root)
+    mark(root)
     return root
 
 
@@ -189,13 +214,19 @@ def fold(node):
     for child in map(fold, node[3]):
         if out and _label(out[-1]) == _label(child):
             last = out[-1]
-            if last[0] == REPEAT:
-                out[-1] = [REPEAT, merge(last[1], child)]
+            if child[0] == TEXT:
+                out[-1] = [TEXT, last[1] + child[1], _digest(last[2], child[2]), child[3]]
             else:
-                out[-1] = [REPEAT, merge(last, child)] if child[0] == TAG else merge(last, child)
+                seen = last[2] if last[0] == REPEAT else last[4]
+                both = _digest(seen, child[4]) if seen or child[4] else 0
+                out[-1] = [REPEAT, merge(last[1] if last[0] == REPEAT else last, child), both, child[5]]
         else:
             out.append(child)
-    return [TAG, node[1], node[2], out]
+    return [TAG, node[1], node[2], out, node[4], node[5]]
+
+
+def _same(x, y):
+    return x if x == y else None
 
 
 def merge(a, b):
@@ -203,14 +234,14 @@ def merge(a, b):
     if a[0] == OPTIONAL or b[0] == OPTIONAL:
         return [OPTIONAL, merge(a[1] if a[0] == OPTIONAL else a, b[1] if b[0] == OPTIONAL else b)]
     if a[0] == REPEAT or b[0] == REPEAT:
-        return [REPEAT, merge(a[1] if a[0] == REPEAT else a, b[1] if b[0] == REPEAT else b)]
+        return [REPEAT, merge(a[1] if a[0] == REPEAT else a, b[1] if b[0] == REPEAT else b), _same(a[-2], b[-2]), _same(a[-1], b[-1])]
     if a[0] in (TEXT, SLOT):
-        if a[0] == TEXT and b[0] == TEXT and a[1] == b[1]:
-            return a
-        size = lambda x: (len(x[1]), 1) if x[0] == TEXT else (x[1], x[2])
+        if a[0] == TEXT and b[0] == TEXT and a[1:3] == b[1:3]:
+            return [*a[:3], _same(a[3], b[3])]
+        size = lambda x: (x[1], 1) if x[0] == TEXT else (x[1], x[2])
         (m, n), (p, q) = size(a), size(b)
         return [SLOT, m + p, n + q]
-    return [TAG, a[1], a[2] or b[2], align(a[3], b[3])]
+    return [TAG, a[1], a[2] or b[2], align(a[3], b[3]), _same(a[4], b[4]), _same(a[5], b[5])]
 
 
 def align(a: list, b: list) -> list:
@@ -264,7 +295,7 @@ def content(wrapper) -> list[str] | None:
 
     def mass(node) -> float:
         if node[0] == TEXT:
-            return len(node[1])
+            return node[1]
         if node[0] == SLOT:
             return 4 * node[1] / node[2]
         if node[0] == OPTIONAL:
@@ -273,6 +304,16 @@ def content(wrapper) -> list[str] | None:
             return 3 * mass(node[1])
         return 0.0 if node[2] else sum(map(mass, node[3]))
 
+    def constant(node) -> bool:
+        """Whether an element has no running text but what different pages share."""
+        if node[0] == OPTIONAL:
+            return constant(node[1])
+        if node[0] == SLOT:
+            return False
+        if node[0] == TAG and node[2] or node[0] == REPEAT and node[1][0] == TAG and node[1][2]:
+            return True
+        return node[-2] == 0 or (node[-2] is not None and node[-1] is None)
+
     def named(node, path):
         if node[0] in (OPTIONAL, REPEAT):
             yield from named(node[1], path)
@@ -291,7 +332,8 @@ def content(wrapper) -> list[str] | None:
         inner = [(c[1] if c[0] in (OPTIONAL,) else c) for c in node[3]]
         inner = [c for c in inner if c[0] == TAG and not c[2] and c[1].split(".")[0] in ("html", "body", "div", "section", "table", "tbody", "tr", "td", "center")]
         top = max(inner, key=mass, default=None)
-        if top is None or mass(top) < 0.75 * mass(node) or not mass(top):
+        # elements of the same path as the chosen one are read with it
+        if top is None or not mass(top) or not all(constant(c) for c in node[3] if _label(c) != top[1]):
             return path or None
         node, path = top, [*path, top[1]]
 

@@ -57,3 +57,18 @@ def test_pages_table(spark):
         blocks = [" ".join(unescape(re.sub(r"<br>", " ", x) if "<" in x else x).split()) for x in re.split(r"</?(?:p|h1|h2|li|ul|div)[^>]*>", inner)]
         want = "\n\n".join(x for x in (re.sub(r"<[^>]*>", "", b).strip() for b in blocks) if x)
         assert " ".join(r["text"].split()) == " ".join(want.split()), r["page_id"]
+
+
+def test_text_beside_the_largest_element_stays():
+    def one(i, lead=True):
+        top = "<div class=top><a>Home</a><a>About us</a></div>"
+        return f"<html><body>{top}<div class=page><h1>Head {i}</h1>" + f"<div class=lead>Lead {i} first</div>" * lead + f"<div class=text><p>{f'words {i} ' * 60}</p><p>end</p></div></div><div class=bottom>All rights</div></body></html>"
+
+    for pages in ([one(i) for i in range(4)], [one(i, i != 2) for i in range(4)]):
+        path = op.content(op.infer(pages))
+        assert path == ["html", "body", "div.page"]
+        got = op.extract(pages[1], path)
+        assert got.startswith("Head 1\n\nLead 1 first\n\nwords 1") and "Home" not in got and "rights" not in got
+    # one page, or the same one again, doesn't tell what is boilerplate
+    for pages in ([one(1)], [one(1)] * 3):
+        assert "Head 1\n\nLead 1 first" in op.extract(pages[0], op.content(op.infer(pages)))
