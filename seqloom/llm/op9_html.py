@@ -15,27 +15,31 @@ parts or elements whose class or id names an advert, notice, share bar, comment
 left out.  Blocks are joined by a blank line; white space in a block is one space; character
 references are decoded once.
 
-Wrappers come from at most SAMPLE pages of a host (those of smallest hash), whatever its size;
-pages of a hot host are spread over tasks like all others.  Defined results: null or empty html
-gives an empty text; a null or odd url is a host of its own ("") and uses the same rules; repeated
+Pages of a host with the same structure (containers down to the second level of the body) have one
+wrapper, from all of them and their whole streams: each batch of pages gives partial wrappers,
+which are merged in salted groups and then for the whole, so a hot host is spread over tasks like all
+others.  Children too long to be aligned are gathered by label into repeated groups.  Defined
+results: null or empty html gives an empty text; a null or odd url is a host of its own ("") and uses the same rules; repeated
 rows give repeated rows; extra columns are ignored.
 """
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as htmllib
 import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, table
 
-SAMPLE = 8
-#: Tokens of a sample page that are aligned; the extractor reads all.
-SAMPLE_TOKENS = 20_000
+#: Partial wrappers of a page structure are merged in so many groups first.
+SALTS = 64
+#: More children than this that differ are gathered by label instead of aligned.
+LONG = 200
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<",
@@ -163,9 +167,7 @@ def tree(page: str) -> list:
     """
     root: list = [TAG, "", False, [], 0, 0]
     stack, walk = [root], Walker()
-    for n, (what, x, attrs) in enumerate(tokens(page)):
-        if n >= SAMPLE_TOKENS:
-            break
+    for what, x, attrs in tokens(page):
         if what == "text":
             if x.strip():
                 x = " ".join(x.split())
@@ -201,6 +203,24 @@ def tree(page: str) -> list:
     return root
 
 
+_HOLDS = {"html", "body", "div", "section", "article", "main", "center", "table", "tbody", "tr", "td"}
+
+
+def structure(root) -> str:
+    """The structure of a page's tree: the paths of its containers down to the second level of the body."""
+    out = set()
+
+    def walk(node, path, left):
+        for c in node[3]:
+            if c[0] == TAG and not c[2] and (name := c[1].split(".")[0]) in _HOLDS:
+                out.add(here := f"{path}/{c[1]}")
+                if down := left - (name not in ("html", "body")):
+                    walk(c, here, down)
+
+    walk(root, "", 2)
+    return f"{_digest(*sorted(out)):x}"
+
+
 def _label(node) -> str:
     kind = node[0]
     return "#" if kind in (TEXT, SLOT) else node[1] if kind == TAG else _label(node[1])
@@ -246,8 +266,19 @@ def merge(a, b):
 
 def align(a: list, b: list) -> list:
     """Children aligned by their longest common subsequence of labels; the rest is optional."""
-    n, m = len(a), len(b)
     la, lb = [_label(x) for x in a], [_label(x) for x in b]
+    head = 0
+    while head < min(len(a), len(b)) and la[head] == lb[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and la[-1 - tail] == lb[-1 - tail]:
+        tail += 1
+    if max(len(a), len(b)) - head - tail > LONG:
+        return _joined(gathered(a), gathered(b))
+    if head or tail:
+        i, j = len(a) - tail, len(b) - tail
+        return [*map(merge, a[:head], b[:head]), *align(a[head:i], b[head:j]), *map(merge, a[i:], b[j:])]
+    n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -267,6 +298,37 @@ def align(a: list, b: list) -> list:
     return out
 
 
+def gathered(nodes: list) -> list:
+    """One node for each label, in order of appearance: what repeats is a repeated group."""
+    groups: dict[str, list] = {}
+    for x in nodes:
+        groups.setdefault(_label(x), []).append(x)
+    out = []
+    for own in groups.values():
+        if len(own) > 1:
+            own = [x[1] if x[0] == OPTIONAL else x for x in own]
+            if any(x[0] == SLOT for x in own):
+                own = [[SLOT, sum(x[1] for x in own), sum(x[2] if x[0] == SLOT else 1 for x in own)]]
+            else:
+                seen = [x[-2] for x in own]
+                both = None if None in seen else _digest(*filter(None, seen)) if any(seen) else 0
+                pages = {x[-1] for x in own}
+                page = pages.pop() if len(pages) == 1 else None
+                if own[0][0] == TEXT:
+                    own = [[TEXT, sum(x[1] for x in own), both, page]]
+                else:
+                    own = [[REPEAT, functools.reduce(merge, [x[1] if x[0] == REPEAT else x for x in own]), both, page]]
+        out.append(own[0])
+    return out
+
+
+def _joined(a: list, b: list) -> list:
+    """Gathered children of two pages, aligned by label."""
+    left, right = ({_label(x): x for x in y} for y in (a, b))
+    option = lambda x: x if x[0] == OPTIONAL else [OPTIONAL, x]
+    return [merge(x, right[k]) if k in right else option(x) for k, x in left.items()] + [option(x) for k, x in right.items() if k not in left]
+
+
 def infer(pages: list[str]):
     """The wrapper of pages of one host."""
     out = None
@@ -331,7 +393,7 @@ def content(wrapper) -> list[str] | None:
     while True:
         inner = [(c[1] if c[0] in (OPTIONAL,) else c) for c in node[3]]
         inner = [c for c in inner if c[0] == TAG and not c[2] and c[1].split(".")[0] in ("html", "body", "div", "section", "table", "tbody", "tr", "td", "center")]
-        top = max(inner, key=mass, default=None)
+        top = max((c for c in inner if not constant(c)), key=mass, default=None)
         # elements of the same path as the chosen one are read with it
         if top is None or not mass(top) or not all(constant(c) for c in node[3] if _label(c) != top[1]):
             return path or None
@@ -345,10 +407,9 @@ def extract(page: str | None, path: list[str] | None) -> str:
     if not page:
         return ""
     stream = list(tokens(page))
-    wanted = path[-1] if path else None
-    text = _read(stream, lambda k, n: k == wanted) if wanted and wanted not in ("html", "body") else ""
+    text = _read(stream, lambda keys, n: keys == path) if path and path[-1] not in ("html", "body") else ""
     for name in ("article", "main"):
-        text = text or _read(stream, lambda k, n, name=name: n == name)
+        text = text or _read(stream, lambda keys, n, name=name: n == name)
     return text or _read(stream, None)
 
 
@@ -356,6 +417,7 @@ def _read(stream, start) -> str:
     """Text of the elements for which ``start`` holds, or of the whole page without it."""
     walk = Walker()
     quiet, inside = 0, 0  # open noisy elements, open content elements
+    keys: list[str] = []  # of the open elements
     marks: list[tuple[bool, bool, bool]] = []  # (noisy, content, block) of each open element
     blocks: list[str] = []
     now: list[str] = []
@@ -370,6 +432,7 @@ def _read(stream, start) -> str:
         nonlocal quiet, inside
         for _ in range(k):
             walk.names.pop()
+            keys.pop()
             n, c, b = marks.pop()
             if b or c:
                 cut()
@@ -388,7 +451,8 @@ def _read(stream, start) -> str:
                 now.append(" ")
             if x in _VOID:
                 continue
-            c = start is not None and not quiet and start(key(x, attrs), x)
+            keys.append(key(x, attrs))
+            c = start is not None and not quiet and start(keys, x)
             # the headings of an article's own header belong to it
             n = noisy(x, attrs) or (x == "header" and not inside)
             walk.names.append(x)
@@ -411,29 +475,47 @@ def host_of(url):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html) to (host, path): the content element of each host."""
-    ids = pages.select("page_id", host_of(F.col("url")).alias("host")).filter(F.col("page_id").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id"))
-    picked = ids.distinct().withColumn("rank", rank).filter(F.col("rank") <= SAMPLE).select("page_id")
-    sample = pages.join(picked, "page_id", "left_semi").filter("html <> ''").select(host_of(F.col("url")).alias("host"), "page_id", "html").groupBy("host", "page_id").agg(F.min("html").alias("html"))
+    """``pages`` (page_id, url, html) to (host, structure, path): the content element of each."""
+
+    def learn(batches):
+        for batch in batches:
+            found: dict[tuple[str, str], list] = {}
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t = tree(page)
+                k, t = (host, structure(t)), fold(t)
+                found[k] = merge(found[k], t) if k in found else t
+            rows = [(*k, json.dumps(w)) for k, w in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["host", "structure", "wrapper"])
+
+    def merged(t: pa.Table):
+        return functools.reduce(merge, map(json.loads, sorted(t["wrapper"].to_pylist())))
+
+    def some(t: pa.Table) -> pa.Table:
+        return pa.table({**{k: [t[k][0].as_py()] for k in ("host", "structure")}, "wrapper": [json.dumps(merged(t))]})
 
-    def learn(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t["page_id"].to_pylist(), t["html"].to_pylist()))
-        w = infer([h for _, h in rows])
-        return pa.table({"host": [t["host"][0].as_py()], "path": [json.dumps(content(w))]})
+    def last(t: pa.Table) -> pa.Table:
+        return pa.table({**{k: [t[k][0].as_py()] for k in ("host", "structure")}, "path": [json.dumps(content(merged(t)))]})
 
-    return stored(sample.groupBy("host").applyInArrow(learn, "host string, path string"), "wrappers")
+    parts = small_batches(pages).filter("html <> ''").select(host_of(F.col("url")).alias("host"), "html").mapInArrow(learn, "host string, structure string, wrapper string")
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "structure", "salt").applyInArrow(some, "host string, structure string, wrapper string")
+    return stored(salted.groupBy("host", "structure").applyInArrow(last, "host string, structure string, path string"), "wrappers")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) to (page_id, url, text, n_chars), one row for each row."""
 
+    def place(batches):
+        for batch in batches:
+            found = [structure(tree(h)) if h else None for h in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["page_id", "url", "html", "host", "structure"])
+
     def run(batches):
         for batch in batches:
             text = [extract(h, json.loads(p) if p else None) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = small_batches(pages).withColumn("host", host_of(F.col("url"))).join(wrappers(pages), "host", "left")
+    placed = small_batches(pages).select("page_id", "url", "html", host_of(F.col("url")).alias("host")).mapInArrow(place, "page_id long, url string, html string, host string, structure string")
+    joined = placed.join(wrappers(pages), ["host", "structure"], "left")
     return joined.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -72,3 +72,24 @@ def test_text_beside_the_largest_element_stays():
     # one page, or the same one again, doesn't tell what is boilerplate
     for pages in ([one(1)], [one(1)] * 3):
         assert "Head 1\n\nLead 1 first" in op.extract(pages[0], op.content(op.infer(pages)))
+
+
+def test_rare_templates_and_long_menus(spark):
+    body = lambda i: f"<p>{f'words {i} ' * 50}</p><p>end {i}</p>"
+    common = lambda i: f"<html><body><div class=wrap><div class=head>Site</div><div class=text>{body(i)}</div></div></body></html>"
+    rare = lambda i: f"<html><body><div class=page><div class=story>{body(i)}</div><div class=box><div class=text>Small {i}</div></div></div></body></html>"
+    links = "<div class=links>" + "<a>go</a><b>x</b>" * 6000 + "</div>"
+    long = lambda i: f"<html><body>{links}<div class=text>{body(i)}</div></body></html>"
+    rows = [(i, "http://a.example/", common(i)) for i in range(60)] + [(i, "http://a.example/", rare(i)) for i in range(60, 63)] + [(i, "http://b.example/", long(i)) for i in range(63, 66)]
+    got = {r["page_id"]: r["text"] for r in op.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    want = {i: f"{('words %d ' % i * 50).strip()}\n\nend {i}" for i in range(66)}
+    assert all(got[i] == want[i] for i in [*range(60), *range(63, 66)])
+    assert all(got[i] == f"{want[i]}\n\nSmall {i}" for i in range(60, 63))
+
+
+def test_long_children_are_gathered():
+    name = lambda k, i: "h2" if (k * k + i) % 3 else "p"
+    pages = [f"<body><div class=t>{i}</div>" + "".join(f"<{name(k, i)}>{k}</{name(k, i)}><ul><li>{k}</ul>" for k in range(1, 4000)) for i in range(3)]
+    w = op.infer(pages)
+    assert all(x in op.expression(w) for x in ("(<ul><li>#slot</li></ul>)+", "(<h2>#slot</h2>)+", "(<p>#slot</p>)+")) and len(op.expression(w)) < 200
+    assert op.content(w) == ["body"]
