@@ -337,7 +337,24 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the smallest id stays."""
-    classes = near_duplicates(docs.select("doc_id", "text"))
-    keep = classes.filter("id = class_id").select(F.col("id").alias("doc_id"))
-    return docs.dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """Pipeline stage: of each class the document with the smallest id stays.
+
+    Rows that share an id but not the text are documents of their own: the one of smallest text
+    hash goes by the id, the others by a hash of id and text.  Rows without an id all stay.
+    """
+    known = docs.filter("doc_id is not null").withColumn("neardup_key", F.col("doc_id").cast("long"))
+    mark = F.xxhash64(F.col("text").cast("string"))
+    twice = known.groupBy("neardup_key").agg(F.min(mark).alias("neardup_first"), F.max(mark).alias("neardup_last"))
+    twice = stored(twice.filter("neardup_first <> neardup_last").drop("neardup_last"), "repeated")
+    if not twice.isEmpty():
+        other = F.col("neardup_first").isNotNull() & (mark != F.col("neardup_first"))
+        known = stored(known.join(twice, "neardup_key", "left").withColumn("neardup_key", F.when(other, F.xxhash64("neardup_key", mark)).otherwise(F.col("neardup_key"))).drop("neardup_first"), "keyed")
+    classes = near_duplicates(known.select("neardup_key", "text"), "neardup_key")
+    if twice.isEmpty():
+        keep = classes.filter("id = class_id").select(F.col("id").alias("neardup_key"))
+    else:
+        ids = known.select("neardup_key", F.col("doc_id").cast("long").alias("own")).distinct()
+        best = F.min(F.struct("own", "id"))["id"].alias("neardup_key")
+        keep = classes.join(ids, F.col("id") == F.col("neardup_key")).groupBy("class_id").agg(best).select("neardup_key")
+    kept = known.dropDuplicates(["neardup_key"]).join(keep, "neardup_key", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))

@@ -90,3 +90,16 @@ def test_signature_is_unbiased():
         sig = [op.signatures(hs[list(d)], np.array(list(d.values())), np.array([0, len(d)]), 512)[0] for d in (a, b)]
         errors.append((sig[0] == sig[1]).mean() - jaccard(Counter(a), Counter(b)))
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.035
+
+
+def test_stage_keeps_documents_with_odd_ids(spark):
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(60))
+    a, b, c = text("a"), text("b"), text("c")
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, c), (None, text("n")), (None, a), (4, None)]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    out = op.stage(spark, df, "")
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in out.collect()))
+    assert got == sorted([(3, a), (5, b), (9, c), (0, text("n")), (0, a), (4, "")])
+    plain = df.filter("doc_id in (3, 7, 9)")
+    assert sorted(r["doc_id"] for r in op.stage(spark, plain, "").collect()) == [3, 7, 9]
