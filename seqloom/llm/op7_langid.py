@@ -13,7 +13,7 @@ languages, and each seen context a row with its escapes, so a byte costs one loo
 bytes of an unseen gram one more for each order.
 
 Training uses at most SAMPLE_DOCS documents of a language, those of smallest hash, and at most
-SAMPLE_BYTES of their whole texts; at most MAX_LANGS languages, the commonest, are learned.  The
+SAMPLE_BYTES of their whole texts, but always one text; at most MAX_LANGS languages, the commonest, are learned.  The
 bounds do not depend on the size of the input.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0; without any
@@ -156,7 +156,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Ppm:
     found = rows.filter(F.col("id").isin(ids) & F.col("lang").isin(langs) & F.col("text").isNotNull())
     for r in found.select("lang", "text", F.xxhash64("id").alias("h")).orderBy("lang", "h", "text").toLocalIterator():
         raw = r[1].encode()
-        if raw and size[r[0]] + len(raw) <= SAMPLE_BYTES:
+        if raw and (not samples[r[0]] or size[r[0]] + len(raw) <= SAMPLE_BYTES):
             samples[r[0]].append(raw)
             size[r[0]] += len(raw)
     return Ppm({k: v for k, v in samples.items() if v}, order)

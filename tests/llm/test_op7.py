@@ -61,3 +61,9 @@ def test_odd_rows(spark):
     none = df.limit(0)
     assert op.identify(none.select("id", "text"), op.train(none)).collect() == []
     assert {r["lang_pred"] for r in op.identify(df.select("id", "text"), op.train(none)).collect()} == {"und"}
+
+
+def test_language_of_long_texts_only_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(op, "SAMPLE_BYTES", 1000)
+    rows = [(i, "some short text " * 5, "xa") for i in range(40)] + [(i, "zuviel langes " * 100, "xb") for i in range(40, 80)]
+    assert op.train(spark.createDataFrame(rows, "id long, text string, lang string")).langs == ["xa", "xb"]
