@@ -1,34 +1,46 @@
 """Main text of web pages by wrappers inferred from pages of the same host.
 
-Union-free regular-expression inference: a page is a stream of tags and texts.  Runs of equal
-neighbours become repeated groups; the pages of a host are aligned one after the other with the
-wrapper so far, and each mismatch is resolved: differing texts become a text slot, an element on
-one side only becomes an optional group, a repeated element a repeated group.  The result is an
-expression of sequence, slot, optional and repetition, without unions.  The wrapper tells where
-the pages of the host differ in their running text: its content element, the innermost one
-outside of which all text is the same on different pages, or in menus and the like.  An <article> or <main> in that place is
-taken first.  The extractor then reads every page's whole stream inside that element, or, where
-a page hasn't got it, inside its own article, main or body.
-
-Inside the content element, what lies in scripts, styles, forms, menus, asides, footers, hidden
-parts or elements whose class or id names an advert, notice, share bar, comment list and so on is
-left out.  Blocks are joined by a blank line; white space in a block is one space; character
-references are decoded once.
+Union-free regular-expression inference: a page is a stream of block elements and runs of text.
+Runs of equal neighbours become repeated groups; the pages of a host are aligned one after the
+other with the wrapper so far, and each mismatch is resolved: differing texts become a text slot, an
+element on one side only becomes optional, a repeated element a repeated group.  The result
+is an expression of sequence, slot, optional and repetition, without unions.
+
+The wrapper decides what is read.  Its content group is the least element outside of which all
+running text is the same on different pages (or is noise); where several elements vary, an
+<article> or <main> that holds at least half of the varying text is gone on to.  A page is matched
+against the wrapper along the way to that group; what lies outside is template and goes.  Inside,
+text that differs between pages (the slots) stays, and so does what only some pages have; an
+element that most of at least MIN_PAGES different pages repeat word for word is template text
+and goes too, unless it is a heading or such text is a large part of the pages (copies of one
+article).  Pages that haven't got the group are read inside their own article, main or body.
+
+Left out inside the group: scripts, styles, forms and their controls, menus, asides, footers,
+hidden parts, by their tags, roles or states.  Names (a class or id that says advert, notice, side bar,
+reader comments ...) count only together with what the page shows: such an element goes
+if the text outside of all such elements is at least as long, or if it is a list of comments beside other
+text.  So a name alone never takes the larger part of a page.  Blocks are joined by a blank line;
+white space in a block is one space; character references are decoded once.
 
 Pages of a host with the same structure (containers down to the second level of the body) have one
-wrapper, from all of them and their whole streams: each batch of pages gives partial wrappers,
-which are merged in salted groups and then for the whole, so a hot host is spread over tasks like all
-others.  Children too long to be aligned are gathered by label into repeated groups.  Defined
-results: null or empty html gives an empty text; a null or odd url is a host of its own ("") and uses the same rules; repeated
-rows give repeated rows; extra columns are ignored.
+wrapper, from all of them and their whole streams.  Each partition gives partial wrappers, which
+are merged in salted groups and then for the whole, so a hot host is spread over tasks like all others.
+Children too long to be aligned are gathered by label into repeated groups, and by tag alone where even the
+labels are too many, so a wrapper doesn't grow with the pages.  A page is read in one forward scan and in
+time linear in its length, at any depth.
+
+Defined results: null or empty html gives an empty text; a null or odd url is a host of its own ("")
+and uses the same rules; repeated rows give repeated rows; extra columns are ignored.
 """
 from __future__ import annotations
 
-import functools
 import hashlib
 import html as htmllib
+import itertools
 import json
 import re
+import sys
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,483 +52,751 @@ from .common import small_batches, stored, table
 SALTS = 64
 #: More children than this that differ are gathered by label instead of aligned.
 LONG = 200
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<",
-    re.S,
-)
-_ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+#: Nodes of partial wrappers that a task holds before it gives them out.
+HELD_NODES = 200_000
+#: Pages on which template text inside the content group has to be the same.
+MIN_PAGES = 3
+#: Share of a page's text that such template text may have.
+MOST_TEMPLATE = 0.25
+#: How much longer than the rest of the text an element may be that goes by its name.
+NAMED_RATIO = 4
+
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+# An attribute's value is quoted only right after =, as browsers read it.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+")
+_ATTR = re.compile(r"([A-Za-z_:][-\w:.]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
+_USEFUL = re.compile(r"class|id|role|hidden|style", re.I)
+_RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
-    "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu",
-    "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu",
+    "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "xmp",
 }
-_DROP = {
-    "script", "style", "noscript", "template", "head", "title", "nav", "aside", "footer", "form", "button", "select", "textarea", "iframe", "svg",
-    "canvas", "audio", "video", "object", "embed", "map", "menu", "dialog", "math", "datalist", "input", "label", "noembed", "noframes", "xmp",
-}
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|menu\w*|nav\w*|breadcrumb\w*|side-?bar\w*|foot(?:er)?|masthead|topbar|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search\w*|pagination|pager|widget\w*|toolbar|skip-link)(?=$|[\s_-])",
+#: Never running text: scripts, styles, what isn't shown, menus, side bars, footers, forms and their controls.
+_DROP = {"script", "style", "template", "head", "title", "iframe", "noembed", "noframes", "nav", "menu", "aside", "footer", "form", "button", "select", "textarea", "datalist"}
+_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form"}
+_NAMED = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumbs?|pagination|side-?bar|footer|masthead|topbar|cookies?|consent|gdpr|notices?|alert|popup|comments?|commentlist|disqus|replies)(?=$|[\s_-])",
     re.I,
 )
-_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
+_COMMENTS = re.compile(r"comment|disqus|replies", re.I)
 _CLOSES_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "summary", "legend"}
-_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "html"}
+_P_SCOPE = _SCOPE | {"td", "th", "li"}
+_CELLS = {"td", "th"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_HOLDS = {"html", "body", "div", "section", "article", "main", "center", "table", "tbody", "tr", "td"}
 
+#: What an element is besides running text: nothing, named like noise, a list of comments, a header.
+PLAIN, NAMED, COMMENTS, HEADER = 0, 1, 2, 3
+
+
+# ------------------------------------------------------------------ reading
 
 def tokens(page: str):
-    """('open', name, attributes), ('close', name) and ('text', text) of a page, in order."""
+    """('open', name, attributes), ('close', name) and ('text', text) of a page, in one forward scan."""
     at, end = 0, len(page)
+    quotes = True  # until a tag's quotes swallow the rest of the page
     while at < end:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        name = m[2] or m[5]
-        if name is None:
-            x = m[0]
-            if x.startswith("<![CDATA["):
-                yield "text", x[9:-3] if x.endswith("]]>") else x[9:], None
-            elif not x.startswith(("<!", "<?")):
-                yield "text", htmllib.unescape(x), None
+        if page[at] != "<":
+            cut = page.find("<", at)
+            cut = end if cut < 0 else cut
+            yield "text", htmllib.unescape(page[at:cut]), None
+            at = cut
+            continue
+        m = _NAME.match(page, at)
+        if m is None:
+            if page.startswith("<!--", at):
+                cut = page.find("-->", at + 4)
+                at = end if cut < 0 else cut + 3
+            elif page.startswith("<![CDATA[", at):
+                cut = page.find("]]>", at)
+                yield "text", page[at + 9: end if cut < 0 else cut], None
+                at = end if cut < 0 else cut + 3
+            elif page.startswith(("<!", "<?"), at):
+                cut = page.find(">", at)
+                at = end if cut < 0 else cut + 1
+            else:
+                yield "text", "<", None
+                at += 1
             continue
-        name = name.lower()
-        if m[1] or m[4]:
+        name, begin = m[2].lower(), m.end()
+        stop = _REST.match(page, begin).end() if quotes else page.find(">", begin)
+        if quotes and stop >= end:
+            quotes = False
+            stop = page.find(">", begin)
+        if stop < 0:  # no tag closes any more: the rest is text
+            yield "text", htmllib.unescape(page[at:]), None
+            return
+        at = stop + 1
+        if m[1]:
             yield "close", name, None
             continue
-        rest = m[3] if m[2] else m[6]
-        attrs = {k.lower(): htmllib.unescape(v.strip("\"'")) for k, v in _ATTR.findall(rest)} if rest.strip(" /\n\t") else {}
+        rest = page[begin:stop]
+        attrs = {k.lower(): htmllib.unescape(v.strip("\"'")) for k, v in _ATTR.findall(rest)} if _USEFUL.search(rest) else {}
         yield "open", name, attrs
         if name in _RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            body = page[at: close.start() if close else end]
-            if name in ("textarea", "title") and body:
-                yield "text", htmllib.unescape(body), None
+            close = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
             yield "close", name, None
-            at = close.end() if close else end
-
-
-def noisy(name: str, attrs: dict) -> bool:
-    """Whether an element is no running text, by its tag, role, state or names."""
-    if name in _DROP:
-        return True
-    if not attrs:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in _ROLES:
-        return True
-    if re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    return name not in ("html", "body") and any(_NOISE.search(attrs[k]) for k in ("class", "id") if k in attrs)
-
+            if close is None:
+                return
+            cut = page.find(">", close.end())
+            at = end if cut < 0 else cut + 1
 
-def key(name: str, attrs: dict) -> str:
-    """An element as the alignment sees it: its tag and its first class."""
-    first = attrs.get("class", "").split() if attrs else ()
-    return f"{name}.{first[0]}" if first else name
 
-
-class Walker:
-    """The open elements of a page, with the closings that HTML implies."""
+class Open:
+    """The open elements of a page, with the closings that HTML implies; each step in constant time."""
 
     def __init__(self):
         self.names: list[str] = []
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.scope, self.p_scope, self.cells, self.blocks = [-1], [-1], [-1], [-1]
+        self._kinds = ((_SCOPE, self.scope), (_P_SCOPE, self.p_scope), (_CELLS, self.cells), (_BLOCK, self.blocks))
+
+    def push(self, name: str) -> None:
+        i = len(self.names)
+        self.names.append(name)
+        self.at[name].append(i)
+        for kind, places in self._kinds:
+            if name in kind:
+                places.append(i)
+
+    def pop(self) -> None:
+        name = self.names.pop()
+        self.at[name].pop()
+        for kind, places in self._kinds:
+            if name in kind:
+                places.pop()
+
+    def last(self, name: str) -> int:
+        places = self.at.get(name)
+        return places[-1] if places else -1
 
     def implied(self, name: str) -> int:
         """How many elements a start tag closes."""
-        names, n = self.names, 0
-        if name in _CLOSES_P and "p" in names:
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] == "p":
-                    n = len(names) - i
-                    break
-                if names[i] in _SCOPE or names[i] in ("td", "th", "li"):
-                    break
+        low = len(self.names)
+        if name in _CLOSES_P and (p := self.last("p")) > self.p_scope[-1]:
+            low = p
         if name in _SAME:
-            for i in range(len(names) - 1 - n, -1, -1):
-                if names[i] in _SAME[name]:
-                    n = len(names) - i
-                    if name != "tr" or names[i] == "tr":
-                        break
-                elif names[i] in _SCOPE:
-                    break
-        return n
+            own = [i for i in map(self.last, _SAME[name]) if i > self.scope[-1]]
+            if own:
+                low = min(low, min(own) if name == "tr" else max(own))
+        return len(self.names) - low
 
     def closed(self, name: str) -> int:
-        """How many elements an end tag closes; 0 if it matches none."""
-        for i in range(len(self.names) - 1, -1, -1):
-            if self.names[i] == name:
-                return len(self.names) - i
-        return 0
+        """How many elements an end tag closes; 0 if it matches none that it may close."""
+        i = self.last(name)
+        if i < 0 or (name not in _BLOCK and self.blocks[-1] > i) or (name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") and self.cells[-1] > i):
+            return 0
+        return len(self.names) - i
 
 
-# ------------------------------------------------------------------ wrappers
+def _hard(name: str, attrs: dict) -> bool:
+    """Whether an element is no running text by its tag, role or state."""
+    if name in _DROP:
+        return True
+    return bool(attrs) and ("hidden" in attrs or attrs.get("role", "").lower() in _ROLES or bool(re.search(r"display\s*:\s*none", attrs.get("style", ""))))
 
-TEXT, SLOT, TAG, OPTIONAL, REPEAT = "text", "slot", "tag", "optional", "repeat"
 
+def _kind(name: str, attrs: dict) -> int:
+    if name not in ("html", "body"):
+        for k in ("class", "id"):
+            if k in attrs and (m := _NAMED.search(attrs[k])):
+                return COMMENTS if _COMMENTS.search(m[0]) else NAMED
+    return HEADER if name == "header" else PLAIN
 
-def _digest(*parts) -> int:
-    return int.from_bytes(hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=7).digest())
 
+def key(name: str, attrs: dict) -> str:
+    """An element as the alignment sees it: its tag and its first class, long numbers left out."""
+    first = attrs.get("class", "").split() if attrs else ()
+    return f"{name}.{re.sub('[0-9]{3,}', '0', first[0])}" if first else name
 
-def tree(page: str) -> list:
-    """A page as nested nodes [TAG, key, noisy, children, digest, page] and [TEXT, length, digest, page].
 
-    The digest of an element is that of its running text, 0 without any; ``page`` that of the
-    page's.  In wrappers either is None where the pages differ.
-    """
-    root: list = [TAG, "", False, [], 0, 0]
-    stack, walk = [root], Walker()
+def parsed(page: str) -> list:
+    """A page as a flat list: '<' + kind + key opens an element, '>' closes it, a number (the block,
+    negative inside links, from 1) comes before its text.  What is never running text is left out."""
+    out: list = []
+    walk = Open()
+    marks: list[tuple[bool, bool, bool]] = []  # (silent, shown as an element, link) of each open element
+    silent = links = 0
+    block, used = 1, False
+    now: list[str] = []
+
+    def flush():
+        nonlocal used
+        if now:
+            text = "".join(now)
+            now.clear()
+            if not text.isspace() or used:
+                out.extend((-block if links else block, text))
+                used = True
+
+    def cut():
+        nonlocal block, used
+        flush()
+        if used:
+            block, used = block + 1, False
+
+    def pop(n):
+        nonlocal silent, links
+        for _ in range(n):
+            name = walk.names[-1]
+            walk.pop()
+            quiet, shown, link = marks.pop()
+            if name in _BLOCK:
+                cut()
+            elif shown or link:
+                flush()
+            if shown:
+                out.append(">")
+            silent -= quiet
+            links -= link
+
     for what, x, attrs in tokens(page):
         if what == "text":
-            if x.strip():
-                x = " ".join(x.split())
-                stack[-1][3].append([TEXT, len(x), _digest(x), 0])
+            if not silent:
+                now.append(x)
         elif what == "open":
-            for _ in range(walk.implied(x)):
-                walk.names.pop()
-                stack.pop()
-            node = [TAG, key(x, attrs), noisy(x, attrs), [], 0, 0]
-            stack[-1][3].append(node)
-            if x not in _VOID and len(stack) < 200:
-                stack.append(node)
-                walk.names.append(x)
+            pop(walk.implied(x))
+            if x in _BLOCK:
+                cut()
+            elif x == "br" and not silent:
+                now.append(" ")
+            if x in _VOID:
+                continue
+            quiet = _hard(x, attrs)
+            kind = _kind(x, attrs)
+            shown = not silent and not quiet and (x in _BLOCK or kind != PLAIN)
+            link = x == "a" and not silent
+            if shown or link:
+                flush()
+            if shown:
+                out.append(f"<{kind}{key(x, attrs)}")
+            walk.push(x)
+            marks.append((quiet, shown, link))
+            silent += quiet
+            links += link
         else:
-            for _ in range(walk.closed(x)):
-                walk.names.pop()
-                stack.pop()
-
-    def sign(node):
-        if node[0] == TAG:
-            below = [d for d in map(sign, node[3]) if d]
-            node[4] = _digest(*below) if below and not node[2] else 0
-            return node[4]
-        return node[2]
-
-    def mark(node):
-        node[-1] = root[4]
-        for c in node[3] if node[0] == TAG else ():
-            mark(c)
-
-    sign(root)
-    mark(root)
-    return root
+            n = walk.closed(x)
+            if n:
+                pop(n)
+            elif x == "p":
+                cut()
+    pop(len(marks))
+    cut()
+    return out
 
 
-_HOLDS = {"html", "body", "div", "section", "article", "main", "center", "table", "tbody", "tr", "td"}
+def structure(flat: list) -> str:
+    """The structure of a page: the paths of its containers down to the second level of the body."""
+    out = set()
+    path: list[str] = []
+    levels: list[int] = []  # levels below html and body of each open element, past 2 if not followed
+    it = iter(flat)
+    for x in it:
+        if x.__class__ is int:
+            next(it)
+        elif x == ">":
+            path.pop()
+            levels.pop()
+        else:
+            name = x[2:].split(".")[0]
+            up = levels[-1] if levels else 0
+            level = up if name in ("html", "body") else up + 1
+            if x[1] != "0" or name not in _HOLDS or level > 2 or up > 2:
+                level = 3
+            path.append(x[2:])
+            levels.append(level)
+            if level <= 2:
+                out.add("/".join(path))
+    return f"{_digest(*sorted(out)):x}"
 
 
-def structure(root) -> str:
-    """The structure of a page's tree: the paths of its containers down to the second level of the body."""
-    out = set()
+def _digest(*parts) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=7).digest())
 
-    def walk(node, path, left):
-        for c in node[3]:
-            if c[0] == TAG and not c[2] and (name := c[1].split(".")[0]) in _HOLDS:
-                out.add(here := f"{path}/{c[1]}")
-                if down := left - (name not in ("html", "body")):
-                    walk(c, here, down)
 
-    walk(root, "", 2)
-    return f"{_digest(*sorted(out)):x}"
+# ------------------------------------------------------------------ trees and wrappers
 
+class Node:
+    """An element, or a run of text ("#"), of a page or a wrapper.
 
-def _label(node) -> str:
-    kind = node[0]
-    return "#" if kind in (TEXT, SLOT) else node[1] if kind == TAG else _label(node[1])
+    ``own`` is the digest of its running text, 0 without any, None where pages differ (a slot);
+    ``page`` is the digest of the page's, None where the node is of different pages; ``size`` is
+    the length of its running text in all ``count`` pages, a link's letter being a thousandth.
+    """
 
+    __slots__ = ("label", "kind", "kids", "own", "size", "page", "count", "repeat", "optional", "pieces")
+
+    def __init__(self, label, kind=PLAIN, kids=None, own=0, size=0.0, page=0, count=1, repeat=False, optional=False):
+        self.label, self.kind, self.kids, self.own, self.size, self.page, self.count, self.repeat, self.optional = label, kind, kids if kids is not None else [], own, size, page, count, repeat, optional
+        self.pieces = None  # of a page's text: (block, text)
+
+    @property
+    def tag(self) -> str:
+        return self.label.split(".")[0]
+
+
+def tree(flat: list, folded: bool) -> Node:
+    """The tree of a flat page; ``folded``: with runs of equal neighbours as repeated groups."""
+    root = Node("^")
+    stack, every = [root], [root]
+
+    def done(node):
+        below = [k.own for k in node.kids if k.own]
+        node.own = _digest(*below) if below and node.kind == PLAIN else 0
+        node.size = sum([k.size for k in node.kids]) if node.kind == PLAIN else 0.0
+        if folded:
+            node.kids = fold(node.kids)
+
+    it = iter(flat)
+    for x in it:
+        if x.__class__ is int:
+            text = next(it)
+            top = stack[-1].kids
+            if not (top and top[-1].label == "#" and abs(top[-1].pieces[-1][0]) == abs(x)):
+                top.append(Node("#"))
+                top[-1].pieces = []
+                every.append(top[-1])
+            top[-1].pieces.append((x, text))
+        elif x == ">":
+            stack.pop()
+        else:
+            node = Node(x[2:], int(x[1]))
+            stack[-1].kids.append(node)
+            stack.append(node)
+            every.append(node)
+    for node in reversed(every):  # elements after what they hold
+        if node.label == "#":
+            _weigh(node)
+        else:
+            done(node)
+    for node in every:
+        node.page = root.own
+    return root
 
-def fold(node):
-    """A tree with runs of equal neighbours as repeated groups."""
-    if node[0] != TAG:
-        return node
-    out: list = []
-    for child in map(fold, node[3]):
-        if out and _label(out[-1]) == _label(child):
-            last = out[-1]
-            if child[0] == TEXT:
-                out[-1] = [TEXT, last[1] + child[1], _digest(last[2], child[2]), child[3]]
-            else:
-                seen = last[2] if last[0] == REPEAT else last[4]
-                both = _digest(seen, child[4]) if seen or child[4] else 0
-                out[-1] = [REPEAT, merge(last[1] if last[0] == REPEAT else last, child), both, child[5]]
+
+def _weigh(node: Node) -> None:
+    words = " ".join("".join([t for _, t in node.pieces]).split())
+    node.own = _digest(words) if words else 0
+    node.size = sum([len(t.strip()) * (1.0 if b > 0 else 0.001) for b, t in node.pieces])
+
+
+def fold(kids: list[Node]) -> list[Node]:
+    """Runs of equal neighbours as repeated groups."""
+    out: list[Node] = []
+    for k in kids:
+        if out and out[-1].label == k.label:
+            a = out[-1]
+            both = _digest(a.own, k.own) if a.own or k.own else 0
+            out[-1] = Node(k.label, max(a.kind, k.kind), align(a.kids, k.kids), both, a.size + k.size, k.page, 1, k.label != "#")
         else:
-            out.append(child)
-    return [TAG, node[1], node[2], out, node[4], node[5]]
+            out.append(k)
+    return out
 
 
 def _same(x, y):
     return x if x == y else None
 
 
-def merge(a, b):
-    """The union-free expression of two expressions of the same label."""
-    if a[0] == OPTIONAL or b[0] == OPTIONAL:
-        return [OPTIONAL, merge(a[1] if a[0] == OPTIONAL else a, b[1] if b[0] == OPTIONAL else b)]
-    if a[0] == REPEAT or b[0] == REPEAT:
-        return [REPEAT, merge(a[1] if a[0] == REPEAT else a, b[1] if b[0] == REPEAT else b), _same(a[-2], b[-2]), _same(a[-1], b[-1])]
-    if a[0] in (TEXT, SLOT):
-        if a[0] == TEXT and b[0] == TEXT and a[1:3] == b[1:3]:
-            return [*a[:3], _same(a[3], b[3])]
-        size = lambda x: (x[1], 1) if x[0] == TEXT else (x[1], x[2])
-        (m, n), (p, q) = size(a), size(b)
-        return [SLOT, m + p, n + q]
-    return [TAG, a[1], a[2] or b[2], align(a[3], b[3]), _same(a[4], b[4]), _same(a[5], b[5])]
+def merge(a: Node, b: Node) -> Node:
+    """The union-free expression of two nodes of the same label, of different pages."""
+    return Node(a.label, max(a.kind, b.kind), align(a.kids, b.kids), _same(a.own, b.own), a.size + b.size, _same(a.page, b.page), a.count + b.count, a.repeat or b.repeat, a.optional or b.optional)
 
 
-def align(a: list, b: list) -> list:
+def _option(x: Node) -> Node:
+    x.optional = True
+    return x
+
+
+def align(a: list[Node], b: list[Node]) -> list[Node]:
     """Children aligned by their longest common subsequence of labels; the rest is optional."""
-    la, lb = [_label(x) for x in a], [_label(x) for x in b]
-    head = 0
-    while head < min(len(a), len(b)) and la[head] == lb[head]:
+    head, least = 0, min(len(a), len(b))
+    while head < least and a[head].label == b[head].label:
         head += 1
     tail = 0
-    while tail < min(len(a), len(b)) - head and la[-1 - tail] == lb[-1 - tail]:
+    while tail < least - head and a[-1 - tail].label == b[-1 - tail].label:
         tail += 1
-    if max(len(a), len(b)) - head - tail > LONG:
+    n, m = len(a) - head - tail, len(b) - head - tail
+    if max(n, m) > LONG:
         return _joined(gathered(a), gathered(b))
-    if head or tail:
-        i, j = len(a) - tail, len(b) - tail
-        return [*map(merge, a[:head], b[:head]), *align(a[head:i], b[head:j]), *map(merge, a[i:], b[j:])]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if la[i] == lb[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    option = lambda x: x if x[0] == OPTIONAL else [OPTIONAL, x]
-    while i < n or j < m:
-        if i < n and j < m and la[i] == lb[j]:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append(option(a[i]))
-            i += 1
-        else:
-            out.append(option(b[j]))
-            j += 1
+    out = [merge(x, y) for x, y in zip(a[:head], b[:head])]
+    i, j = head, head
+    if n and m:
+        la, lb = [x.label for x in a[head: head + n]], [x.label for x in b[head: head + m]]
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for p in range(n - 1, -1, -1):
+            for q in range(m - 1, -1, -1):
+                best[p][q] = best[p + 1][q + 1] + 1 if la[p] == lb[q] else max(best[p + 1][q], best[p][q + 1])
+        p = q = 0
+        while p < n and q < m:
+            if la[p] == lb[q]:
+                out.append(merge(a[head + p], b[head + q]))
+                p, q = p + 1, q + 1
+            elif best[p + 1][q] >= best[p][q + 1]:
+                out.append(_option(a[head + p]))
+                p += 1
+            else:
+                out.append(_option(b[head + q]))
+                q += 1
+        i, j = head + p, head + q
+    out += [_option(x) for x in a[i: head + n]] + [_option(x) for x in b[j: head + m]]
+    if tail:
+        out += [merge(x, y) for x, y in zip(a[-tail:], b[-tail:])]
     return out
 
 
-def gathered(nodes: list) -> list:
-    """One node for each label, in order of appearance: what repeats is a repeated group."""
+def gathered(nodes: list[Node]) -> list[Node]:
+    """One node for each label (each tag, if the labels are too many): what repeats is a repeated group."""
+    name = (lambda x: x.label) if len({x.label for x in nodes}) <= LONG else (lambda x: x.tag)
     groups: dict[str, list] = {}
     for x in nodes:
-        groups.setdefault(_label(x), []).append(x)
+        groups.setdefault(name(x), []).append(x)
     out = []
-    for own in groups.values():
+    for label, own in groups.items():
+        node = own[0]
         if len(own) > 1:
-            own = [x[1] if x[0] == OPTIONAL else x for x in own]
-            if any(x[0] == SLOT for x in own):
-                own = [[SLOT, sum(x[1] for x in own), sum(x[2] if x[0] == SLOT else 1 for x in own)]]
-            else:
-                seen = [x[-2] for x in own]
-                both = None if None in seen else _digest(*filter(None, seen)) if any(seen) else 0
-                pages = {x[-1] for x in own}
-                page = pages.pop() if len(pages) == 1 else None
-                if own[0][0] == TEXT:
-                    own = [[TEXT, sum(x[1] for x in own), both, page]]
-                else:
-                    own = [[REPEAT, functools.reduce(merge, [x[1] if x[0] == REPEAT else x for x in own]), both, page]]
-        out.append(own[0])
+            seen = [x.own for x in own]
+            both = None if None in seen else _digest(*filter(None, seen)) if any(seen) else 0
+            pages = {x.page for x in own}
+            for x in own[1:]:
+                node = merge(node, x)
+            node.own, node.page, node.count, node.repeat = both, pages.pop() if len(pages) == 1 else None, max([x.count for x in own]), label != "#"
+        node.label = label
+        out.append(node)
     return out
 
 
-def _joined(a: list, b: list) -> list:
-    """Gathered children of two pages, aligned by label."""
-    left, right = ({_label(x): x for x in y} for y in (a, b))
-    option = lambda x: x if x[0] == OPTIONAL else [OPTIONAL, x]
-    return [merge(x, right[k]) if k in right else option(x) for k, x in left.items()] + [option(x) for k, x in right.items() if k not in left]
+def _joined(a: list[Node], b: list[Node]) -> list[Node]:
+    """Gathered children of two pages, aligned by label (or tag)."""
+    if len({x.label for x in a} | {x.label for x in b}) > LONG:
+        for x in (*a, *b):
+            x.label = x.tag
+        a, b = gathered(a), gathered(b)
+    right = {x.label: x for x in b}
+    left = {x.label for x in a}
+    return [merge(x, right[x.label]) if x.label in right else _option(x) for x in a] + [_option(x) for x in b if x.label not in left]
+
+
+def written(root: Node) -> str:
+    """A wrapper as a flat list in JSON."""
+    out: list = []
+    stack: list = [root]
+    while stack:
+        x = stack.pop()
+        if x is None:
+            out.append("/")
+            continue
+        out += [x.label, x.kind, x.own, x.size, x.page, x.count, x.repeat, x.optional]
+        stack.append(None)
+        stack += reversed(x.kids)
+    return json.dumps(out)
+
+
+def read(text: str) -> Node:
+    flat = json.loads(text)
+    top = Node("")
+    stack, i = [top], 0
+    while i < len(flat):
+        if flat[i] == "/":
+            stack.pop()
+            i += 1
+        else:
+            label, kind, own, size, page, count, repeat, optional = flat[i: i + 8]
+            node = Node(label, kind, None, own, size, page, count, repeat, optional)
+            stack[-1].kids.append(node)
+            stack.append(node)
+            i += 8
+    return top.kids[0]
+
+
+class deep:
+    """Room for recursion over trees of any depth (calls between Python functions need no C stack)."""
+
+    def __enter__(self):
+        self.old = sys.getrecursionlimit()
+        sys.setrecursionlimit(10_000_000)
 
+    def __exit__(self, *_):
+        sys.setrecursionlimit(self.old)
 
-def infer(pages: list[str]):
+
+def infer(pages: list[str]) -> Node | None:
     """The wrapper of pages of one host."""
     out = None
-    for page in pages:
-        t = fold(tree(page))
-        out = t if out is None else merge(out, t)
+    with deep():
+        for page in pages:
+            t = tree(parsed(page), True)
+            out = t if out is None else merge(out, t)
     return out
 
 
-def expression(node) -> str:
+def expression(x: Node) -> str:
     """A wrapper as text: #text, #slot, (x)? and (x)+."""
-    if node[0] == TEXT:
-        return "#text"
-    if node[0] == SLOT:
-        return "#slot"
-    if node[0] == OPTIONAL:
-        return f"({expression(node[1])})?"
-    if node[0] == REPEAT:
-        return f"({expression(node[1])})+"
-    inner = " ".join(map(expression, node[3]))
-    return f"<{node[1]}>{inner}</{node[1].split('.')[0]}>" if node[1] else inner
-
-
-def content(wrapper) -> list[str] | None:
-    """Path of keys to the wrapper's content element, None if nothing stands out."""
-
-    def mass(node) -> float:
-        if node[0] == TEXT:
-            return node[1]
-        if node[0] == SLOT:
-            return 4 * node[1] / node[2]
-        if node[0] == OPTIONAL:
-            return mass(node[1])
-        if node[0] == REPEAT:
-            return 3 * mass(node[1])
-        return 0.0 if node[2] else sum(map(mass, node[3]))
-
-    def constant(node) -> bool:
-        """Whether an element has no running text but what different pages share."""
-        if node[0] == OPTIONAL:
-            return constant(node[1])
-        if node[0] == SLOT:
-            return False
-        if node[0] == TAG and node[2] or node[0] == REPEAT and node[1][0] == TAG and node[1][2]:
-            return True
-        return node[-2] == 0 or (node[-2] is not None and node[-1] is None)
-
-    def named(node, path):
-        if node[0] in (OPTIONAL, REPEAT):
-            yield from named(node[1], path)
-        elif node[0] == TAG and not node[2]:
-            here = [*path, node[1]] if node[1] else path
-            if node[1].split(".")[0] in ("article", "main"):
-                yield mass(node), here
-            for c in node[3]:
-                yield from named(c, here)
-
-    found = sorted(named(wrapper, []), key=lambda x: (-("article" in x[1][-1]), -x[0], len(x[1])))
-    if found and found[0][0] > 0:
-        return found[0][1]
+    if x.label == "#":
+        body = "#slot" if x.own is None else "#text"
+    else:
+        body = " ".join([expression(k) for k in x.kids])
+        body = body if x.label == "^" else f"<{x.label}>{body}</{x.tag}>"
+    body = f"({body})+" if x.repeat else body
+    return f"({body})?" if x.optional else body
+
+
+def constant(x: Node) -> bool:
+    """Whether a node has no running text but what different pages share."""
+    return x.kind != PLAIN or x.own == 0 or (x.own is not None and x.page is None)
+
+
+def group(wrapper: Node) -> tuple[list[str], Node]:
+    """The content group: the keys on the way to it, and its node."""
     node, path = wrapper, []
     while True:
-        inner = [(c[1] if c[0] in (OPTIONAL,) else c) for c in node[3]]
-        inner = [c for c in inner if c[0] == TAG and not c[2] and c[1].split(".")[0] in ("html", "body", "div", "section", "table", "tbody", "tr", "td", "center")]
-        top = max((c for c in inner if not constant(c)), key=mass, default=None)
-        # elements of the same path as the chosen one are read with it
-        if top is None or not mass(top) or not all(constant(c) for c in node[3] if _label(c) != top[1]):
-            return path or None
-        node, path = top, [*path, top[1]]
+        inner = [k for k in node.kids if not constant(k)]
+        labels = {k.label for k in inner}
+        rest = sum([k.size for k in node.kids if constant(k)])
+        if len(labels) != 1 or inner[0].tag not in _HOLDS or rest > sum([k.size for k in inner]):
+            break
+        # elements of the same label are all read; the largest one shows the way on
+        node = max(inner, key=lambda k: k.size)
+        path.append(node.label)
+    best = None
+    stack: list = [(node, None)]
+    while stack:
+        x, way = stack.pop()
+        for k in x.kids:
+            if k.kind == PLAIN and k.label != "#" and k.size * 2 >= node.size and k.size:
+                here = (k.label, way)
+                if k.tag in ("article", "main"):
+                    best = (k, here)
+                stack.append((k, here))
+    if best is not None and node.tag != "article":
+        node, way = best
+        below = []
+        while way is not None:
+            label, way = way
+            below.append(label)
+        path += reversed(below)
+    return path, node
+
+
+def content(wrapper: Node) -> list[str]:
+    return group(wrapper)[0]
+
+
+def rule(wrapper: Node) -> dict:
+    """What extraction needs: the way to the content group, and the template text inside it.
+
+    ``drop`` holds [key, digest] of elements that most of MIN_PAGES or more different pages repeat
+    word for word.
+    """
+    path, node = group(wrapper)
+    found, size = [], 0.0
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        for k in x.kids:
+            if k.label == "#" or k.kind != PLAIN:
+                continue
+            if k.own and constant(k) and k.count >= MIN_PAGES and 2 * k.count > node.count and k.tag not in _HEADINGS:
+                found.append([k.label, k.own])
+                size += k.size
+            elif k.own is None:
+                stack.append(k)
+    return {"path": path, "drop": found if size <= MOST_TEMPLATE * node.size else []}
 
 
 # ------------------------------------------------------------------ extraction
 
-def extract(page: str | None, path: list[str] | None) -> str:
-    """Main text of a page; ``path`` is the wrapper's content element."""
-    if not page:
-        return ""
-    stream = list(tokens(page))
-    text = _read(stream, lambda keys, n: keys == path) if path and path[-1] not in ("html", "body") else ""
-    for name in ("article", "main"):
-        text = text or _read(stream, lambda keys, n, name=name: n == name)
-    return text or _read(stream, None)
-
-
-def _read(stream, start) -> str:
-    """Text of the elements for which ``start`` holds, or of the whole page without it."""
-    walk = Walker()
-    quiet, inside = 0, 0  # open noisy elements, open content elements
-    keys: list[str] = []  # of the open elements
-    marks: list[tuple[bool, bool, bool]] = []  # (noisy, content, block) of each open element
-    blocks: list[str] = []
-    now: list[str] = []
+def _leaves(node: Node, drop, out: list) -> None:
+    """Text nodes below ``node`` in page order, those of named elements with that element."""
+    stack = [(node, None)]
+    while stack:
+        x, inside = stack.pop()
+        if x.label == "#":
+            out.append((x, inside))
+            continue
+        if inside is None and x is not node and x.kind in (NAMED, COMMENTS):
+            inside = x
+        kids = x.kids
+        if drop:
+            kept = []
+            for label, run in itertools.groupby(kids, key=lambda k: k.label):
+                run = list(run)
+                own = run[0].own
+                for k in run[1:]:
+                    own = _digest(own, k.own) if own or k.own else 0
+                if (label, own) not in drop:
+                    kept += run
+            kids = kept
+        for k in reversed(kids):
+            stack.append((k, inside))
+
+
+def _text(nodes: list[Node], drop=(), headers: bool = True) -> str:
+    """The text of page nodes.  ``headers``: whether header elements belong to it."""
+    found: list = []
+    for node in nodes:
+        _leaves(node, drop, found)
+    if not headers:
+        # a header at the top of the page, outside of any article
+        out_of = set()
+        for node in nodes:
+            stack = [node]
+            while stack:
+                x = stack.pop()
+                for k in x.kids:
+                    if k.kind == HEADER:
+                        below: list = []
+                        _leaves(k, (), below)
+                        out_of.update(id(t) for t, _ in below)
+                    elif k.tag not in ("article", "main"):
+                        stack.append(k)
+        found = [f for f in found if id(f[0]) not in out_of]
+    size: dict[int, int] = {}
+    rest = 0
+    for leaf, inside in found:
+        n = sum(len(t) for _, t in leaf.pieces)
+        if inside is None:
+            rest += n
+        else:
+            size[id(inside)] = size.get(id(inside), 0) + n
+    blocks: dict[int, list] = {}
+    for leaf, inside in found:
+        if inside is not None and rest and (size[id(inside)] <= NAMED_RATIO * rest or (inside.kind == COMMENTS and _records(inside))):
+            continue
+        for b, t in leaf.pieces:
+            blocks.setdefault(abs(b), []).append(t)
+    lines = (" ".join("".join(x).split()) for x in blocks.values())
+    return "\n\n".join(x for x in lines if x)
 
-    def cut():
-        line = " ".join("".join(now).split())
-        if line:
-            blocks.append(line)
-        now.clear()
-
-    def pop(k):
-        nonlocal quiet, inside
-        for _ in range(k):
-            walk.names.pop()
-            keys.pop()
-            n, c, b = marks.pop()
-            if b or c:
-                cut()
-            quiet -= n
-            inside -= c
 
-    for what, x, attrs in stream:
-        if what == "text":
-            if not quiet and (inside or start is None):
-                now.append(x)
-        elif what == "open":
-            pop(walk.implied(x))
-            if x in _BLOCK:
-                cut()
-            elif x == "br":
-                now.append(" ")
-            if x in _VOID:
-                continue
-            keys.append(key(x, attrs))
-            c = start is not None and not quiet and start(keys, x)
-            # the headings of an article's own header belong to it
-            n = noisy(x, attrs) or (x == "header" and not inside)
-            walk.names.append(x)
-            marks.append((n, c, x in _BLOCK))
-            quiet += n
-            inside += c
+def _records(node: Node) -> bool:
+    """Whether an element is a list: two children of a label, here or one level down."""
+    return any(len({k.label for k in x.kids}) < len(x.kids) for x in (node, *node.kids))
+
+
+def _named(root: Node, tag: str) -> list[Node]:
+    """The outermost elements of a tag."""
+    out, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if x.tag == tag and x.kind == PLAIN:
+            out.append(x)
         else:
-            k = walk.closed(x)
-            if k:
-                pop(k)
-            elif x == "p":
-                cut()
-    pop(len(marks))
-    cut()
-    return "\n\n".join(blocks)
+            stack += reversed(x.kids)
+    return out
+
+
+def main_of(flat: list, how: dict | None) -> str:
+    """Main text of a flat page; ``how`` is the rule of its wrapper."""
+    root = tree(flat, False)
+    if how is not None:
+        nodes = [root]
+        for label in how["path"]:
+            nodes = [k for x in nodes for k in x.kids if k.label == label]
+        whole = not how["path"] or how["path"][-1].split(".")[0] in ("html", "body")
+        drop = {(label, own) for label, own in how["drop"]}
+        if text := _text(nodes, drop, not whole) or _text(nodes, (), not whole):
+            return text
+    for tag in ("article", "main"):
+        if text := _text(_named(root, tag)):
+            return text
+    return _text([root], (), False) or _text([root])
+
+
+def extract(page: str | None, how: dict | None = None) -> str:
+    return main_of(parsed(page), how) if page else ""
 
 
+# ------------------------------------------------------------------ tables
+
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html) to (host, structure, path): the content element of each."""
+SCANNED = "page_id long, url string, host string, structure string, flat string, wrapper string"
+
+
+def _scan(batches):
+    """Rows of pages (with ``flat``) and, now and then, of partial wrappers (with ``wrapper``)."""
+    found: dict[tuple[str, str], Node] = {}
+    names = [x.split()[0] for x in SCANNED.split(", ")]
+    kinds = [pa.int64()] + [pa.string()] * 5
+    rows: list = []
+    held = size = 0
+
+    def given():
+        nonlocal rows, size
+        cols = list(zip(*rows)) if rows else [()] * 6
+        rows, size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    for batch in batches:
+        for page_id, url, html, host in zip(*(c.to_pylist() for c in batch.columns)):
+            flat = parsed(html) if html else []
+            k = (host, structure(flat)) if flat else (host, None)
+            if flat:
+                with deep():
+                    t = tree(flat, True)
+                    found[k] = merge(found[k], t) if k in found else t
+                held += len(flat)
+            text = json.dumps(flat, ensure_ascii=True)
+            rows.append((page_id, url, *k, text, None))
+            size += len(text)
+            if size > 8_000_000:
+                yield given()
+            if held > HELD_NODES:
+                rows += [(None, None, *k, None, written(w)) for k, w in found.items()]
+                found.clear()
+                held = 0
+                yield given()
+    rows += [(None, None, *k, None, written(w)) for k, w in found.items()]
+    yield given()
+
+
+def _merged(t: pa.Table) -> Node:
+    out = None
+    with deep():
+        for text in sorted(t["wrapper"].to_pylist()):
+            w = read(text)
+            out = w if out is None else merge(out, w)
+    return out
 
-    def learn(batches):
-        for batch in batches:
-            found: dict[tuple[str, str], list] = {}
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                t = tree(page)
-                k, t = (host, structure(t)), fold(t)
-                found[k] = merge(found[k], t) if k in found else t
-            rows = [(*k, json.dumps(w)) for k, w in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["host", "structure", "wrapper"])
 
-    def merged(t: pa.Table):
-        return functools.reduce(merge, map(json.loads, sorted(t["wrapper"].to_pylist())))
+def _some(t: pa.Table) -> pa.Table:
+    return pa.table({**{k: [t[k][0].as_py()] for k in ("host", "structure")}, "wrapper": [written(_merged(t))]})
 
-    def some(t: pa.Table) -> pa.Table:
-        return pa.table({**{k: [t[k][0].as_py()] for k in ("host", "structure")}, "wrapper": [json.dumps(merged(t))]})
 
-    def last(t: pa.Table) -> pa.Table:
-        return pa.table({**{k: [t[k][0].as_py()] for k in ("host", "structure")}, "path": [json.dumps(content(merged(t)))]})
+def _last(t: pa.Table) -> pa.Table:
+    return pa.table({**{k: [t[k][0].as_py()] for k in ("host", "structure")}, "how": [json.dumps(rule(_merged(t)))]})
 
-    parts = small_batches(pages).filter("html <> ''").select(host_of(F.col("url")).alias("host"), "html").mapInArrow(learn, "host string, structure string, wrapper string")
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "structure", "salt").applyInArrow(some, "host string, structure string, wrapper string")
-    return stored(salted.groupBy("host", "structure").applyInArrow(last, "host string, structure string, path string"), "wrappers")
+
+def wrappers(scanned: DataFrame) -> DataFrame:
+    """SCANNED rows to (host, structure, how): the rule of each page structure of a host."""
+    parts = scanned.filter("wrapper is not null").select("host", "structure", "wrapper")
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "structure", "salt").applyInArrow(_some, "host string, structure string, wrapper string")
+    return stored(salted.groupBy("host", "structure").applyInArrow(_last, "host string, structure string, how string"), "wrappers")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) to (page_id, url, text, n_chars), one row for each row."""
 
-    def place(batches):
-        for batch in batches:
-            found = [structure(tree(h)) if h else None for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["page_id", "url", "html", "host", "structure"])
-
     def run(batches):
         for batch in batches:
-            text = [extract(h, json.loads(p) if p else None) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            rules: dict = {}
+            text = []
+            for flat, how in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if how is not None and how not in rules:
+                    rules[how] = json.loads(how)
+                text.append(main_of(json.loads(flat), rules.get(how)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    placed = small_batches(pages).select("page_id", "url", "html", host_of(F.col("url")).alias("host")).mapInArrow(place, "page_id long, url string, html string, host string, structure string")
-    joined = placed.join(wrappers(pages), ["host", "structure"], "left")
-    return joined.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    rows = small_batches(pages).select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    scanned = stored(rows.mapInArrow(_scan, SCANNED), "pages")
+    joined = scanned.filter("flat is not null").join(wrappers(scanned), ["host", "structure"], "left")
+    return joined.select("page_id", "url", "flat", "how").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
