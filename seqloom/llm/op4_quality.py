@@ -6,12 +6,15 @@ its language: classes of characters, and the language's COMMON most frequent sho
 (1 to 5 letters, folded to lower case) against all other words.  The measure is the Jensen-Shannon
 distance (base 2, so 0 to 1).  A document fails if a distance is over its limit and the text is
 long enough for the histogram to mean something (the guards); the reference of a language holds
-if the language has at least MIN_REFERENCE words.
+if the language has at least MIN_REFERENCE words.  How far words can be from a reference depends on
+the language: a text with none of its common words is at ``far_words``, and the limit is WORD_SHARE of that.
+Where the common words are so rare that this is below MIN_FAR, chance alone would come
+near the limit, and the words aren't judged.
 
-References are counted over all documents with a language.  They are partial sums by language
-and by (language, word) and come to at most MAX_LANGS rows, the languages with most words; only
-these rows are broadcast.  Documents are never shuffled; three-word windows are found by sorting
-within the row.
+References are counted over all documents with a language: partial sums by language and by
+(language, short word), and a row for every language in the end, however many there are.  Documents aren't
+shuffled for the join with them as long as they are small enough to be broadcast, which
+Spark sees from the size of their written table; three-word windows are found by sorting within the row.
 
 Defined results: a null text has no words and fails the base rule; a null language, or one
 without a reference, is judged by the base rule alone; repeated rows give repeated rows; extra
@@ -26,9 +29,8 @@ from .common import stored, table
 
 COMMON = 20
 MIN_REFERENCE = 10_000
-MAX_LANGS = 1_000
 MAX_CHAR, MIN_CHAR_WORDS = 0.30, 50
-MAX_WORD, MIN_WORD_WORDS = 0.45, 200
+WORD_SHARE, MIN_FAR, MIN_WORD_WORDS = 0.7, 0.29, 200
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Patterns of the classes of characters; the last class is the rest.
@@ -111,24 +113,26 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """(lang, char_ref, common, word_ref) of each language: shares, and its common words."""
+    """(lang, char_ref, common, word_ref, far_words) of each language: shares, its common words, and
+    the distance of a text that has none of them."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.select("lang", char_counts(F.col("text")).alias("c"), F.size(words_of(F.col("text"))).cast("long").alias("n"))
     size = len(CLASSES) + 1
-    sums = counts.groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(size)])
+    chars = known.select("lang", char_counts(F.col("text")).alias("c")).groupBy("lang").agg(*[F.sum(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(size)])
+    words = known.select("lang", F.explode(F.split(F.lower("text"), SPACE)).alias("w")).filter("w <> ''")
+    short = F.when((F.length("w") <= 5) & F.col("w").rlike(r"^\p{L}{1,5}$"), F.col("w"))  # null: all other words
+    counts = stored(words.groupBy("lang", short.alias("word")).agg(F.count("*").alias("k")), "counts")
+    sums = stored(counts.groupBy("lang").agg(F.sum("k").alias("n")).join(chars, "lang"), "languages")
     total = sum((F.col(f"c{k}") for k in range(1, size)), F.col("c0"))
-    langs = sums.filter(F.col("n") >= MIN_REFERENCE).select("lang", "n", F.array(*[F.col(f"c{k}") / total for k in range(size)]).alias("char_ref")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    langs = stored(langs, "languages")
-    short = known.select("lang", F.explode(F.split(F.lower("text"), SPACE)).alias("word")).filter((F.length("word") <= 5) & F.col("word").rlike(r"^\p{L}{1,5}$"))
+    langs = sums.filter(F.col("n") >= MIN_REFERENCE).select("lang", "n", F.array(*[F.col(f"c{k}") / total for k in range(size)]).alias("char_ref"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("k"), "word"))
-    top = short.groupBy("lang", "word").agg(F.count("*").alias("k")).withColumn("rank", rank).filter(F.col("rank") <= COMMON)
-    lists = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "k"))).alias("top"))
+    top = counts.filter("word is not null").select("lang", "word", "k").withColumn("rank", rank).filter(F.col("rank") <= COMMON)
+    lists = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "k"))).alias("top"))  # COMMON a language
     share = F.transform("top", lambda x: x["k"] / F.col("n"))
-    return stored(
-        langs.join(lists, "lang", "left").withColumn("top", F.coalesce("top", F.expr("cast(array() as array<struct<rank:int,word:string,k:bigint>>)")))
-        .select("lang", "char_ref", F.transform("top", lambda x: x["word"]).alias("common"), F.concat(share, F.array(F.lit(1.0) - F.aggregate(share, F.lit(0.0), lambda s, x: s + x))).alias("word_ref")),
-        "references",
-    )
+    rest = F.col("rest")
+    far = F.sqrt(F.greatest(F.lit(0.0), (F.lit(1.0) - rest + F.log2(2 / (1 + rest)) + F.when(rest > 0, rest * F.log2(2 * rest / (1 + rest))).otherwise(F.lit(0.0))) / 2))
+    out = langs.join(lists, "lang", "left").withColumn("top", F.coalesce("top", F.expr("cast(array() as array<struct<rank:int,word:string,k:bigint>>)")))
+    out = out.withColumn("rest", F.lit(1.0) - F.aggregate(share, F.lit(0.0), lambda s, x: s + x))
+    return stored(out.select("lang", "char_ref", F.transform("top", lambda x: x["word"]).alias("common"), F.concat(share, F.array("rest")).alias("word_ref"), far.alias("far_words")), "references")
 
 
 def distance(p, q):
@@ -140,7 +144,7 @@ def distance(p, q):
 
 def judged(docs: DataFrame) -> DataFrame:
     """``docs`` (id, text, lang) to one row each: the base measures, both distances, the verdict."""
-    rows = measured(docs).join(F.broadcast(references(docs)), "lang", "left")
+    rows = measured(docs).join(references(docs), "lang", "left")
     share = lambda counts, n: F.transform(counts, lambda x: x / n)
     found = common_counts(F.col("words"), F.col("common"))
     hist = let(found, lambda c: F.concat(c, F.array(F.col("n_words") - F.aggregate(c, F.lit(0.0), lambda s, x: s + x))))
@@ -149,11 +153,8 @@ def judged(docs: DataFrame) -> DataFrame:
     words = F.when(F.col("char_ref").isNotNull() & (F.col("n_words") >= MIN_WORD_WORDS), distance(share(hist, F.col("n_words")), F.col("word_ref")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = rows.withColumn("char_distance", chars).withColumn("word_distance", words)
-    far = F.coalesce(F.col("char_distance") > MAX_CHAR, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORD, F.lit(False))
-    verdicts = out.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"))
-    # Always true, and not deterministic: a filter on the verdict would else be pushed down to
-    # where the words are made, and split the text again for each of its words.
-    return verdicts.filter(F.monotonically_increasing_id() >= 0)
+    far = F.coalesce(F.col("char_distance") > MAX_CHAR, F.lit(False)) | F.coalesce((F.col("far_words") >= MIN_FAR) & (F.col("word_distance") > WORD_SHARE * F.col("far_words")), F.lit(False))
+    return out.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"))
 
 
 def _input(docs: DataFrame) -> DataFrame:
@@ -168,7 +169,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep, in the columns of ``docs``."""
     whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("lang_row"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     # the row itself is carried through as the id, so that nothing has to be joined back
-    carried = judged(whole.select(F.col("lang_row").alias("id"), "text", "lang"))
+    # and written before the filter, which would else be evaluated where the words are made
+    carried = stored(judged(whole.select(F.col("lang_row").alias("id"), "text", "lang")).select("id", "kept"), "judged")
     return carried.filter("kept").select(*[F.col("id")[c].alias(c) for c in docs.columns])
 
 
@@ -183,20 +185,21 @@ g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM
 r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
 langs AS (SELECT lang, sum(n) AS n, [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5]), sum(c[6])] AS c, sum(length(t)) AS chars
-          FROM m WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang HAVING sum(n) >= {MIN_REFERENCE} ORDER BY 2 DESC, 1 LIMIT {MAX_LANGS}),
+          FROM m WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang HAVING sum(n) >= {MIN_REFERENCE}),
 short AS (SELECT lang, word, count(*) AS k FROM (SELECT lang, unnest(regexp_split_to_array(lower(t), '{SPACE}')) AS word FROM m WHERE lang IS NOT NULL AND text IS NOT NULL)
           WHERE regexp_full_match(word, '\p{{L}}{{1,5}}') GROUP BY lang, word),
 top AS (SELECT lang, list(word ORDER BY k DESC, word) AS common, list(k ORDER BY k DESC, word) AS ks
         FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k DESC, word) AS rk FROM short) WHERE rk <= {COMMON} GROUP BY lang),
-ref AS (SELECT langs.lang, list_transform(c, lambda x: x / chars) AS char_ref, common, list_concat(list_transform(ks, lambda x: x / n), [1.0 - list_sum(ks) / n]) AS word_ref FROM langs JOIN top ON langs.lang = top.lang),
-j AS (SELECT m.doc_id, m.n, m.ws, m.t, m.c, m.ls, ref.char_ref, ref.word_ref, ref.common, coalesce(rep.n_repeat, 0) AS n_repeat
+ref AS (SELECT langs.lang, list_transform(c, lambda x: x / chars) AS char_ref, common, list_concat(list_transform(ks, lambda x: x / n), [1.0 - list_sum(ks) / n]) AS word_ref,
+          1.0 - list_sum(ks) / n AS o, sqrt((1 - o + log2(2 / (1 + o)) + o * log2(2 * o / (1 + o))) / 2) AS far FROM langs JOIN top ON langs.lang = top.lang),
+j AS (SELECT m.doc_id, m.n, m.ws, m.t, m.c, m.ls, ref.char_ref, ref.word_ref, ref.common, ref.far, coalesce(rep.n_repeat, 0) AS n_repeat
       FROM m LEFT JOIN rep ON m.doc_id = rep.doc_id LEFT JOIN ref ON m.lang = ref.lang),
 h AS (SELECT *, list_transform(c, lambda x: x / length(t)) AS p, list_transform(common, lambda w: len(list_filter(ws, lambda x: lower(x) = w))) AS f FROM j),
 h2 AS (SELECT *, list_transform(list_concat(f, [n - list_sum(f)]), lambda x: x / n) AS q FROM h),
 z AS (SELECT *, sqrt(greatest(0, list_sum(list_transform(range(1, 7), lambda i: CASE WHEN p[i] > 0 THEN p[i] * log2(2 * p[i] / (p[i] + char_ref[i])) ELSE 0 END + CASE WHEN char_ref[i] > 0 THEN char_ref[i] * log2(2 * char_ref[i] / (p[i] + char_ref[i])) ELSE 0 END)) / 2)) AS cd,
         sqrt(greatest(0, list_sum(list_transform(range(1, len(q) + 1), lambda i: CASE WHEN q[i] > 0 THEN q[i] * log2(2 * q[i] / (q[i] + word_ref[i])) ELSE 0 END + CASE WHEN word_ref[i] > 0 THEN word_ref[i] * log2(2 * word_ref[i] / (q[i] + word_ref[i])) ELSE 0 END)) / 2)) AS wd
       FROM h2 WHERE n >= 50),
-v AS (SELECT doc_id, coalesce(cd > {MAX_CHAR}, FALSE) OR (n >= {MIN_WORD_WORDS} AND coalesce(wd > {MAX_WORD}, FALSE)) AS far FROM z)
+v AS (SELECT doc_id, coalesce(cd > {MAX_CHAR}, FALSE) OR (n >= {MIN_WORD_WORDS} AND coalesce(far >= {MIN_FAR} AND wd > {WORD_SHARE} * far, FALSE)) AS far FROM z)
 SELECT j.doc_id, CAST(j.n AS BIGINT) AS n_words, CAST(length(array_to_string(j.ws, '')) AS BIGINT) AS word_chars,
        CAST(length(regexp_replace(j.t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(j.ls) - len(list_distinct(j.ls)) AS BIGINT) AS n_dup_lines,
        CAST(j.n_repeat AS BIGINT) AS n_repeat_words, (j.n < 50 OR 100 * j.n_repeat > 50 * j.n) AS base_failed,

@@ -48,6 +48,10 @@ def test_sql_and_verdicts(spark):
     good = {r[0] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select("doc_id").collect()}
     judged = [r for r in rows if r["doc_id"] in good and not r["base_failed"]]
     assert sum(r["kept"] for r in judged) >= 0.99 * len(judged)
+    assert all(r["kept"] for r in judged if r["n_words"] >= op.MIN_WORD_WORDS)
+    bad = {r[0] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 0").select("doc_id").collect()}
+    judged = [r for r in rows if r["doc_id"] in bad and not r["base_failed"] and r["n_words"] >= op.MIN_WORD_WORDS]
+    assert judged and sum(r["kept"] for r in judged) <= 0.05 * len(judged)
     assert sum(not r["kept"] and not r["base_failed"] for r in rows) > 10
 
 
@@ -55,3 +59,10 @@ def test_stage_keeps_columns(spark):
     df = spark.createDataFrame([(1, "w%d " * 60 % tuple(range(60)), "en", "s", "clash"), (2, None, None, None, "x")], "doc_id long, text string, lang string, source string, n_words string")
     out = op.stage(spark, df, "")
     assert out.columns == df.columns and [r["doc_id"] for r in out.collect()] == [1]
+
+
+
+def test_every_language_has_a_reference(spark, monkeypatch):
+    monkeypatch.setattr(op, "MIN_REFERENCE", 10)
+    df = spark.createDataFrame([(i, f"the of and to in is it on as at word{i}", f"l{i}") for i in range(1005)], "id long, text string, lang string")
+    assert op.references(df).count() == 1005
