@@ -17,7 +17,8 @@ blocks of bounded size that give out links only, so no link that the bands propo
 components.
 
 Defined results: rows without an id are left out; null, empty or wordless texts are classes of their own; texts of fewer than
-five words have one shingle (all words); repeated rows share a class; extra columns are ignored.
+five words have one shingle (all words); repeated rows share a class; of different texts with one id the one
+with the smallest hash of its words stands for it; extra columns are ignored.
 The class id is the smallest doc_id of the class.
 """
 from __future__ import annotations
@@ -32,9 +33,6 @@ from .common import MASK, mix, seeded, shingles, small_batches, stored, text_chu
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 THRESHOLD = 0.8
-#: Of M components a pair at the threshold agrees in 100 on average (deviation 4.5); fewer than
-#: this many has a chance below 1e-5 there, and such pairs of step 4 aren't fetched for the check.
-AGREE = 80
 #: Rows that one task of step 4 compares with as many others at a time.
 BLOCK = 256
 
@@ -142,7 +140,7 @@ def _hash_pair(h: np.ndarray, first: np.ndarray):
     return out[0], out[1], cnt
 
 
-SIG_SCHEMA = "id long, key_a long, key_b long, words long, bands array<long>, sig binary, total long"
+SIG_SCHEMA = "id long, key_a long, key_b long, words long, bands array<long>, total long"
 
 
 def _signed(batches):
@@ -156,25 +154,26 @@ def _signed(batches):
             acc = np.zeros((j - i, BANDS), np.uint64)
             for r in range(ROWS):
                 acc = mix(acc + sig[:, r::ROWS][:, :BANDS] * _GOLD + _BAND_SEED)
-            small = (sig >> np.uint64(56)).astype(np.uint8)  # 8 bits each: chance agreement 1/256
             total = np.add.reduceat(np.append(bw, 0), np.minimum(bo[:-1], len(bw))) * (np.diff(bo) > 0)
             flat = pa.array(acc.view(np.int64).ravel())
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * BANDS + 1, BANDS, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(cnt), bands, pa.array([x.tobytes() for x in small], pa.binary()), pa.array(total.astype(np.int64))],
-                ["id", "key_a", "key_b", "words", "bands", "sig", "total"],
+                [ids.slice(i, j - i), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(cnt), bands, pa.array(total.astype(np.int64))],
+                ["id", "key_a", "key_b", "words", "bands", "total"],
             )
 
 
-def _packer(wanted: np.ndarray):
-    """Bags of the texts whose id may be wanted."""
+def _packer(wanted):
+    """Bags of the texts whose id may be wanted: (bit map, its bits), or of all texts."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            spot = _spot(ids.to_numpy())
-            batch = batch.filter(pa.array((wanted[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1))
-            ids = batch.column(0)
+            if wanted is not None:
+                held, bits = wanted.value
+                spot = _spot(ids.to_numpy(), bits)
+                batch = batch.filter(pa.array((held[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1))
+                ids = batch.column(0)
             for i, j, data, offs in text_chunks(batch.column(1)):
                 h, _, _, first = word_hashes(data, offs)
                 bh, bw, bo = bags(*shingles(h, first))
@@ -185,29 +184,43 @@ def _packer(wanted: np.ndarray):
     return run
 
 
-#: Bits of the filter of wanted ids: 4 MB, whatever the input.
-FILTER_BITS = 25
+#: Bits of the filter of wanted ids, about eight an id: 4 MB at least, 256 MB at most.
+FILTER_BITS = (25, 31)
 
 
-def _spot(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _spot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A bit map of fixed size with the hash of every id (a false hit costs work, never a row)."""
+def _filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit map with the hash of every id (a false hit costs work, never a row)."""
 
     def run(batches):
         for batch in batches:
-            spot = np.unique(_spot(batch.column(0).to_numpy()))
+            spot = np.unique(_spot(batch.column(0).to_numpy(), bits))
             yield pa.RecordBatch.from_arrays([pa.array(spot >> 15), pa.array(spot & 0x7FFF)], ["bucket", "bit"])
 
     rows = ids.mapInArrow(run, "bucket long, bit long").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for bucket, bits in rows.toLocalIterator():
-        out[bucket << 12: (bucket + 1) << 12] = np.frombuffer(bits, np.uint8)
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for bucket, held in rows.toLocalIterator():
+        out[bucket << 12: (bucket + 1) << 12] = np.frombuffer(held, np.uint8)
     return out
 
 
+def _chosen(batches):
+    """Of ids with several texts the chosen one."""
+    for batch in batches:
+        a, b = (batch.column(c) for c in (2, 3))
+        keep = np.ones(batch.num_rows, bool)
+        for i, j, data, offs in text_chunks(batch.column(1)):
+            h, _, _, first = word_hashes(data, offs)
+            own = [x.view(np.int64) for x in _hash_pair(h, first)[:2]]
+            for want, got in zip((a, b), own):
+                want = want.slice(i, j - i)
+                keep[i:j] &= np.array(want.is_null()) | (want.fill_null(0).to_numpy() == got)
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in (0, 1)], ["id", "text"]).filter(pa.array(keep))
+
+
 def _judged(batches):
     for batch in batches:
         sim = [weighted_jaccard(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
@@ -222,7 +235,6 @@ def _crossed(table: pa.Table) -> pa.Table:
     ids, blk, total = (table[c].to_numpy() for c in ("id", "blk", "total"))
     cls = table["cls"].to_numpy().copy()
     i, j, band = (table[c][0].as_py() for c in ("i", "j", "band"))
-    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, M)
     keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, :band]
     bag = table["bag"].to_pylist()
     left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
@@ -230,7 +242,6 @@ def _crossed(table: pa.Table) -> pa.Table:
     for x in left:
         y = right[(cls[right] != cls[x]) & (ids[right] > ids[x] if i == j else ids[right] != ids[x])]
         y = y[np.minimum(total[y], total[x]) >= THRESHOLD * np.maximum(total[y], total[x])]
-        y = y[(sig[y] == sig[x]).sum(axis=1) >= AGREE]
         y = y[~(keys[y] == keys[x]).any(axis=1)]
         for z in y:
             if cls[z] != cls[x] and weighted_jaccard(bag[x], bag[z]) >= THRESHOLD:
@@ -241,9 +252,16 @@ def _crossed(table: pa.Table) -> pa.Table:
 
 
 def _bags(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, bag) of at least the texts with these ids: one scan, nothing but bags is moved."""
-    wanted = texts.sparkSession.sparkContext.broadcast(_filter(ids))
-    return stored(texts.select("id", "text").mapInArrow(lambda batches: _packer(wanted.value)(batches), "id long, bag binary"), "bags").dropDuplicates(["id"])
+    """(id, bag) of at least the texts with these ids: one scan, nothing but bags is moved.
+
+    Beyond the largest bit map the texts are joined with the ids first.
+    """
+    bits = max(FILTER_BITS[0], (8 * ids.count()).bit_length())
+    if bits <= FILTER_BITS[1]:
+        wanted = texts.sparkSession.sparkContext.broadcast((_filter(ids, bits), bits))
+    else:
+        wanted, texts = None, texts.join(ids.distinct(), "id", "left_semi")
+    return stored(texts.select("id", "text").mapInArrow(_packer(wanted), "id long, bag binary"), "bags").dropDuplicates(["id"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -287,10 +305,16 @@ def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each distinct id: (id, class_id).
 
-    Rows that repeat an id are one document, with the smallest of its texts.
+    Rows that repeat an id are one document: the text whose words have the smallest hash stands for it.
     """
     texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     signed = stored(texts.mapInArrow(_signed, SIG_SCHEMA), "signatures")
+    one = F.struct("key_a", "key_b", "words")
+    several = signed.groupBy("id").agg(F.min(one).alias("one"), F.max(one).alias("other")).filter("one <> other")
+    several = stored(several.select("id", F.col("one.key_a").alias("one_a"), F.col("one.key_b").alias("one_b")), "several")
+    if not several.isEmpty():
+        texts = stored(texts.join(several, "id", "left").mapInArrow(_chosen, "id long, text string"), "chosen")
+        signed = signed.join(several, "id", "left").filter("one_a is null or (key_a = one_a and key_b = one_b)").drop("one_a", "one_b")
     own = F.when(F.col("words") == 0, F.col("id"))  # wordless texts are never copies of each other
     keys = signed.select("id", F.coalesce(own, F.col("key_a")).alias("key_a"), F.coalesce(own, F.col("key_b")).alias("key_b"), "words")
     reps = keys.groupBy("key_a", "key_b", "words").agg(F.min("id").alias("rep"))
@@ -317,8 +341,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     todo = stored(placed.join(mixed, ["band", "value"]).withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")), "mixed")
     if not todo.isEmpty():
         bags_ = _bags(todo.select("id"), texts)
-        full = todo.join(sigs.select("id", "sig", "total", "bands"), "id").join(bags_, "id")
-        dealt = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("band", "value", "id", "cls", "blk", "total", "sig", "bands", "bag", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
+        full = todo.join(sigs.select("id", "total", "bands"), "id").join(bags_, "id")
+        dealt = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("band", "value", "id", "cls", "blk", "total", "bands", "bag", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
         cross = dealt.groupBy("band", "value", "i", "j").applyInArrow(_crossed, "a long, b long")
         links = stored(links.unionByName(cross.distinct().withColumn("similarity", F.lit(THRESHOLD))), "verified")
         classes = components(links)

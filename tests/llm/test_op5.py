@@ -103,3 +103,36 @@ def test_stage_keeps_documents_with_odd_ids(spark):
     assert got == sorted([(3, a), (5, b), (9, c), (0, text("n")), (0, a), (4, "")])
     plain = df.filter("doc_id in (3, 7, 9)")
     assert sorted(r["doc_id"] for r in op.stage(spark, plain, "").collect()) == [3, 7, 9]
+
+
+def test_an_id_with_several_texts_is_one_of_them(spark):
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(60))
+    a, b = text("a"), text("b")
+    df = spark.createDataFrame([(5, a), (5, b), (5, b), (6, b), (7, a)], "doc_id long, text string")
+    for part in (1, 4):
+        got = {r["id"]: r["class_id"] for r in op.near_duplicates(df.repartition(part)).collect()}
+        assert got in ({5: 5, 6: 5, 7: 7}, {5: 5, 6: 6, 7: 5})
+    assert got == {r["id"]: r["class_id"] for r in op.near_duplicates(df.orderBy("text")).collect()}
+
+
+def brute_links(rows, queries):
+    """(query, id, similarity) of all pairs at the threshold, by an inverted index of shingles."""
+    held = {i: bag(t) for i, t in rows}
+    where = {}
+    for i, own in held.items():
+        for s in own:
+            where.setdefault(s, []).append(i)
+    out = []
+    for q in queries:
+        if held[q]:
+            near = Counter(i for s in held[q] for i in where[s])
+            out += [(q, i) for i in near if i != q and jaccard(held[q], held[i]) >= op.THRESHOLD]
+    return out
+
+
+def test_no_link_of_the_table_is_missed(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["class_id"] for r in op.query(spark, "/root/testdata/sf0.01").collect()}
+    links = brute_links(rows, [i for i, _ in rows])
+    assert len(links) > 50
+    assert sum(got[a] == got[b] for a, b in links) >= 0.999 * len(links)
