@@ -116,16 +116,34 @@ def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[o[0]: o[-1]], o - o[0]
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray):
+def unspaced(data: np.ndarray):
+    """Characters of scripts written without spaces: (place, length) of each, and of their punctuation.
+
+    Han, kana, Thai, Lao, Burmese and Khmer, by the first bytes of their characters.
+    """
+    after = np.append(data[1:], np.uint8(0))
+    mark = (data == 0xE3) & (after == 0x80)  # U+3000 to U+303F
+    three = ((data >= 0xE3) & (data <= 0xE9) & ~mark) | ((data == 0xE0) & (after >= 0xB8) & (after <= 0xBB)) | ((data == 0xE1) & (((after >= 0x80) & (after <= 0x82)) | (after == 0x9E) | (after == 0x9F)))
+    four = (data == 0xF0) & (after >= 0xA0) & (after < 0xB4)
+    own = np.flatnonzero(three | four)
+    return own, np.where(four[own], 4, 3), np.flatnonzero(mark)
+
+
+def word_hashes(data: np.ndarray, offs: np.ndarray, characters: bool = False):
     """Words of many texts at once.
 
     A word is a maximal run of ASCII letters and digits and of non-ASCII bytes; ASCII letters
-    are folded to lower case.  Returns (hash, start, end, first): a 64-bit hash and the byte
+    are folded to lower case.  With ``characters`` each character of a script without spaces is a
+    word.  Returns (hash, start, end, first): a 64-bit hash and the byte
     range of every word, and for each text the index of its first word (one more at the end).
     """
     norm = _FOLD[data]
     w = norm != 0
     n = len(w)
+    if characters:
+        own, length, marks = unspaced(data)
+        for k in range(3):
+            w[marks + k] = False
     if not w.any():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     edge = np.zeros(n + 1, bool)
@@ -134,6 +152,11 @@ def word_hashes(data: np.ndarray, offs: np.ndarray):
     start[1:] &= ~w[:-1] | edge[1:n]
     last = w.copy()
     last[:-1] &= ~w[1:] | edge[1:n]
+    if characters and len(own):
+        stop = own + length
+        start[own] = last[stop - 1] = True
+        start[stop[stop < n]] |= w[stop[stop < n]]
+        last[own[own > 0] - 1] |= w[own[own > 0] - 1]
     s = np.flatnonzero(start)
     e = np.flatnonzero(last) + 1
     ln = e - s

@@ -1,7 +1,7 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-The strings are sequences of words (as in ``common.word_hashes``).  A document holds an item of
-L words where some run of its words is within edit distance floor(MAX_EDIT * L) of the item.
+The strings are sequences of words (as in ``common.word_hashes``; of scripts without spaces, such as
+Chinese, each character is a word).  A document holds an item of L words where some run of its words is within edit distance floor(MAX_EDIT * L) of the item.
 
 The CGK embedding walks over a string: step j emits the word under the pointer and moves the
 pointer by a random bit that depends on j and that word, so two strings at a small edit distance
@@ -19,9 +19,14 @@ within k edits of an item of L words if at least L - 1 - 2k of its neighbouring
 in the items (an edit destroys two pairs at most), so windows below that count aren't walked;
 this loses nothing.
 
-The items are taken in blocks of bounded size, each shipped to all tasks; documents are only
-scanned, never shuffled.  Defined results: null, empty and wordless texts hold nothing; items of
-fewer than MIN_WORDS words are no passages and are passed over; repeated rows give one result.
+An item of fewer than five words allows no edit: it has one segment, itself, and is found where it stands
+word for word.
+
+The items are taken in blocks of bounded size, SCAN_BLOCKS of them shipped to all tasks in one scan;
+documents are only scanned, never shuffled, in the pipeline stage too.  Defined results: null, empty and
+wordless texts hold nothing; wordless items and items without an id are in no document; repeated rows of documents and items give
+one result; documents without an id share the id null (the stage judges each row by itself, whatever its id); extra columns
+are ignored, and kept by the stage.
 """
 from __future__ import annotations
 
@@ -33,10 +38,9 @@ from pyspark.sql import functions as F
 from .common import mix, seeded, small_batches, table, text_chunks, word_hashes
 
 MAX_EDIT = 0.2
-MIN_WORDS = 5
 REPEATS, SAMPLES = 32, 3
 #: Items are shipped in blocks of at most so many rows and bytes of text.
-BLOCK_ROWS, BLOCK_BYTES = 20_000, 16_000_000
+BLOCK_ROWS, BLOCK_BYTES, SCAN_BLOCKS = 20_000, 16_000_000, 4
 _PAIR_BITS = 22
 #: Proposals, and words of proposed places, that are looked at in one go.
 _PART = 1_000_000
@@ -125,10 +129,10 @@ class Items:
         self.ids, self.words = [], []
         row = 0
         for i, j, data, offs in text_chunks(arr):
-            h, _, _, first = word_hashes(data, offs)
+            h, _, _, first = word_hashes(data, offs, True)
             for k in range(j - i):
                 w = h[first[k]: first[k + 1]]
-                if len(w) >= MIN_WORDS:
+                if len(w):
                     self.ids.append(ids[row + k])
                     self.words.append(w)
             row += j - i
@@ -137,7 +141,7 @@ class Items:
             self.pairs[(pair_hash(w) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)] = True
         size = np.array([len(w) for w in self.words], np.int64)
         self.classes = []  # (longest, least number of known pairs, sorted keys, their items)
-        lo = int(size.min()) if len(size) else 0
+        lo = max(int(size.min()), int(1 / MAX_EDIT)) if len(size) else 0  # shorter ones allow no edit
         while len(size) and lo <= size.max():
             hi = max(lo, int(lo * _CLASS))
             own = np.flatnonzero((size >= lo) & (size <= hi))
@@ -214,7 +218,7 @@ class Items:
     def match(self, h: np.ndarray, first: np.ndarray):
         """(text, item, distance, start, end) of all passages in many texts."""
         n = len(h)
-        if n < MIN_WORDS or not self.classes:
+        if not n or not self.ids:
             return []
         known = np.zeros(n + 1, np.int32)
         pairs = pair_hash(h)
@@ -224,7 +228,14 @@ class Items:
         known[n] = known[n - 1]
         found: dict[tuple[int, int], list[int]] = {}
 
+        whole: dict[tuple[int, int], int] = {}  # first places of items that allow no edit
+
         def propose(rows):
+            exact = self.room[rows[:, 1]] == 0
+            for t, k, p in rows[exact].tolist():
+                if p < whole.get((t, k), n) and p >= first[t] and np.array_equal(h[p: p + len(self.words[k])], self.words[k]):
+                    whole[t, k] = p
+            rows = rows[~exact]
             for t, k, p in self._possible(rows, pairs, known, first).tolist():
                 found.setdefault((t, k), []).append(p)
 
@@ -246,7 +257,7 @@ class Items:
                 cnt = b - a
                 src = np.repeat(np.arange(len(flat)) // REPEATS, cnt)
                 propose(np.stack([text[src], owner[_ranges(a, cnt)], part[src]], axis=1))
-        out = []
+        out = [(t, self.ids[k], 0, int(self.size[k]), p - int(first[t]), p - int(first[t]) + int(self.size[k])) for (t, k), p in whole.items()]
         for (t, k), places in found.items():
             item = self.words[k]
             room = allowed(len(item))
@@ -287,6 +298,18 @@ def _blocks(benchmark: DataFrame):
         yield ids, texts
 
 
+def _sent(spark, benchmark: DataFrame):
+    """Broadcasts of the items' blocks, a list for each scan."""
+    blocks = []
+    for ids, texts in _blocks(benchmark):
+        blocks.append(spark.sparkContext.broadcast(Items(ids, texts)))
+        if len(blocks) == SCAN_BLOCKS:
+            yield blocks
+            blocks = []
+    if blocks:
+        yield blocks
+
+
 def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All (document, item) pairs where the document holds the item.
 
@@ -294,18 +317,18 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     distance, the item's number of words, and the first and last + 1 word of the place.
     """
     spark = small_batches(docs).sparkSession
+    docs = docs.select("id", "text")
     out = None
-    for ids, texts in _blocks(benchmark):
-        sent = spark.sparkContext.broadcast(Items(ids, texts))
+    for sent in _sent(spark, benchmark.select("item_id", "text")):
 
         def scan(batches, sent=sent):
-            items = sent.value
             for batch in batches:
                 name = batch.column(0).to_pylist()
                 rows = []
                 for i, _, data, offs in text_chunks(batch.column(1), 4_000_000):
-                    h, _, _, first = word_hashes(data, offs)
-                    rows += [(name[i + t], *rest) for t, *rest in items.match(h, first)]
+                    h, _, _, first = word_hashes(data, offs, True)
+                    for block in sent:
+                        rows += [(name[i + t], *rest) for t, *rest in block.value.match(h, first)]
                 cols = list(zip(*rows)) if rows else [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "item_id", "distance", "item_words", "start", "stop"])
@@ -318,6 +341,25 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.groupBy("id", "item_id").agg(first).select("id", "item_id", "m.distance", "m.item_words", "m.start", "m.stop")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns: scans alone, no join."""
+    spark = small_batches(docs).sparkSession
+    at = docs.columns.index(text_col)
+    for sent in _sent(spark, benchmark.select("item_id", "text")):
+
+        def scan(batches, sent=sent):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for i, _, data, offs in text_chunks(batch.column(at).cast(pa.string()), 4_000_000):
+                    h, _, _, first = word_hashes(data, offs, True)
+                    for block in sent:
+                        keep[[i + t for t, *_ in block.value.match(h, first)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(scan, docs.schema)
+    return docs
+
+
 def _input(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
@@ -333,5 +375,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark passage go."""
-    hit = passages(_input(docs), _benchmark(spark, sf_dir)).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return clean(docs, _benchmark(spark, sf_dir))

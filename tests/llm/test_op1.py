@@ -109,3 +109,42 @@ def test_long_items_by_kind_of_edit():
         got = {t: (k, d) for t, k, d, *_ in block.match(h, first)}
         for k, (w, t) in enumerate(zip(items, docs)):
             assert got.get(k) == (k, least(w, words(t))), (kind, len(w))
+
+
+def test_short_items_stand_word_for_word(spark):
+    items = [(1, "alpha"), (2, "beta gamma"), (3, "Beta, gamma delta epsilon"), (4, "..."), (None, "alpha"), (5, "a b c d e")]
+    docs = [(1, "x alpha y alpha"), (2, "x beta gamma delta"), (3, "beta x gamma; beta gamma delta, epsilon."), (4, "beta"), (5, "alphabet gamma"), (6, "a b c x d e")]
+    d = spark.createDataFrame([(*r, "z", 1) for r in docs], "id long, text string, item_id string, distance int")
+    b = spark.createDataFrame([(*r, "z") for r in items], "item_id long, text string, id string")
+    got = {(r["id"], r["item_id"]): (r["distance"], r["start"], r["stop"]) for r in op.passages(d, b).collect()}
+    assert got == {(1, 1): (0, 1, 2), (2, 2): (0, 1, 3), (3, 2): (0, 3, 5), (3, 3): (0, 3, 7), (6, 5): (1, 0, 6)}
+
+
+def test_scripts_without_spaces(spark):
+    r = random.Random(4)
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    kana, wide = "".join(chr(r.randrange(0x3041, 0x3096)) for _ in range(40)), "".join(chr(r.randrange(0x20000, 0x2A6D0)) for _ in range(25))
+    thai = "".join(chr(r.randrange(0x0E01, 0x0E2E)) for _ in range(30))
+    a = han(60)
+    items = [(1, a[:30] + "。" + a[30:]), (2, kana), (3, wide), (4, "三四"), (5, thai)]
+    near = list(a)
+    for p in r.sample(range(60), 12):
+        near[p] = "龍"
+    docs = [(1, han(80) + a + han(9)), (2, "text " + kana + " text"), (3, wide[1:] + "x"), (4, han(200)), (5, "一二三四五"), (6, "".join(near)), (7, "é" + thai), (8, a[:30])]
+    d, b = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["id"], r["item_id"]): r["distance"] for r in op.passages(d, b).collect()}
+    assert {p for p in got if p[1] != 4 or p[0] == 5} == {(1, 1), (2, 2), (3, 3), (5, 4), (6, 1), (7, 5)}
+    assert got[1, 1] == got[2, 2] == got[7, 5] == 0 and got[3, 3] == 1 and 9 <= got[6, 1] <= 12
+
+
+def test_blocks_of_items_and_rows_without_ids(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(op, "BLOCK_ROWS", 2)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(11)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(k % 3 or None, f"x {t} y", "s", k) for k, t in items] + [(None, "fine text", None, 50), (7, None, "s", 51), (7, "", "s", 52)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item_id string, distance int")
+    out = op.stage(spark, df, str(tmp_path))
+    assert out.schema == df.schema
+    assert sorted(r["distance"] for r in out.collect()) == [50, 51, 52]
+    found = op.passages(df.selectExpr("distance as id", "text"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["id"], r["item_id"]) for r in found) == [(k, k) for k in range(11)]
