@@ -12,9 +12,12 @@ The trees are flattened to tables: each seen gram has a row with its code length
 languages, and each seen context a row with its escapes, so a byte costs one look-up, and the
 bytes of an unseen gram one more for each order.
 
-Training uses at most SAMPLE_DOCS documents of a language, those of smallest hash, and at most
-SAMPLE_BYTES of their whole texts, but always one text; at most MAX_LANGS languages, the commonest, are learned.  The
-bounds do not depend on the size of the input.
+Training uses at most SAMPLE_DOCS documents of a language, those of smallest hash, and of their whole
+texts at most SAMPLE_BYTES (of many languages TOTAL_BYTES in all, in equal parts), but always one
+text.  The bounds do not depend on the size of the input, and every value of lang is learned.  The documents are
+found by a threshold of the hash for each language, so no task sorts a language's rows.  The driver counts one
+language's texts at a time and holds only the counts.  Tables are dense for GROUP languages at most; of
+more, a worker makes and drops the tables of one group after the other for each BUNDLE of text.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0; without any
 training row all texts are ``und``; repeated rows give repeated rows; extra columns are ignored.
@@ -28,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_chunks
+from .common import small_batches, stored, table, text_chunks
 
 ORDER = 3
 SAMPLE_DOCS = 600
-SAMPLE_BYTES = 3_000_000
-MAX_LANGS = 200
+SAMPLE_BYTES, TOTAL_BYTES = 3_000_000, 256_000_000
+GROUP, BUNDLE = 32, 64 << 20
 HELD_OUT = 2
 
 
@@ -49,18 +52,25 @@ def _grams(data: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def gram_counts(texts: list[bytes], order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted grams of 1 to order + 1 bytes of some texts, and how often each is there."""
+    out = []
+    for k in range(1, order + 2):
+        got = [_grams(np.frombuffer(t, np.uint8), k) for t in texts]
+        grams, n = np.unique(np.concatenate(got) if got else np.zeros(0, np.uint32), return_counts=True)
+        out.append((grams, n.astype(np.int32)))
+    return out
+
+
 class Ppm:
-    """Frozen context trees of several languages."""
+    """Frozen context trees of several languages, from the ``gram_counts`` of each."""
 
-    def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER):
+    def __init__(self, counted: dict[str, list], order: int = ORDER):
         self.order, self.key = order, uuid.uuid4().hex
-        self.langs = sorted(samples)
+        self.langs = sorted(counted)
         self.grams, self.counts = [], []  # for k = 1 .. order + 1: sorted grams, languages x grams
         for k in range(1, order + 2):
-            per = []
-            for lang in self.langs:
-                got = [_grams(np.frombuffer(t, np.uint8), k) for t in samples[lang]]
-                per.append(np.unique(np.concatenate(got) if got else np.zeros(0, np.uint32), return_counts=True))
+            per = [counted[lang][k - 1] for lang in self.langs]
             every = np.unique(np.concatenate([g for g, _ in per])) if per else np.zeros(0, np.uint32)
             count = np.zeros((len(self.langs), len(every)), np.int32)
             for row, (g, c) in zip(count, per):
@@ -69,9 +79,6 @@ class Ppm:
             self.counts.append(count)
         self.ready = False
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k in ("order", "key", "langs", "grams", "counts")} | {"ready": False}
-
     def build(self) -> "Ppm":
         """Tables of code lengths (bits): made once in each worker."""
         if self.ready:
@@ -144,47 +151,91 @@ def choose(bits: np.ndarray):
     return win, 1.0 / np.exp2(-np.minimum(gap, 1000.0)).sum(axis=1)
 
 
-def train(docs: DataFrame, order: int = ORDER) -> Ppm:
+class Model:
+    """The counts of all languages, and their tables by groups."""
+
+    def __init__(self, counted: dict[str, list], order: int = ORDER):
+        self.key, self.order, self.counted = uuid.uuid4().hex, order, counted
+        self.langs = sorted(counted)
+        self.one: Ppm | None = None  # the tables, if there is one group
+
+    def __getstate__(self):
+        return self.__dict__ | {"one": None}
+
+    def bits(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """Code lengths (texts x languages) of each part, (bytes, offsets)."""
+        if len(self.langs) <= GROUP:
+            self.one = self.one or Ppm(self.counted, self.order).build()
+            return [self.one.bits(*p) for p in parts]
+        out: list[list] = [[] for _ in parts]
+        for i in range(0, len(self.langs), GROUP):
+            ppm = Ppm({x: self.counted[x] for x in self.langs[i: i + GROUP]}, self.order).build()
+            for have, p in zip(out, parts):
+                have.append(ppm.bits(*p))
+        return [np.hstack(x) for x in out]
+
+
+def train(docs: DataFrame, order: int = ORDER) -> Model:
     """Learn from ``docs`` (id, text, lang) whose id isn't held out."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = rows.filter(F.col("lang").isin(langs)).select("id", "lang").withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS)
-    ids = [r[0] for r in picked.select("id").collect()]  # at most MAX_LANGS * SAMPLE_DOCS
-    samples: dict[str, list[bytes]] = {lang: [] for lang in langs}
-    size = dict.fromkeys(langs, 0)
-    found = rows.filter(F.col("id").isin(ids) & F.col("lang").isin(langs) & F.col("text").isNotNull())
-    for r in found.select("lang", "text", F.xxhash64("id").alias("h")).orderBy("lang", "h", "text").toLocalIterator():
-        raw = r[1].encode()
-        if raw and (not samples[r[0]] or size[r[0]] + len(raw) <= SAMPLE_BYTES):
-            samples[r[0]].append(raw)
-            size[r[0]] += len(raw)
-    return Ppm({k: v for k, v in samples.items() if v}, order)
-
-
-_models: dict[str, Ppm] = {}
-
-
-def identify(docs: DataFrame, model: Ppm) -> DataFrame:
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
+    rows = rows.select("lang", "text", F.xxhash64("id").alias("h"))
+    # about twice as many rows as wanted lie below a language's threshold: too few with a chance of e^-100
+    share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_DOCS + 100) / F.col("n"))
+    marks = stored(rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(-(2.0 ** 63)) + share * F.lit(2.0 ** 64)).alias("below")), "thresholds")
+    near = rows.join(marks, "lang").filter(F.col("h") <= F.col("below")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = stored(near.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS), "training")
+    counted: dict[str, list] = {}
+    room = min(SAMPLE_BYTES, TOTAL_BYTES // max(1, marks.count()))
+    now, texts, size = None, [], 0
+    for lang, text in picked.select("lang", "text", "rank").orderBy("lang", "rank").select("lang", "text").toLocalIterator():
+        if lang != now:
+            if texts:
+                counted[now] = gram_counts(texts, order)
+            now, texts, size = lang, [], 0
+        raw = text.encode()
+        if raw and (not texts or size + len(raw) <= room):
+            texts.append(raw)
+            size += len(raw)
+    if texts:
+        counted[now] = gram_counts(texts, order)
+    return Model(counted, order)
+
+
+_models: dict[str, Model] = {}
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (id, text) to (id, held_out, lang_pred, score); only the text is looked at."""
     if not model.langs:
-        return docs.select("id", held_out("id").alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select("id", F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = small_batches(docs).sparkSession.sparkContext.broadcast(model)
+    few = len(model.langs) <= GROUP
 
     def run(batches):
-        ppm = sent.value
-        if ppm.key not in _models:
+        m = sent.value
+        if m.key not in _models:
             _models.clear()
-            _models[ppm.key] = ppm.build()
-        ppm = _models[ppm.key]
-        names = np.array(ppm.langs, object)
-        for batch in batches:
-            texts = batch.column(1)
-            for i, j, data, offs in text_chunks(texts, 1_000_000):
-                win, score = choose(ppm.bits(data, offs))
-                letters = np.array([any(map(str.isalpha, t or "")) for t in texts.slice(i, j - i).to_pylist()], bool)
+            _models[m.key] = m
+        m = _models[m.key]
+        names = np.array(m.langs, object)
+
+        def scored(held):
+            cut = [(b, i, j, data, offs) for b in held for i, j, data, offs in text_chunks(b.column(1), 1_000_000)]
+            for (b, i, j, _, _), bits in zip(cut, m.bits([x[3:] for x in cut])):
+                win, score = choose(bits)
+                letters = np.array([any(map(str.isalpha, t or "")) for t in b.column(1).slice(i, j - i).to_pylist()], bool)
                 pred = np.where(letters, names[win], "und")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0))], ["id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0))], ["id", "held_out", "lang_pred", "score"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if few or size >= BUNDLE:
+                yield from scored(held)
+                held, size = [], 0
+        yield from scored(held)
 
     flagged = docs.select("id", "text", F.coalesce(held_out("id"), F.lit(False)).alias("held_out"))
     return flagged.mapInArrow(run, "id long, held_out boolean, lang_pred string, score double")

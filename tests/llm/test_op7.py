@@ -34,7 +34,7 @@ def test_code_lengths():
     samples = {"a": [b"the cat sat on the mat", b"that hat"], "b": [b"der hut und die katze", "größe".encode()]}
     texts = [b"the hut", b"", b"\xff\xfe", "größte katze sat".encode(), b"q", b"that that the the"]
     for order in (1, 2, 3):
-        m = op.Ppm(samples, order).build()
+        m = op.Ppm({k: op.gram_counts(v, order) for k, v in samples.items()}, order).build()
         got = m.bits(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]))
         want = [[plain_bits(samples[x], t, order) for x in m.langs] for t in texts]
         assert np.allclose(got, want, atol=1e-3)
@@ -67,3 +67,36 @@ def test_language_of_long_texts_only_is_learned(spark, monkeypatch):
     monkeypatch.setattr(op, "SAMPLE_BYTES", 1000)
     rows = [(i, "some short text " * 5, "xa") for i in range(40)] + [(i, "zuviel langes " * 100, "xb") for i in range(40, 80)]
     assert op.train(spark.createDataFrame(rows, "id long, text string, lang string")).langs == ["xa", "xb"]
+
+
+def test_many_languages(spark, monkeypatch):
+    words = [f"{'bcdfgklmnprstvz'[k % 15]}{'aeiou'[k // 15 % 5]}{'bcdfgklmnprstvz'[k // 75]}" for k in range(205)]
+    rows = [(k * 10 + i, f"{w} {w}{w} " * 6 + str(i), f"l{k:03d}") for k, w in enumerate(words) for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string").repartition(3)
+    model = op.train(df)
+    assert model.langs == sorted({r[2] for r in rows})
+    monkeypatch.setattr(op, "BUNDLE", 1000)
+    got = {r["id"]: (r["lang_pred"], r["score"]) for r in op.identify(df.select("id", "text"), model).collect()}
+    assert {i: p for i, (p, _) in got.items()} == {r[0]: r[2] for r in rows}
+    # tables by groups and all at once give the same
+    whole = op.Ppm(model.counted).build()
+    data, offs = op.np.frombuffer("".join(r[1] for r in rows).encode(), op.np.uint8), np.cumsum([0] + [len(r[1].encode()) for r in rows])
+    assert np.allclose(model.bits([(data, offs)])[0], whole.bits(data, offs))
+
+
+def test_the_smallest_hashes_are_drawn(spark, monkeypatch):
+    monkeypatch.setattr(op, "SAMPLE_DOCS", 5)
+    rows = [(i, f"word{i} of text", "xa" if i % 3 else "xb") for i in range(3000)] + [(7, "again", "xa")] * 500
+    df = spark.createDataFrame(rows, "id long, text string, lang string").repartition(4)
+    picked = []
+    monkeypatch.setattr(op, "gram_counts", lambda texts, order: picked.append(sorted(t.decode() for t in texts)) or [])
+    op.train(df)
+    hashes = {r["id"]: r["h"] for r in df.filter(~op.held_out("id")).selectExpr("id", "xxhash64(id) h").distinct().collect()}
+    first = lambda c: sorted(f"word{i} of text" for i in sorted((i for i in hashes if c(i)), key=hashes.get)[:5])
+    assert picked == [first(lambda i: i % 3), first(lambda i: not i % 3)]
+
+
+def test_extra_columns(spark):
+    df = spark.createDataFrame([(1, "the cat sat", "en", "x", 0.5, True), (3, "der hut", "de", "y", 0.1, False)], "id long, text string, lang string, lang_pred string, score double, held_out boolean")
+    out = op.identify(df, op.train(df))
+    assert out.columns == ["id", "held_out", "lang_pred", "score"] and out.count() == 2
