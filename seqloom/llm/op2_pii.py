@@ -22,6 +22,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -325,6 +326,7 @@ class Trees:
 
     def __init__(self):
         self.trees, self.bias, self.platt, self.cut = [], 0.0, (1.0, 0.0), {}
+        self._arrays = None
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> "Trees":
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x.T]
@@ -364,17 +366,34 @@ class Trees:
             self.trees.append(tree)
         return self
 
-    def margin(self, rows: list[list[float]]) -> np.ndarray:
-        out = np.full(len(rows), self.bias)
-        for r, x in enumerate(rows):
-            for tree in self.trees:
-                k = 0
-                j, v = tree[0]
-                while j >= 0:
-                    k = 2 * k + 1 + (x[j] > v)
-                    j, v = tree[k]
-                out[r] += v
-        return out
+    def _flat(self):
+        """The trees as complete ones, in arrays: splits (trees x inner nodes) and leaves."""
+        if self._arrays is None:
+            inner, leaves = (1 << DEPTH) - 1, 1 << DEPTH
+            column, at, value = np.zeros((len(self.trees), inner), np.int64), np.full((len(self.trees), inner), np.inf), np.zeros((len(self.trees), leaves))
+            for t, tree in enumerate(self.trees):
+                for k in range(inner + leaves):
+                    up = k
+                    while up not in tree:  # below a leaf: go left, to its value
+                        up = (up - 1) // 2
+                    j, v = tree[up]
+                    if k >= inner:
+                        value[t, k - inner] = v
+                    elif j >= 0:
+                        column[t, k], at[t, k] = j, v
+            self._arrays = column, at, value
+        return self._arrays
+
+    def margin(self, rows) -> np.ndarray:
+        x = np.asarray(rows, float).reshape(len(rows), -1)
+        if not len(x):
+            return np.zeros(0)
+        column, at, value = self._flat()
+        line, each = np.arange(len(x))[:, None], np.arange(len(column))[None, :]
+        node = np.zeros((len(x), len(column)), np.int64)
+        for _ in range(DEPTH):
+            node = 2 * node + 1 + (x[line, column[each, node]] > at[each, node])
+        return self.bias + value[each, node - column.shape[1]].sum(axis=1)
 
     def probability(self, rows: list[list[float]]) -> np.ndarray:
         a, b = self.platt
@@ -419,22 +438,67 @@ def model() -> Trees:
     return _model[0]
 
 
+class Taken:
+    """Places of a text that are taken: disjoint intervals in order."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for s, e, *_ in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def take(self, s: int, e: int) -> bool:
+        """Take a place, if all of it is free."""
+        i = bisect_right(self.starts, s)
+        if (i and self.ends[i - 1] > s) or (i < len(self.starts) and self.starts[i] < e):
+            return False
+        self.starts.insert(i, s)
+        self.ends.insert(i, e)
+        return True
+
+
+def _order(x):
+    return x[0], KINDS.index(x[2]), x[1]
+
+
+def _selected(base, found, p, trees: Trees):
+    taken = Taken(base)
+    kept = [found[i] for i in sorted(range(len(found)), key=lambda i: (-p[i], found[i])) if p[i] >= trees.cut[found[i][2]] and taken.take(*found[i][:2])]
+    return base, sorted(base + kept, key=_order)
+
+
+#: Proposals that are scored together.
+SCORED = 20_000
+
+
+def spans_of(texts: list[str], trees: Trees):
+    """(base spans, all spans) of each text, both by start, then kind as listed; many texts are scored at once."""
+    found, odds, rows = [], [], []
+
+    def score():
+        if rows:
+            odds.append(trees.probability(rows))
+            rows.clear()
+
+    for text in texts:
+        found.append(list(dict.fromkeys(proposals(text))))
+        for s, e, k in found[-1]:
+            rows.append(features(text, s, e, k))
+            if len(rows) >= SCORED:
+                score()
+    score()
+    p, at = np.concatenate(odds) if odds else np.zeros(0), 0
+    for text, own in zip(texts, found):
+        yield _selected(sorted(base_spans(text), key=_order), own, p[at: at + len(own)].tolist(), trees)
+        at += len(own)
+
+
 def all_spans(text: str, trees: Trees) -> tuple[list, list]:
-    """(base spans, all spans), both by start, then kind as listed."""
-    order = lambda x: (x[0], KINDS.index(x[2]), x[1])
-    base = sorted(base_spans(text), key=order)
-    found = list(dict.fromkeys(proposals(text)))
-    if not found:
-        return base, base
-    p = trees.probability([features(text, s, e, k) for s, e, k in found])
-    taken = [(s, e) for s, e, _ in base]
-    kept = []
-    for i in sorted(range(len(found)), key=lambda i: (-p[i], found[i])):
-        s, e, k = found[i]
-        if p[i] >= trees.cut[k] and all(e <= a or s >= b for a, b in taken):
-            taken.append((s, e))
-            kept.append(found[i])
-    return base, sorted(base + kept, key=order)
+    """(base spans, all spans) of one text."""
+    return next(spans_of([text], trees))
 
 
 def joined(spans) -> str:
@@ -462,8 +526,7 @@ def find(docs: DataFrame) -> DataFrame:
         m = trees.value
         for batch in batches:
             rows = []
-            for t in batch.column(1).to_pylist():
-                base, full = all_spans(t or "", m)
+            for base, full in spans_of([t or "" for t in batch.column(1).to_pylist()], m):
                 n = Counter(k for _, _, k in base)
                 rows.append((*(n[k] for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(full), len(full) - len(base)))
             cols = list(zip(*rows)) if rows else [()] * 7
@@ -471,7 +534,7 @@ def find(docs: DataFrame) -> DataFrame:
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.select("id", "text").mapInArrow(run, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -93,3 +93,44 @@ def test_ordinary_formats_are_proposed_and_picked():
     assert "[secret] was sent" in op.redact(text, op.all_spans(text, op.model())[1])
     for text in ("on 2024-01-05 at noon", "std::vector and dead::beef", "the price 1234567 was", "order 12345678", "pages 1999-2004", "we met at noon. Then we left", "a basic understanding of it", "in 3.14159265 parts"):
         assert op.all_spans(text, op.model())[1] == [], text
+
+
+def test_planted_secrets_of_the_table():
+    """Precision and recall of added spans on the table, whose secrets are 40 hexadecimal digits after a name."""
+    import duckdb
+
+    texts = [t or "" for (t,) in duckdb.execute("select text from '/root/testdata/sf0.01/documents.parquet' order by doc_id").fetchall()]
+    planted = {(i, m.start(1), m.end(1)) for i, t in enumerate(texts) for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    found = {(i, s, e) for i, (base, full) in enumerate(op.spans_of(texts, op.model())) for s, e, k in full if k in op.EXTRA}
+    assert len(planted) >= 5
+    assert planted <= found
+    assert len(found - planted) <= 0.1 * len(planted) + 2
+
+
+def test_planted_formats_among_prose():
+    """Recall of formats that a second generator writes into prose, and what is added beside them."""
+    r = random.Random(23)
+    prose = lambda n: " ".join("".join(r.choice("aeinorstdhlu") for _ in range(r.randint(2, 9))) for _ in range(n))
+    some = lambda n, a="0123456789abcdef": "".join(r.choice(a) for _ in range(n))
+    made = [lambda: ('password: "{}"', some(24, "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789")), lambda: ("api_key={}", some(32)), lambda: ("auth_token = {}", "ghp_" + some(36, "ABCDEFGHabcdefgh0123456789")), lambda: ("server {}", ":".join(some(4) for _ in range(8)))]
+    texts, want = [], set()
+    for i in range(300):
+        frame, body = r.choice(made)()
+        text = prose(30) + " " + frame.format(body) + " " + prose(30)
+        texts.append(text)
+        want.add((i, text.index(body), text.index(body) + len(body)))
+    texts += [prose(80) + f" in {r.randint(1900, 2030)}, {r.randint(1, 999)} of {r.randint(1000, 9999)} " + prose(20) for _ in range(300)]
+    found = {(i, s, e) for i, (_, full) in enumerate(op.spans_of(texts, op.model())) for s, e, k in full if k in op.EXTRA}
+    assert len(found & want) >= 0.95 * len(want)
+    assert len(found - want) <= 0.03 * len(want)
+
+
+def test_many_numbers_take_linear_time():
+    import time
+
+    for n in (2000, 16000):
+        text = " ".join(f"id {k % 600 + 1:03d}-{k % 90 + 10:02d}-{k % 9000 + 1000:04d}" for k in range(n))
+        t = time.time()
+        _, full = op.all_spans(text, op.model())
+        assert time.time() - t < 0.004 * n
+    assert all(a[1] <= b[0] for a, b in zip(full, full[1:]))
