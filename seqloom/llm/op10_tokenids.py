@@ -18,6 +18,7 @@ texts go through it in whole.  The ids are those of an encoding of the whole tex
 
 Defined results: a null or empty text holds the end id alone; documents without an id come
 first; documents that share an id are ordered by their ids' checksum; extra columns are ignored.
+The pipeline stage keeps the order of its input instead of that of the ids.
 """
 from __future__ import annotations
 
@@ -30,6 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -310,10 +312,10 @@ FILES = "range int, seq int, path string, n_docs long, n_ids long"
 
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str) -> DataFrame:
-    """Encode ``docs`` (id, text) into shard files below ``out_dir``; returns FILES rows."""
+    """Encode ``docs`` (id, at, text), in the order of ``at``, into shard files below ``out_dir``; returns FILES rows."""
     n = docs.count()
     ranges = max(1, min(MAX_RANGES, math.ceil(n / RANGE_DOCS)))
-    marks = docs.approxQuantile("id", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
+    marks = docs.approxQuantile("at", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
     marks = np.unique(np.array(marks, np.float64))
     wide = encoder(tokenizer).kind == "<u4"
 
@@ -323,10 +325,11 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str) -> Dat
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 ids = part.column(0)
-                where = np.searchsorted(marks, ids.fill_null(-(2 ** 62)).to_numpy().astype(np.float64), side="right")
-                codes = enc.encode(part.column(1), end_id)
+                at_ = part.column(1).fill_null(-(2 ** 63))
+                where = np.searchsorted(marks, at_.to_numpy().astype(np.float64), side="right")
+                codes = enc.encode(part.column(2), end_id)
                 crc = pa.array([zlib.crc32(c) for c in codes], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), ids, crc, pa.array(codes, pa.binary())], ["range", "id", "crc", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), at_, ids, crc, pa.array(codes, pa.binary())], ["range", "at", "id", "crc", "ids"])
 
     kind = "<u4" if wide else "<u2"
 
@@ -346,7 +349,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str) -> Dat
             names, codes, size = [], [], 0
 
         for batch in batches:
-            for r, i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+            for r, i, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist()):
                 if r != now:
                     flush()
                     now, seq = r, 0
@@ -360,8 +363,8 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str) -> Dat
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["range", "seq", "path", "n_docs", "n_ids"])
 
-    rows = small_batches(docs).mapInArrow(encoded, "range int, id long, crc long, ids binary")
-    rows = rows.repartition(max(1, ranges), "range").sortWithinPartitions("range", "id", "crc")
+    rows = small_batches(docs).mapInArrow(encoded, "range int, at long, id long, crc long, ids binary")
+    rows = rows.repartition(max(1, ranges), "range").sortWithinPartitions("range", "at", "id", "crc")
     return stored(rows.mapInArrow(write, FILES), "shard-list")
 
 
@@ -390,13 +393,14 @@ def read_ids(files: DataFrame) -> DataFrame:
     return placed.repartition(n, "path").mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode_and_read(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Write ``docs`` (doc_id, text) as shards in the shared scratch folder and read them back."""
+def encode_and_read(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, at="doc_id") -> DataFrame:
+    """Write ``docs`` (doc_id, text) as shards, in the order of ``at``, in the shared scratch folder and read them back."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    at = F.col(at) if isinstance(at, str) else at
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), at.cast("long").alias("at"), F.col("text").cast("string").alias("text"))
     files = write_ids(texts, tokenizer, end_id, scratch_dir(docs.sparkSession, "token-ids"))
     return read_ids(files).withColumnRenamed("id", "doc_id")
 
@@ -405,6 +409,20 @@ def query(spark, sf_dir: str) -> DataFrame:
     return encode_and_read(table(spark, sf_dir, "documents"))
 
 
+def position(docs: DataFrame):
+    """A number in whose order the rows stand in their files; files come in the order of their names.
+
+    Spark's part files go by their numbers.  Rows that come from no file stand as they are.
+    """
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    part, piece = (F.regexp_extract("_metadata.file_name", r"part-(\d+).*?(?:-c(\d+)\.|$)", k) for k in (1, 2))
+    number = lambda x: F.coalesce(x.try_cast("long"), F.lit(0))
+    return F.shiftleft(number(part), 44) + F.shiftleft(number(piece), 36) + F.col("_metadata.row_index")
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the kept documents as token-id shards, read back."""
-    return encode_and_read(docs)
+    """Pipeline stage, the last: the kept documents as token-id shards in the order of their files' rows, read back."""
+    return encode_and_read(docs, at=position(docs))

@@ -9,7 +9,7 @@ the limit.  Each round of the search evaluates 31 exponents in one aggregation,
 five bisections, so no list of sources is ever held on the driver.
 
 The weights are realised exactly up to one document a source.  Documents of a source fall into
-BLOCKS blocks by a hash of the id.  Every epoch has its own permutation of the blocks; whole
+BLOCKS blocks by a hash of id and text.  Every epoch has its own permutation of the blocks; whole
 epochs take all of them, the last epoch takes blocks in order while the source's budget lasts,
 and of the block in which it ends the documents in order of a hash.  So the only running sums
 are over the blocks of a source (BLOCKS rows) and over the documents of one block, whatever
@@ -17,9 +17,9 @@ share of the rows a source has.
 
 Defined results: a null source is the source ''; texts that are null or without words have no
 tokens and come with their block; a source without tokens gives no rows; an empty table gives
-none; rows that repeat an id are separate documents
-(the pipeline stage, which joins on the id, keeps one of them and leaves out rows without an id);
-extra columns are ignored.
+none; rows that repeat an id, and rows without one, are separate documents; extra columns are ignored.
+The pipeline stage carries whole rows along, so that nothing is joined by id, and writes them in the order of
+the mix: its files in the order of their names, rows in their order, are the interleaved sources.
 """
 from __future__ import annotations
 
@@ -35,14 +35,15 @@ SEED = 17
 _FAN = 32  # sections a round: five bisections
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, source, text) to (doc_id, source, n_tokens, block, copy_key)."""
+def counted(docs: DataFrame, *carried) -> DataFrame:
+    """``docs`` (doc_id, source, text) to (doc_id, source, n_tokens, mark, block, ...), ``carried`` too."""
+    mark = F.xxhash64(F.col("doc_id").cast("long"), "text")
     words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         words.cast("long").alias("n_tokens"),
-        F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(BLOCKS)).cast("int").alias("block"),
+        mark.alias("mark"), F.pmod(F.xxhash64(F.lit(SEED), mark), F.lit(BLOCKS)).cast("int").alias("block"), *carried,
     )
 
 
@@ -90,19 +91,22 @@ def exponent(sources: DataFrame, budget: float, entropy_share: float, max_repeat
     return alpha
 
 
-def mixed(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS) -> DataFrame:
+def mixed(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, row: str | None = None) -> DataFrame:
     """``docs`` (doc_id, source, text) to the mix: (doc_id, source, epoch, n_tokens, mix_at).
 
+    ``row``: a column that is carried along, to the result's last column.
+
     ``budget``: tokens of the mix; all tokens of ``docs`` by default.  Sorted by ``mix_at``, 0 to
     1, the rows interleave the sources at their weights.
     """
-    rows = stored(counted(docs), "tokens")
+    rows = stored(counted(docs, *([row] if row else [])), "tokens")
     blocks = stored(rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")), "blocks")
     sources = stored(blocks.groupBy("source").agg(F.sum("tokens").alias("n")).filter("n > 0"), "sources")
     schema = "doc_id long, source string, epoch int, n_tokens long, mix_at double"
     total = sources.agg(F.sum("n")).first()[0]
     if not total:
-        return docs.sparkSession.createDataFrame([], schema)
+        none = docs.sparkSession.createDataFrame([], schema)
+        return none if row is None else none.withColumn(row, F.lit(None).cast(docs.schema[row].dataType))
     budget = budget or int(total)
     alpha = exponent(sources, budget, entropy_share, max_repeats)
     z = sources.agg(F.sum(F.pow(F.col("n") / total, F.lit(alpha)))).first()[0]
@@ -117,11 +121,11 @@ def mixed(docs: DataFrame, budget: int | None = None, entropy_share: float = ENT
     turns = turns.filter(~partial | (F.col("before") < F.col("rest"))).withColumn("room", F.when(partial & (F.col("before") + F.col("tokens") > F.col("rest")), F.col("rest") - F.col("before")))
     turns = stored(turns.select("source", "block", "epoch", "before", "room", "tokens", (F.col("epoch") * F.col("n") + F.col("before")).alias("at"), "want"), "turns")
 
-    inner = F.xxhash64(F.lit(SEED + 1), "epoch", "doc_id")
+    inner = F.xxhash64(F.lit(SEED + 1), "epoch", "mark")
     spot = (F.col("at") + F.col("tokens") * (F.shiftrightunsigned(inner, 11) / F.lit(2.0 ** 53))) / F.col("want")
-    out = ["doc_id", "source", "epoch", "n_tokens", F.least(spot, F.lit(1.0)).alias("mix_at")]
+    out = ["doc_id", "source", "epoch", "n_tokens", F.least(spot, F.lit(1.0)).alias("mix_at"), *([row] if row else [])]
     full = rows.join(turns.filter("room is null"), ["source", "block"]).select(*out)
-    within = Window.partitionBy("source", "block", "epoch").orderBy(inner, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "block", "epoch").orderBy(inner, "doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0)
     cut = rows.join(turns.filter("room is not null"), ["source", "block"]).withColumn("used", F.sum("n_tokens").over(within)).filter("used <= room").select(*out)
     return full.unionByName(cut)
 
@@ -135,7 +139,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents of the mix, a row for each epoch they are in."""
-    copies = mixed(_input(docs)).groupBy("doc_id").agg(F.count("*").cast("int").alias("__copies"))
-    out = docs.dropDuplicates(["doc_id"]).join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select(*docs.columns)
+    """Pipeline stage: the documents of the mix, a row for each epoch they are in, in the mix's order."""
+    whole = docs.select("doc_id", "source", F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("mix_row"))
+    out = mixed(whole, row="mix_row")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = out.repartitionByRange(n, "mix_at").sortWithinPartitions("mix_at", "source", "doc_id", "epoch")
+    return out.select(*[F.col("mix_row")[c].alias(c) for c in docs.columns])

@@ -60,3 +60,14 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert op.encode_and_read(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_stage_keeps_the_order_of_files(spark, tmp_path):
+    rows = [((k * 37) % 101, f"text {k}") for k in range(101)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).sortWithinPartitions(op.F.desc("text"))
+    df.write.option("maxRecordsPerFile", 30).parquet(f"{tmp_path}/docs")
+    out = {r["doc_id"]: r["start"] for r in op.stage(spark, spark.read.parquet(f"{tmp_path}/docs"), "").collect()}
+    want = [i for i, _ in sorted(rows, key=lambda r: r[1], reverse=True)]
+    assert sorted(out, key=out.get) == want
+    loose = {r["doc_id"]: r["start"] for r in op.stage(spark, df, "").collect()}
+    assert sorted(loose, key=loose.get) == want
