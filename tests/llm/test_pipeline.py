@@ -66,6 +66,9 @@ def test_odd_rows(spark, tmp_path):
             df = spark.read.parquet(f"{tmp_path}/{name}")
             assert out.schema.names == ["doc_id", "text", "lang", "source", "kept", "id"]
             got = [(r["doc_id"], r["text"]) for r in df.collect()]
-            assert plain(set(got) if name == "mixing" else got) == plain(want[name]), name
+            if name == "mixing":  # a source's budget may leave one of its documents out
+                assert set(got) <= set(want[name]) and (None, c) in got and len({x[0] for x in got}) == 2
+            else:
+                assert plain(got) == plain(want[name]), name
         else:
             assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in df.collect())
