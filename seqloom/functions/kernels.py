@@ -119,56 +119,44 @@ def mismatches(a: bytes, b: bytes) -> int:
 
 # ------------------------------------------------------------------ scoring
 
-#: BLOSUM62 of the twenty amino acids, the lower triangle in this order.
-AMINO = "ARNDCQEGHILKMFPSTWYV"
+#: BLOSUM62, of the twenty amino acids and the codes B, Z and X.
 BLOSUM62 = """
-4
--1 5
--2 0 6
--2 -2 1 6
-0 -3 -3 -3 9
--1 1 0 0 -3 5
--1 0 0 2 -4 2 5
-0 -2 0 -1 -3 -2 -2 6
--2 0 1 -1 -3 0 0 -2 8
--1 -3 -3 -3 -1 -3 -3 -4 -3 4
--1 -2 -3 -4 -1 -2 -3 -4 -3 2 4
--1 2 0 -1 -3 1 1 -2 -1 -3 -2 5
--1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5
--2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6
--1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7
-1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4
-0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5
--3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
--2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
-0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
+     A  R  N  D  C  Q  E  G  H  I  L  K  M  F  P  S  T  W  Y  V  B  Z  X
+A    4 -1 -2 -2  0 -1 -1  0 -2 -1 -1 -1 -1 -2 -1  1  0 -3 -2  0 -2 -1  0
+R   -1  5  0 -2 -3  1  0 -2  0 -3 -2  2 -1 -3 -2 -1 -1 -3 -2 -3 -1  0 -1
+N   -2  0  6  1 -3  0  0  0  1 -3 -3  0 -2 -3 -2  1  0 -4 -2 -3  3  0 -1
+D   -2 -2  1  6 -3  0  2 -1 -1 -3 -4 -1 -3 -3 -1  0 -1 -4 -3 -3  4  1 -1
+C    0 -3 -3 -3  9 -3 -4 -3 -3 -1 -1 -3 -1 -2 -3 -1 -1 -2 -2 -1 -3 -3 -2
+Q   -1  1  0  0 -3  5  2 -2  0 -3 -2  1  0 -3 -1  0 -1 -2 -1 -2  0  3 -1
+E   -1  0  0  2 -4  2  5 -2  0 -3 -3  1 -2 -3 -1  0 -1 -3 -2 -2  1  4 -1
+G    0 -2  0 -1 -3 -2 -2  6 -2 -4 -4 -2 -3 -3 -2  0 -2 -2 -3 -3 -1 -2 -1
+H   -2  0  1 -1 -3  0  0 -2  8 -3 -3 -1 -2 -1 -2 -1 -2 -2  2 -3  0  0 -1
+I   -1 -3 -3 -3 -1 -3 -3 -4 -3  4  2 -3  1  0 -3 -2 -1 -3 -1  3 -3 -3 -1
+L   -1 -2 -3 -4 -1 -2 -3 -4 -3  2  4 -2  2  0 -3 -2 -1 -2 -1  1 -4 -3 -1
+K   -1  2  0 -1 -3  1  1 -2 -1 -3 -2  5 -1 -3 -1  0 -1 -3 -2 -2  0  1 -1
+M   -1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5  0 -2 -1 -1 -1 -1  1 -3 -1 -1
+F   -2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6 -4 -2 -2  1  3 -1 -3 -3 -1
+P   -1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7 -1 -1 -4 -3 -2 -2 -1 -2
+S    1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4  1 -3 -2 -2  0  0  0
+T    0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5 -2 -2  0 -1 -1  0
+W   -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11  2 -3 -4 -3 -2
+Y   -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7 -1 -3 -2 -1
+V    0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4 -3 -2 -1
+B   -2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -3 -2  0 -1 -4 -3 -3  4  1 -1
+Z   -1  0  0  1 -3  3  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  4 -1
+X    0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2  0  0 -2 -1 -1 -1 -1 -1
 """
-#: The ambiguity codes B and Z against the twenty, and each other.
-AMBIGUOUS_B = "-2 -1 3 4 -3 0 1 -1 0 -3 -4 0 -3 -3 -2 0 -1 -4 -3 -3"
-AMBIGUOUS_Z = "-1 0 0 1 -3 3 4 -2 0 -3 -3 1 -1 -3 -1 0 -1 -3 -2 -2"
 
 
 def blosum62() -> np.ndarray:
     """256 x 256 scores of bytes; any byte that is no code counts as X, case is ignored."""
-    order = AMINO + "BZX"
-    m = np.full((23, 23), -1, np.int64)
-    for i, line in enumerate(BLOSUM62.split("\n")[1:-1]):
-        row = list(map(int, line.split()))
-        m[i, : i + 1] = row
-        m[: i + 1, i] = row
-    for i, line in ((20, AMBIGUOUS_B), (21, AMBIGUOUS_Z)):
-        row = list(map(int, line.split()))
-        m[i, :20] = row
-        m[:20, i] = row
-    m[20, 20] = m[21, 21] = 4
-    m[20, 21] = m[21, 20] = 1
-    for codes, score in (("AST", 0), ("CPW", -2)):  # X is -1 against all others
-        for c in codes:
-            m[22, order.index(c)] = m[order.index(c), 22] = score
-    at = np.full(256, 22, np.int64)
+    head, *lines = BLOSUM62.strip("\n").split("\n")
+    order = head.split()
+    scores = np.array([line.split()[1:] for line in lines], np.int64)
+    at = np.full(256, order.index("X"), np.int64)
     for i, c in enumerate(order):
         at[ord(c)] = at[ord(c.lower())] = i
-    return m[at][:, at]
+    return scores[at][:, at]
 
 
 _BLOSUM: list[np.ndarray] = []
@@ -216,6 +204,8 @@ def align_full(a: bytes, b: bytes, s: Scoring) -> tuple[int, int, int]:
     """
     if not a or not b:
         return 0, 0, 0
+    if len(a) + len(b) >= 1 << (_M - 1):  # matches and lengths of the best path no longer fit their fields
+        raise OverflowError(f"an alignment of {len(a)} and {len(b)} letters is too long")
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     first = ((s.gap_open + s.gap_extend) << _S) - 1
     more = (s.gap_extend << _S) - 1
