@@ -3,17 +3,16 @@ from __future__ import annotations
 
 import gzip
 import io
-import os
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import SeqError
 from ..functions.udfs import fnv1a64
-from ..operators.ranking import dense_index
+from ..operators.ranking import numbered
+from ..storage import file_system
 
 #: File endings, and the letters of nucleotide sequences.
 FASTA_ENDINGS, FASTQ_ENDINGS = ("fa", "fasta", "faa", "fna"), ("fq", "fastq")
@@ -24,14 +23,8 @@ _UPPER = bytes(c - 32 if 97 <= c <= 122 else c for c in range(256))
 _WHITE = b" \t\n\x0c\r"
 
 
-def _fs(path: str):
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
-
-
 def _head(path: str, n: int = 2) -> bytes:
-    fs, where = _fs(path)
+    fs, where = file_system(path)
     with fs.open_input_stream(where, compression=None) as f:
         return f.read(n)
 
@@ -57,7 +50,7 @@ def detect_format(path: str) -> str:
 
 
 def _open(path: str, start: int = 0):
-    fs, where = _fs(path)
+    fs, where = file_system(path)
     if is_gzip(path):
         return gzip.GzipFile(fileobj=fs.open_input_stream(where, compression=None))
     f = fs.open_input_file(where)
@@ -149,7 +142,7 @@ class _Reader(DataSourceReader):
             if kind == "fastq" or is_gzip(path):
                 out.append(_Range(i, path, kind, 0, None))
                 continue
-            fs, where = _fs(path)
+            fs, where = file_system(path)
             size = fs.get_file_info(where).size
             out += [_Range(i, path, kind, a, min(a + self.split, size)) for a in range(0, max(size, 1), self.split)]
         return out
@@ -226,7 +219,7 @@ def read_sequences(spark: SparkSession, path: str, kind: str = "sequences", spli
     """(seq_id, name, seq): ids count the records in the order of files and records."""
     register(spark)
     raw = spark.read.format(kind).option("splitBytes", split).load(path)
-    return dense_index(raw, [F.asc("file"), F.asc("at")], "seq_id").select("seq_id", "name", "seq")
+    return numbered(raw, "seq_id").select("seq_id", "name", "seq")  # splits come in the order of files and places
 
 
 def dbtype_of(seqs: DataFrame):
