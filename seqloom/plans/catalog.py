@@ -96,6 +96,56 @@ def fnv_checksum(spark, sf_dir):
     return sequences(spark, sf_dir).select("seq_id", C.hex64(fnv1a64("seq")).alias("checksum"))
 
 
+_SCAN = sql.with_(sql.SEQS, "SELECT row_number() OVER (ORDER BY seq_id) - 1 AS seq_id, name, md5(seq) AS seq_md5 FROM s")
+
+
+def _scanned(seqs: DataFrame) -> DataFrame:
+    return seqs.select("seq_id", "name", F.md5("seq").alias("seq_md5"))
+
+
+def _files(spark: SparkSession, path: str) -> str:
+    """The part files below a path, in order."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return ",".join(sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith("part-") and f.getLen() > 0))
+
+
+def _fasta_files(spark, sf_dir: str, **options) -> str:
+    path = scratch_dir(spark, "fasta")
+    lower = F.concat(F.lower(F.substring("seq", 1, 7)), F.expr("substring(seq, 8)"))  # read in upper case again
+    rows = sequences(spark, sf_dir).orderBy("seq_id").select(sinks.fasta_lines(F.col("name"), lower).alias("value"))
+    rows.write.options(**options).text(path)
+    return _files(spark, path)
+
+
+@query(_SCAN)
+def fasta_scan(spark, sf_dir):
+    """The documents as FASTA files, wrapped at 60 letters, read in splits."""
+    return _scanned(fasta.read_sequences(spark, _fasta_files(spark, sf_dir), "fasta", 1 << 18))
+
+
+@query(_SCAN)
+def gzip_scan(spark, sf_dir):
+    """The same files compressed; the format is told by their first byte."""
+    return _scanned(fasta.read_sequences(spark, _fasta_files(spark, sf_dir, compression="gzip")))
+
+
+@query(_SCAN)
+def fastq_scan(spark, sf_dir):
+    path = scratch_dir(spark, "fastq")
+    record = F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), F.expr("repeat('I', length(seq))"))
+    sequences(spark, sf_dir).orderBy("seq_id").select(record.alias("value")).write.text(path)
+    return _scanned(fasta.read_sequences(spark, _files(spark, path), "fastq"))
+
+
+@query(sql.with_(sql.SEQS, f"""SELECT row_number() OVER (ORDER BY seq_id) - 1 AS seq_id, name, CAST(length(seq) AS INTEGER) AS seq_len, md5(seq) AS seq_md5, bool_and(regexp_full_match(seq, '[ACGTUNRYSWKMBDHV]*')) OVER () AS nucleotide FROM s"""))
+def createdb(spark, sf_dir):
+    """A database made from FASTA files: its sequences, and the type in its metadata."""
+    db = scratch_dir(spark, "db")
+    meta = fasta.createdb(spark, _fasta_files(spark, sf_dir), db)
+    return fasta.load_db(spark, db).select("seq_id", "name", "seq_len", F.md5("seq").alias("seq_md5"), F.lit(meta["dbtype"] == "nucleotide").alias("nucleotide"))
+
+
 # ------------------------------------------------------------------ seeds and postings
 
 @query(sql.with_(sql.seeds(INDEX.k, INDEX.m, False), "SELECT seq_id, lower(hex(hash)) AS hash, CAST(pos AS INTEGER) AS pos FROM sd"))
@@ -110,7 +160,7 @@ def kmer_seeds_reduced(spark, sf_dir):
 
 def _members(spark, sf_dir):
     s = sequences(spark, sf_dir)
-    return cand.group_members(cand.kmer_seeds(s, FAST.kmer_size, FAST.seeds_per_seq, FAST.reduced), cluster.lengths_of(s))
+    return cand.group_members(cand.kmer_seeds(s, FAST.kmer_size, FAST.seeds_per_seq, FAST.reduced))
 
 
 @query(sql.with_(sql.groups(FAST), "SELECT lower(hex(hash)) AS hash, cnt AS n, leader, CAST(leader_len AS INTEGER) AS leader_len FROM gs"))
@@ -142,7 +192,11 @@ def tier_assign(spark, sf_dir):
     return with_tiers(posting_lists(s, INDEX), hot_threshold(s.count(), None)).select(hexed("key"), "df", "tier")
 
 
-@query()
+_GAPS = sql.gaps("ids")
+
+
+@query(sql.with_(sql.postings(INDEX), f"""SELECT lower(hex(key)) AS key, df, CAST({sql.vbyte_size(_GAPS)} AS INTEGER) AS bytes_vbyte, CAST({sql.vbyte_size(_GAPS)} + (df + 3) // 4 AS INTEGER) AS bytes_delta_varint,
+  CAST({sql.bp128_size(_GAPS)} AS INTEGER) AS bytes_bp128, TRUE AS same_vbyte, TRUE AS same_delta_varint, TRUE AS same_bp128 FROM ps"""))
 def codec_roundtrip(spark, sf_dir):
     """Posting lists through the three codecs: their sizes, and whether they come back whole."""
     lists = stored(posting_lists(sequences(spark, sf_dir), INDEX).select("key", "df", "seq_ids"), "postings")
@@ -212,7 +266,13 @@ for _name in ("medium", "sensitive", "ultra"):
     QUERIES[f"cluster_{_name}"] = _level(_name)
 
 
-@query()
+def _share(a: str, b: str) -> str:
+    return f"CASE WHEN {b} = 0 THEN 0.0::DOUBLE ELSE CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END"
+
+
+@query(sql.with_(sql.counters(FAST), f"""SELECT *, {_share('hamming_rejected', 'candidate_pairs_evaluated')} AS hamming_rate, {_share('ungapped_rejected', '(candidate_pairs_evaluated - hamming_rejected)')} AS ungapped_rate, 0.0::DOUBLE AS gapped_rate
+  FROM (SELECT (SELECT count(*) FROM sd) AS seeds_generated, (SELECT count(DISTINCT hash) FROM sd) AS unique_kmers, (SELECT n FROM rd) AS total_posting_length_read, count(*) AS candidate_pairs_evaluated,
+  count(*) FILTER (reject = 'hamming') AS hamming_rejected, count(*) FILTER (reject = 'ungapped') AS ungapped_rejected, CAST(0 AS BIGINT) AS gapped_rejected, count(*) FILTER (reject IS NULL) AS assigned_pairs FROM ev)"""))
 def cluster_counters(spark, sf_dir):
     return reject_rates(cluster.counters(sequences(spark, sf_dir), FAST))
 
@@ -238,8 +298,9 @@ SELECT CAST(total AS BIGINT) AS wanted_pairs, CAST(hit AS BIGINT) AS found_pairs
 def pairwise_recall(spark, sf_dir):
     """Exact copies that the clustering puts together."""
     s = sequences(spark, sf_dir)
-    groups = s.groupBy(F.md5("seq").alias("key"), "seq").agg(F.min("seq_id").alias("cluster_id")).select("seq", "cluster_id")
-    wanted = s.join(groups, "seq").select("cluster_id", F.col("seq_id").alias("member_id"))
+    keyed = s.select("seq_id", F.md5("seq").alias("key"), F.length("seq").alias("n"))  # 128 bits and the length
+    groups = keyed.groupBy("key", "n").agg(F.min("seq_id").alias("cluster_id"))
+    wanted = keyed.join(groups, ["key", "n"]).select("cluster_id", F.col("seq_id").alias("member_id"))
     return cluster.pairwise_recall(cluster.cluster(s, FAST), wanted)
 
 
@@ -256,7 +317,8 @@ sl AS (SELECT * FROM (SELECT qd.*, row_number() OVER (PARTITION BY qd.q ORDER BY
 @query(sql.with_(_QSEEDS, "SELECT q, lower(hex(hash)) AS hash, CAST(pos AS INTEGER) AS pos, CAST(df AS BIGINT) AS df, rnk AS rank FROM sl"))
 def seed_df_prune(spark, sf_dir):
     lists = posting_lists(sequences(spark, sf_dir), INDEX).select("key", "df")
-    kept = search.pruned_seeds(search.seed_frequencies(search.query_seeds(query_sequences(spark, sf_dir), SEARCH), lists), SEARCH)
+    seeds = stored(search.query_seeds(query_sequences(spark, sf_dir), SEARCH), "query-seeds")
+    kept = search.pruned_seeds(search.seed_frequencies(seeds, lists), SEARCH)
     return kept.select("q", hexed("hash"), "pos", "df", "rank")
 
 
@@ -273,15 +335,14 @@ bn AS (SELECT q, count(*) AS n FROM sl GROUP BY q)"""
 def work_budget_prefix(spark, sf_dir):
     """Keys that a search of one segment reads within a work budget."""
     index = built(spark, sf_dir)
-    kept = search.pruned_seeds(search.seed_frequencies(search.query_seeds(query_sequences(spark, sf_dir), BUDGET), index.postings()), BUDGET)
-    return search.probed(kept, index.lists(), index.segments(), BUDGET).select("q", hexed("key"), "rank", "df")
+    kept = search.selected_seeds(query_sequences(spark, sf_dir), index, BUDGET)
+    return search.probed(kept, index.matched(kept), index.segments(), BUDGET).select("q", hexed("key"), "rank", "df")
 
 
 def _candidates(spark, sf_dir, second=False):
     index = built(spark, sf_dir, second)
-    queries = query_sequences(spark, sf_dir)
-    seeds = search.pruned_seeds(search.seed_frequencies(search.query_seeds(queries, SEARCH), index.postings()), SEARCH)
-    return search.candidates(search.probed(seeds, index.lists(), index.segments(), SEARCH), SEARCH)
+    seeds = search.selected_seeds(query_sequences(spark, sf_dir), index, SEARCH)
+    return search.candidates(search.probed(seeds, index.lists(seeds), index.segments(), SEARCH), SEARCH)
 
 
 @query(sql.with_(_QSEEDS, """, ex AS (SELECT sl.q, unnest(ids) AS local_id, sl.key, greatest(1, CAST(round(CAST(ln(CAST((SELECT count(*) FROM s) + 1 AS FLOAT) / CAST(ps.df + 1 AS FLOAT)) AS FLOAT) * 1024) AS INTEGER)) AS w FROM sl JOIN ps ON ps.key = sl.key)
@@ -318,9 +379,15 @@ def global_id_resolve(spark, sf_dir):
     return index.resolve(index.with_global_ids().select("global_id"))
 
 
-@query()
+_INFO = sql.segments(INDEX) + """,
+sz AS (SELECT seg, CAST(sum({size}) AS BIGINT) AS posting_bytes, count(*) FILTER (df >= greatest(n_seqs // 64, 32)) AS hot_keys FROM ps JOIN sg USING (seg) GROUP BY seg)"""
+
+
+@query(sql.with_(_INFO.replace("{size}", sql.bp128_size(_GAPS)), f"""SELECT segment_id, {INDEX.k} AS k, {INDEX.m} AS m, CAST({INDEX.seed} AS BIGINT) AS seed, n_seqs, CASE WHEN segment_id = 0 THEN CAST(0 AS BIGINT) ELSE (SELECT n_seqs FROM sg WHERE seg = 0) END AS global_seq_base,
+  'protein' AS dbtype, greatest(n_seqs // 64, 32) AS hot_df_threshold, '{INDEX.hot_mode}' AS hot_mode, '{INDEX.codec}' AS codec, n_keys, min_key, max_key, df_p50, df_p90, df_max, posting_bytes, hot_keys FROM tn LEFT JOIN sz ON seg = segment_id"""))
 def index_info(spark, sf_dir):
-    return built(spark, sf_dir, True).info().drop("db_path")
+    """Options, sizes and statistics of two segments; their fingerprints are left out, as SQL has no such hash."""
+    return built(spark, sf_dir, True).info().drop("db_path", "db_fingerprint")
 
 
 @query(sql.with_(sql.clusters(FAST), "SELECT CAST(cluster_id AS VARCHAR) || chr(9) || rep_id || chr(9) || member_id AS line FROM cl"))
@@ -378,7 +445,7 @@ def hits_tsv(spark, sf_dir):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query()
+@query(sql.with_(sql.segments(INDEX), "SELECT 1 AS version, * FROM tn"))
 def index_tune(spark, sf_dir):
     """Statistics of both segments, recounted and stored; the seed policy becomes the general one."""
     return built(spark, sf_dir, True).tune()

@@ -98,5 +98,47 @@ ky AS (SELECT DISTINCT xor(hash, {o.seed}::UBIGINT) AS key, seq_id FROM sd),
 ps AS (SELECT key, count(*) AS df, list(seq_id ORDER BY seq_id) AS ids FROM ky GROUP BY key)"""
 
 
+def gaps(ids: str) -> str:
+    """The gaps of a list of ascending ids, the first id included."""
+    return f"list_transform(range(1, len({ids}) + 1), lambda i: {ids}[i] - CASE WHEN i = 1 THEN 0 ELSE {ids}[i - 1] END)"
+
+
+def vbyte_size(g: str) -> str:
+    return f"list_sum(list_transform({g}, lambda v: CASE WHEN v < 128 THEN 1 WHEN v < 16384 THEN 2 WHEN v < 2097152 THEN 3 WHEN v < 268435456 THEN 4 ELSE 5 END))"
+
+
+def bp128_size(g: str) -> str:
+    block = f"list_slice({g}, 128 * b + 1, least(128 * b + 128, len({g})))"
+    bits = f"greatest(length(ltrim(bin(CAST(list_max({block}) AS BIGINT)), '0')), 1)"
+    return f"list_sum(list_transform(range(0, (len({g}) + 127) // 128), lambda b: 2 + (len({block}) * {bits} + 31) // 32 * 4))"
+
+
+#: Documents and pages as two segments, the pages' ids after a trillion.
+PAGES_FROM = 10 ** 12
+TWO = SEQS.removesuffix(")") + f""" UNION ALL SELECT {PAGES_FROM} + row_number() OVER (ORDER BY page_id) - 1, 'page' || page_id, upper(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g'), '[^A-Za-z]', '', 'g')) FROM pages)"""
+
+
+def segments(o: IndexOptions) -> str:
+    """Up to tn: the statistics of the documents' and the pages' segment."""
+    at = "CAST(round(CAST(n_keys - 1 AS FLOAT) * CAST({} AS FLOAT)) AS BIGINT) + 1"
+    return seeds(o.k, o.m, False).replace(SEQS, TWO) + f""",
+ky AS (SELECT DISTINCT xor(hash, {o.seed}::UBIGINT) AS key, seq_id // {PAGES_FROM} AS seg, seq_id % {PAGES_FROM} AS seq_id FROM sd),
+ps AS (SELECT seg, key, count(*) AS df, list(seq_id ORDER BY seq_id) AS ids FROM ky GROUP BY seg, key),
+sg AS (SELECT seq_id // {PAGES_FROM} AS seg, count(*) AS n_seqs FROM s GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY df) AS r, count(*) OVER (PARTITION BY seg) AS n_keys FROM ps),
+tn AS (SELECT CAST(sg.seg AS INTEGER) AS segment_id, any_value(n_seqs) AS n_seqs, count(key) AS n_keys, coalesce(lower(hex(min(key))), '0') AS min_key, coalesce(lower(hex(max(key))), '0') AS max_key,
+  coalesce(max(df) FILTER (r = {at.format(0.5)}), 0) AS df_p50, coalesce(max(df) FILTER (r = {at.format(0.9)}), 0) AS df_p90, coalesce(max(df), 0) AS df_max
+  FROM sg LEFT JOIN rk ON rk.seg = sg.seg GROUP BY sg.seg)"""
+
+
+def counters(o: ClusterOptions) -> str:
+    """Up to ev: the pairs that the greedy loop evaluates."""
+    return clusters(o) + """,
+rs AS (SELECT DISTINCT rep_id FROM cl),
+rd AS (SELECT count(*) AS n FROM (SELECT rep AS x FROM pr UNION ALL SELECT member FROM pr) WHERE x IN (SELECT rep_id FROM rs)),
+ev AS (SELECT jd.* FROM jd JOIN cl ON cl.member_id = jd.member JOIN l ON l.seq_id = cl.rep_id
+       WHERE jd.rep IN (SELECT rep_id FROM rs) AND (l.n < jd.rep_len OR (l.n = jd.rep_len AND cl.rep_id >= jd.rep)))"""
+
+
 def with_(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes.strip()}\n{select}"
