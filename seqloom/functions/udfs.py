@@ -31,19 +31,28 @@ def pieces(arr: pa.Array, limit: int = 4_000_000):
 
 
 SEEDS = "seq_id long, hash long, pos int"
+MEMBERS = SEEDS + ", seq_len int, again boolean"
 
 
 def seed_rows(df: DataFrame, k: int, m: int, reduce: bool) -> DataFrame:
-    """``df`` (seq_id, seq) to its bottom-m seeds, a row each (hash: the unsigned value's bits)."""
+    """``df`` (seq_id, seq), ids being unique, to its bottom-m seeds, a row each (hash: the unsigned value's bits).
+
+    ``again``: the sequence has the same hash at an earlier place too, so the rows without it are the
+    distinct (hash, seq_id), and nothing has to be shuffled to find them.
+    """
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, offs in pieces(batch.column(1)):
                 h, p, o = K.seeds(data, offs, k, m, reduce)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], np.diff(o)).astype(np.int64)), pa.array(h.view(np.int64)), pa.array(p.astype(np.int32))], ["seq_id", "hash", "pos"])
+                again = np.zeros(len(h), bool)
+                again[1:] = h[1:] == h[:-1]
+                again[o[:-1][o[:-1] < len(h)]] = False
+                cols = [pa.array(np.repeat(x, np.diff(o)).astype(t)) for x, t in ((ids[i:j], np.int64), (np.diff(offs), np.int32))]
+                yield pa.RecordBatch.from_arrays([cols[0], pa.array(h.view(np.int64)), pa.array(p.astype(np.int32)), cols[1], pa.array(again)], ["seq_id", "hash", "pos", "seq_len", "again"])
 
-    return df.select("seq_id", "seq").mapInArrow(run, SEEDS)
+    return df.select("seq_id", "seq").mapInArrow(run, MEMBERS)
 
 
 def variable_seed_rows(df: DataFrame, m: int) -> DataFrame:
@@ -107,6 +116,21 @@ def banded_aligner(scoring: K.Scoring, min_identity: float):
     return sw_align_banded
 
 
+def decoded(postings: DataFrame) -> DataFrame:
+    """``postings`` (segment_id, key, df, tier, codec, encoded) with ``seq_ids`` in place of the last two.
+
+    A step of its own for Catalyst, which so can't decode lists a second time to look into them.
+    """
+
+    def run(batches):
+        for batch in batches:
+            names, packed = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            ids = [K.ungaps(K.CODECS[n][1](x)) for n, x in zip(names, packed)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.list_(pa.int64()))], ["segment_id", "key", "df", "tier", "seq_ids"])
+
+    return postings.select("segment_id", "key", "df", "tier", "codec", "encoded").mapInArrow(run, "segment_id int, key long, df long, tier string, seq_ids array<long>")
+
+
 def codec(name: str, encode: bool):
     """A posting codec over arrays of ids (gaps included)."""
     pack, unpack = K.CODECS[name]

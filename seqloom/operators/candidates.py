@@ -12,13 +12,13 @@ CLIQUE, LARGEST = 64, 1024
 
 
 def kmer_seeds(seqs: DataFrame, k: int, m: int, reduce: bool) -> DataFrame:
-    """``seqs`` (seq_id, seq) to seeds (seq_id, hash, pos)."""
+    """``seqs`` (seq_id, seq) to seeds (seq_id, hash, pos, seq_len, again)."""
     return seed_rows(seqs, k, m, reduce)
 
 
-def group_members(seeds: DataFrame, lengths: DataFrame) -> DataFrame:
+def group_members(seeds: DataFrame) -> DataFrame:
     """(hash, seq_id, seq_len) of each sequence once in each group."""
-    return seeds.select("hash", "seq_id").distinct().join(lengths, "seq_id").select("hash", "seq_id", "seq_len")
+    return seeds.filter("not again").select("hash", "seq_id", "seq_len")
 
 
 def group_stats(members: DataFrame) -> DataFrame:

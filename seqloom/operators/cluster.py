@@ -57,7 +57,7 @@ def lengths_of(seqs: DataFrame) -> DataFrame:
 def pairs_of(seqs: DataFrame, opts: ClusterOptions) -> DataFrame:
     """Candidate pairs of sequences (seq_id, seq)."""
     seeds = stored(kmer_seeds(seqs, opts.kmer_size, opts.seeds_per_seq, opts.reduced), "seeds")
-    return candidate_pairs(group_members(seeds, lengths_of(seqs)))
+    return candidate_pairs(group_members(seeds))
 
 
 def cluster(seqs: DataFrame, opts: ClusterOptions) -> DataFrame:
@@ -79,7 +79,7 @@ def counters(seqs: DataFrame, opts: ClusterOptions) -> DataFrame:
     opts.check()
     lens = lengths_of(seqs)
     seeds = stored(kmer_seeds(seqs, opts.kmer_size, opts.seeds_per_seq, opts.reduced), "seeds")
-    pairs = stored(candidate_pairs(group_members(seeds, lens)), "pairs")
+    pairs = stored(candidate_pairs(group_members(seeds)), "pairs")
     judged = stored(evaluated(pairs, seqs, opts), "judged")
     clusters = stored(assign(judged.filter("reject is null"), lens), "clusters")
     reps = clusters.filter("rep_id = member_id").select(F.col("rep_id").alias("rep"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import IndexOptions, SeedPolicy
 from ..errors import SeqError
 from ..functions import columns as C
-from ..functions.udfs import codec, seed_rows
+from ..functions.udfs import codec, decoded, seed_rows
 from ..storage import stored
 
 SEGMENTS = "version int, segment_id int, db_path string, db_fingerprint long, k int, m int, seed long, n_seqs long, global_seq_base long, dbtype string, hot_df_threshold long, hot_mode string, codec string"
@@ -25,8 +25,8 @@ STATS = "version int, segment_id int, n_seqs long, n_keys long, min_key string,
 
 def posting_lists(seqs: DataFrame, opts: IndexOptions) -> DataFrame:
     """(key, df, seq_ids): the sequences of each key, once each and in order."""
-    keyed = seed_rows(seqs, opts.k, opts.m, False).select(F.col("hash").bitwiseXOR(F.lit(C.signed64(opts.seed))).alias("key"), "seq_id")
-    return keyed.distinct().groupBy("key").agg(F.count("*").alias("df"), F.sort_array(F.collect_list("seq_id")).alias("seq_ids"))
+    keyed = seed_rows(seqs, opts.k, opts.m, False).filter("not again").select(F.col("hash").bitwiseXOR(F.lit(C.signed64(opts.seed))).alias("key"), "seq_id")
+    return keyed.groupBy("key").agg(F.count("*").alias("df"), F.sort_array(F.collect_list("seq_id")).alias("seq_ids"))
 
 
 def hot_threshold(n_seqs: int, wanted: int | None) -> int:
@@ -60,6 +60,20 @@ def stats(postings: DataFrame, n_seqs) -> DataFrame:
     )
 
 
+#: Keys that are shipped to all tasks to pick their posting rows: 64 MB at most.
+SHIPPED_KEYS = 8_000_000
+
+
+def matched(postings: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``postings`` whose key is among ``keys`` (key).
+
+    Up to SHIPPED_KEYS keys go to where the postings are; more are joined by a shuffle of both.  The
+    index itself is never shipped.
+    """
+    keys = keys.select("key").distinct()
+    return postings.join(F.broadcast(keys) if keys.count() <= SHIPPED_KEYS else keys.hint("merge"), "key", "left_semi")
+
+
 class Index:
     """An index below one path."""
 
@@ -113,7 +127,7 @@ class Index:
         n, print_ = own.agg(F.count("*"), F.bit_xor(F.xxhash64("local_id", "name", "seq"))).first()
         lists = with_tiers(posting_lists(own.withColumnRenamed("local_id", "seq_id"), opts), hot_threshold(n, opts.hot_df))
         out = lists.select(F.lit(segment_id).alias("segment_id"), "key", F.col("df").cast("long").alias("df"), "tier", codec(opts.codec, True)("seq_ids").alias("encoded"))
-        self._write("postings", out.repartitionByRange("key").sortWithinPartitions("key"), segment_id, mode)
+        self._write("postings", out.repartitionByRange(C.unsigned(F.col("key"))).sortWithinPartitions(C.unsigned(F.col("key"))), segment_id, mode)
         row = (1, segment_id, db_path, print_ or 0, opts.k, opts.m, C.signed64(opts.seed), n, base, dbtype, hot_threshold(n, opts.hot_df), opts.hot_mode, opts.codec)
         self.spark.createDataFrame([row], SEGMENTS).coalesce(1).write.mode(mode).parquet(f"{self.path}/segments")
 
@@ -155,14 +169,20 @@ class Index:
         size = self.postings().groupBy("segment_id").agg(F.sum(F.length("encoded")).alias("posting_bytes"), F.sum((F.col("tier") == "hot").cast("long")).alias("hot_keys"))
         return self.segments().drop("version").join(self.stats().drop("version", "n_seqs"), "segment_id").join(size, "segment_id", "left")
 
-    def lists(self) -> DataFrame:
-        """Decoded posting lists (segment_id, key, df, tier, seq_ids)."""
-        out = None
-        for name in {r["codec"] for r in self.rows()}:
-            own = self.segments().filter(F.col("codec") == name).select("segment_id")
-            part = self.postings().join(F.broadcast(own), "segment_id", "left_semi").select("segment_id", "key", "df", "tier", codec(name, False)("encoded").alias("seq_ids"))
-            out = part if out is None else out.unionByName(part)
-        return out
+    def matched(self, keys: DataFrame) -> DataFrame:
+        """Posting rows, still encoded, of the ``keys`` (key) alone."""
+        return matched(self.postings(), keys)
+
+    def lists(self, keys: DataFrame) -> DataFrame:
+        """Decoded posting lists (segment_id, key, df, tier, seq_ids) of the ``keys`` (key), each decoded once."""
+        names = F.broadcast(self.segments().select("segment_id", "codec"))  # a row a segment
+        return decoded(self.matched(keys).join(names, "segment_id"))
+
+    def search(self, queries: DataFrame, opts) -> DataFrame:
+        """Ranked hits of ``queries`` (q, query_id, seq)."""
+        from .search import search
+
+        return search(self, queries, opts)
 
     def resolve(self, ids: DataFrame) -> DataFrame:
         """``ids`` (global_id) to (global_id, segment_id, local_id): a range join with the segments."""

@@ -12,7 +12,7 @@ from ..errors import WARNING, SeqError
 from ..functions import columns as C
 from ..functions.udfs import aligner, hamming_overlap, variable_seed_rows
 from ..storage import stored
-from .index import Index
+from .index import Index, matched
 
 #: Document frequency of a key that no segment has.
 MISSING = 4294967295
@@ -38,7 +38,7 @@ def query_seeds(queries: DataFrame, opts: SearchOptions) -> DataFrame:
 
 def seed_frequencies(seeds: DataFrame, postings: DataFrame) -> DataFrame:
     """Seeds with the least document frequency over all segments (MISSING if none has the key)."""
-    least = postings.groupBy("key").agg(F.min("df").alias("df"))
+    least = matched(postings.select("key", "df"), seeds).groupBy("key").agg(F.min("df").alias("df"))
     return seeds.join(least, "key", "left").withColumn("df", F.coalesce("df", F.lit(MISSING)).cast("long"))
 
 
@@ -53,6 +53,12 @@ def pruned_seeds(seed_df: DataFrame, opts: SearchOptions) -> DataFrame:
     return kept.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= max(1, opts.max_seeds)).drop("cut")
 
 
+def selected_seeds(queries: DataFrame, index: Index, opts: SearchOptions) -> DataFrame:
+    """The pruned seeds of ``queries``, stored."""
+    seeds = stored(query_seeds(queries, opts), "query-seeds")
+    return stored(pruned_seeds(seed_frequencies(seeds, index.postings()), opts), "selected-seeds")
+
+
 def probed(selected: DataFrame, postings: DataFrame, segments: DataFrame, opts: SearchOptions) -> DataFrame:
     """(q, segment_id, key, rank, df, tier, n_seqs, visible, ...) of found keys within the budget.
 
@@ -63,7 +69,7 @@ def probed(selected: DataFrame, postings: DataFrame, segments: DataFrame, opts:
     """
     left = selected.withColumnRenamed("df", "least_df")
     own = F.broadcast(segments.select("segment_id", "n_seqs", "hot_mode"))  # a row a segment
-    rows = left.join(postings, "key").join(own, "segment_id").withColumn("visible", ~((F.col("tier") == "hot") & (F.col("hot_mode") == "skip")))
+    rows = left.join(postings.hint("merge"), "key").join(own, "segment_id").withColumn("visible", ~((F.col("tier") == "hot") & (F.col("hot_mode") == "skip")))
     live = F.lit(True) if opts.max_df is None else F.col("df") <= opts.max_df
     rows = rows.withColumn("live", live)
     if opts.work_budget is None:
@@ -126,11 +132,8 @@ def search(index: Index, queries: DataFrame, opts: SearchOptions) -> DataFrame:
     """``queries`` (q, query_id, seq), q unique and in input order, to ranked hits."""
     rows = index.rows()
     check_options(rows, opts)
-    lists = index.lists()
-    postings = index.postings()
-    seeds = stored(query_seeds(queries, opts), "query-seeds")
-    selected = stored(pruned_seeds(seed_frequencies(seeds, postings), opts), "selected-seeds")
-    found = probed(selected, lists, index.segments(), opts)
+    selected = selected_seeds(queries, index, opts)
+    found = probed(selected, index.lists(selected), index.segments(), opts)
     cands = candidates(found, opts)
     return top_hits(scored(cands, queries, index.with_global_ids(), opts), opts.top_k)
 
