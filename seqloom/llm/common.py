@@ -4,19 +4,17 @@ Texts are handled in whole.  A null text counts as an empty text everywhere.
 """
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import file_system as open_fs
+from ..storage import scratch_dir
+
 MASK = (1 << 64) - 1
-_own_scratch: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,22 +32,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``, which all executors share.
-
-    Only where that setting is missing (tests in local mode) a temporary folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own_scratch:
-            folder = tempfile.mkdtemp(prefix="scratch-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            _own_scratch[app] = f"file://{folder}"
-        base = _own_scratch[app]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared scratch folder and read again.
 
@@ -61,15 +43,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a shared path, for writers on executors."""
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path)
-
-
 def write_once(path: str, data: bytes) -> None:
     """Write a file under a temporary name, then rename it: a retried task leaves a whole file."""
     fs, where = open_fs(path)
