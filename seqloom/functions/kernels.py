@@ -117,6 +117,27 @@ def mismatches(a: bytes, b: bytes) -> int:
     return int(np.count_nonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))) if n else 0
 
 
+#: Overlaps up to this length are compared many at once, so many letters at a time; longer ones one by one.
+SHORT, LETTERS = 512, 1 << 20
+
+
+def mismatches_many(a: np.ndarray, ao: np.ndarray, b: np.ndarray, bo: np.ndarray) -> np.ndarray:
+    """``mismatches`` of many pairs, given as bytes and offsets."""
+    n = np.minimum(np.diff(ao), np.diff(bo))
+    out = np.zeros(len(n), np.int32)
+    for i in np.flatnonzero(n > SHORT):
+        out[i] = np.count_nonzero(a[ao[i]: ao[i] + n[i]] != b[bo[i]: bo[i] + n[i]])
+    own = np.flatnonzero((n > 0) & (n <= SHORT))
+    for part in np.array_split(own, int(n[own].sum()) // LETTERS + 1):
+        if len(part):
+            size = n[part]
+            first = np.cumsum(size) - size
+            step = np.arange(size.sum()) - np.repeat(first, size)
+            differ = a[np.repeat(ao[part], size) + step] != b[np.repeat(bo[part], size) + step]
+            out[part] = np.add.reduceat(differ.astype(np.int32), first)
+    return out
+
+
 # ------------------------------------------------------------------ scoring
 
 #: BLOSUM62, of the twenty amino acids and the codes B, Z and X.

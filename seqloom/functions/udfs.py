@@ -85,7 +85,7 @@ def _each(a: pa.Array, b: pa.Array):
 @F.arrow_udf(T.IntegerType())
 def hamming_overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     """Mismatches over the shorter length."""
-    return pa.array([K.mismatches(x, y) for x, y in _each(a, b)], pa.int32())
+    return pa.array(K.mismatches_many(*buffers(a), *buffers(b)))
 
 
 ALIGNED = T.StructType([T.StructField(n, T.IntegerType()) for n in ("score", "aligned_len", "matches")])

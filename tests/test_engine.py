@@ -398,3 +398,27 @@ def test_sql_functions(spark):
     r = spark.sql("select fnv1a64('GATTACA') f, hamming_overlap('ACGT', 'ACCTT') h, sw_align('WWWW', 'WWWW') a, sw_align_banded('WWWW', 'WWAW') b, size(kmer_seeds('ACGTACGT', 5, 8, false)) n").first()
     assert r["f"] == C.signed64(10139454686114222884) and r["h"] == 1 and r["n"] == 4
     assert tuple(r["a"]) == (44, 4, 4) and tuple(r["b"]) == (K.align_pair(b"WWWW", b"WWAW", K.PROTEIN, 0.9))
+
+
+def test_scratch_has_to_be_shared_off_local_mode():
+    from types import SimpleNamespace
+
+    from seqloom import storage
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(SeqError, match="spark.checkpoint.dir"):
+            storage.scratch_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)), "x")
+    conf = SimpleNamespace(get=lambda *_: "hdfs://nn/tmp/")
+    assert storage.scratch_dir(SimpleNamespace(conf=conf), "x").startswith("hdfs://nn/tmp/x-")
+
+
+def test_stores_by_hadoops_names(monkeypatch):
+    from seqloom import storage
+
+    seen = []
+    monkeypatch.setattr(storage, "pafs", type("fs", (), {"FileSystem": type("f", (), {"from_uri": staticmethod(lambda u: seen.append(u) or (None, u))}), "LocalFileSystem": object}))
+    for path in ("s3a://bucket/a b", "gs://x/y", "hdfs://n/p", "abfss://c@a.example/p"):
+        storage.file_system(path)
+    assert seen == ["s3://bucket/a b", "gs://x/y", "hdfs://n/p", "abfss://c@a.example/p"]
+    assert storage.file_system("file:///a/b")[1] == storage.file_system("file:/a/b")[1] == "/a/b"

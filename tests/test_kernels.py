@@ -2,6 +2,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -190,3 +191,21 @@ def test_thresholds():
     assert abs(t.prefilter_identity - 0.86) < 1e-6 and not t.gapped
     assert abs(thresholds("ultra", 0.9, 0.8, 1.0).final_coverage - 0.72) < 1e-6
     assert thresholds("sensitive", 0.2, 0.8, 10).prefilter_identity == 0.0
+
+
+def test_mismatches_of_many_pairs():
+    r = np.random.default_rng(3)
+    words = lambda: [bytes(r.integers(65, 68, r.choice([0, 1, 5, 90, 512, 513, 3000])).astype(np.uint8)) for _ in range(200)]
+    a, b = words(), words()
+    flat = lambda x: (np.frombuffer(b"".join(x), np.uint8), np.cumsum([0] + [len(y) for y in x]))
+    for size in (1 << 20, 100):
+        K.LETTERS, old = size, K.LETTERS
+        try:
+            assert K.mismatches_many(*flat(a), *flat(b)).tolist() == [K.mismatches(x, y) for x, y in zip(a, b)]
+        finally:
+            K.LETTERS = old
+
+
+def test_alignments_that_would_overflow_are_refused():
+    with pytest.raises(OverflowError):
+        K.align_full(b"A" * (1 << 20), b"A", K.PROTEIN)
