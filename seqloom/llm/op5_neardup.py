@@ -33,8 +33,8 @@ from .common import MASK, mix, seeded, shingles, small_batches, stored, text_chu
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 THRESHOLD = 0.8
-#: Rows that one task of step 4 compares with as many others at a time.
-BLOCK = 256
+#: Bytes of bags (12 a shingle) that step 4 compares with as many others at a time.
+BLOCK_BYTES = 16 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BAND_SEED = seeded(BANDS, 9001)
@@ -337,11 +337,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Buckets that still hold several classes: compare the rest, block by block.
     placed = inside.filter("n > 2").join(classes, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
     mixed = placed.groupBy("band", "value").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).filter("c0 <> c1").select("band", "value")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    todo = stored(placed.join(mixed, ["band", "value"]).withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")), "mixed")
+    light = placed.join(mixed, ["band", "value"]).join(sigs.select("id", "total", "bands"), "id")
+    mass = light.groupBy("band", "value").agg(F.sum("total").alias("mass"))
+    blocks = F.ceil(F.col("mass") * 12 / BLOCK_BYTES).cast("int")
+    todo = stored(light.join(mass, ["band", "value"]).withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")), "mixed")
     if not todo.isEmpty():
         bags_ = _bags(todo.select("id"), texts)
-        full = todo.join(sigs.select("id", "total", "bands"), "id").join(bags_, "id")
+        full = todo.join(bags_, "id")
         dealt = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("band", "value", "id", "cls", "blk", "total", "bands", "bag", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
         cross = dealt.groupBy("band", "value", "i", "j").applyInArrow(_crossed, "a long, b long")
         links = stored(links.unionByName(cross.distinct().withColumn("similarity", F.lit(THRESHOLD))), "verified")

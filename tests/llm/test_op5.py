@@ -67,7 +67,7 @@ def test_equals_brute_force(spark):
 
 
 def test_blocks_find_links_that_the_star_misses(spark, monkeypatch):
-    monkeypatch.setattr(op, "BLOCK", 4)
+    monkeypatch.setattr(op, "BLOCK_BYTES", 5000)
     rows = corpus(120, 9)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["id"]: r["class_id"] for r in op.near_duplicates(df).collect()} == classes(rows)
