@@ -145,6 +145,7 @@ _CLASS[0xC3:0xCA] = _LETTER  # first bytes of U+00C0 to U+027F; two of these are
 _CLASS[0x80:0xC0] = _LETTER  # their second bytes
 _CLASS[32], _CLASS[10], _CLASS[39] = _SPACE, _FEED, _REST
 _HASH = seeded(64 * 256, 4242)
+_ODD = seeded(64, 4243) | np.uint64(1)
 
 
 def plain_pieces(data: np.ndarray, offs: np.ndarray, special: tuple[bytes, ...] = ()):
@@ -182,7 +183,7 @@ def plain_pieces(data: np.ndarray, offs: np.ndarray, special: tuple[bytes, ...]
     keep = np.repeat(plain, np.diff(offs))
     s = np.flatnonzero(start & keep)
     if not len(s):
-        return plain, np.zeros(0, np.uint64), s, s, s
+        return plain, np.zeros(0, np.uint64), np.zeros(0, np.uint64), s, s, s
     flat = data[keep].astype(np.int32)
     text = np.searchsorted(offs, s, side="right") - 1
     size = np.diff(offs) * plain
@@ -194,14 +195,15 @@ def plain_pieces(data: np.ndarray, offs: np.ndarray, special: tuple[bytes, ...]
     if length.max() > 64:
         val = val * ((pos >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1))
     h = mix(np.add.reduceat(val, at) + length.astype(np.uint64))
-    return plain, h, s, s + length, text
+    g = mix(np.add.reduceat(val * _ODD[pos & 63], at) + length.astype(np.uint64))
+    return plain, h, g, s, s + length, text
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned integers of two or four bytes.
 
-    The pieces of plain texts are encoded once each and kept by their 64-bit hashes (among
-    CACHE pieces two share one with a chance below 1e-6); other texts are encoded in whole.
+    The pieces of plain texts are encoded once each and kept by a 64-bit hash, which a second one has to
+    confirm; texts with a piece whose hashes don't agree, and all other texts, are encoded in whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -219,13 +221,14 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # sorted hashes, and for each its place in ``flat``
+        self.known = np.zeros(0, np.uint64)  # sorted hashes, and for each the second one and its place in ``flat``
+        self.check = np.zeros(0, np.uint64)
         self.begin = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, self.kind)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Rows of hashes, -1 if unknown: a direct table first, then a search for the rest."""
+    def _find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Rows of hashes, -1 if unknown, -2 if they are another piece's: a direct table first, then a search for the rest."""
         out = np.full(len(h), -1, np.int64)
         if len(self.known):
             row = self.direct[(h >> np.uint64(64 - _DIRECT)).astype(np.int64)]
@@ -235,9 +238,10 @@ class Encoder:
             at = np.minimum(np.searchsorted(self.known, h[rest]), len(self.known) - 1)
             same = self.known[at] == h[rest]
             out[rest[same]] = at[same]
+            out[(out >= 0) & (self.check[out] != g)] = -2
         return out
 
-    def _learn(self, h: np.ndarray, words: list[str]) -> None:
+    def _learn(self, h: np.ndarray, g: np.ndarray, words: list[str]) -> None:
         ids = np.array(self.lib.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, self.kind)
         feeds = np.flatnonzero(ids == self.feed)
         start, stop = np.append(0, feeds + 1), np.append(feeds, len(ids))
@@ -245,6 +249,7 @@ class Encoder:
             raise ValueError("the vocabulary does not cut words as expected")
         at = np.searchsorted(self.known, h)
         self.known = np.insert(self.known, at, h)
+        self.check = np.insert(self.check, at, g)
         self.begin = np.insert(self.begin, at, start + len(self.flat))
         self.size = np.insert(self.size, at, stop - start)
         self.flat = np.concatenate([self.flat, ids])
@@ -258,27 +263,32 @@ class Encoder:
         for i, j, data, offs in text_chunks(arr, 2_000_000):
             if self.feed is None:
                 break
-            plain, h, s, e, text = plain_pieces(data, offs, self.special)
+            plain, h, g, s, e, text = plain_pieces(data, offs, self.special)
             if not len(h):
                 continue
             if len(self.known) > self.limit:
                 self._forget()
-            h[(e - s == 1) & (data[s] == 10)] = _FEED_HASH
-            row = self._find(h)
-            new = np.flatnonzero(row < 0)
+            feeds = (e - s == 1) & (data[s] == 10)
+            h[feeds] = g[feeds] = _FEED_HASH
+            row = self._find(h, g)
+            new = np.flatnonzero(row == -1)
             if len(new):
                 uniq, at = np.unique(h[new], return_index=True)
                 raw, at = data.tobytes(), new[at]
                 words = [raw[a:b].decode() for a, b in zip(s[at].tolist(), e[at].tolist())]
                 if uniq[0] == _FEED_HASH:  # the line feed separates words in _learn
-                    self.known = np.insert(self.known, 0, _FEED_HASH)
+                    self.known, self.check = np.insert(self.known, 0, _FEED_HASH), np.insert(self.check, 0, _FEED_HASH)
                     self.begin, self.size = np.insert(self.begin, 0, len(self.flat)), np.insert(self.size, 0, 1)
                     self.flat = np.append(self.flat, np.array([self.feed], self.kind))
                     self.direct = np.zeros(1 << _DIRECT, np.int32)
-                    uniq, words = uniq[1:], words[1:]
+                    uniq, at, words = uniq[1:], at[1:], words[1:]
                 if len(words):
-                    self._learn(uniq, words)
-                row = self._find(h)
+                    self._learn(uniq, g[at], words)
+                row = self._find(h, g)
+            if (row < 0).any():
+                plain[text[row < 0]] = False
+                whole = plain[text]
+                row, text = row[whole], text[whole]
             size = self.size[row]
             src = np.repeat(self.begin[row] - (np.cumsum(size) - size), size)
             src += np.arange(len(src))

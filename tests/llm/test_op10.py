@@ -71,3 +71,20 @@ def test_stage_keeps_the_order_of_files(spark, tmp_path):
     assert sorted(out, key=out.get) == want
     loose = {r["doc_id"]: r["start"] for r in op.stage(spark, df, "").collect()}
     assert sorted(loose, key=loose.get) == want
+
+
+def test_pieces_that_share_a_hash(monkeypatch):
+    lib = Tokenizer.from_file(PATH)
+    whole = op.plain_pieces
+
+    def weak(*args):
+        plain, h, *rest = whole(*args)
+        return plain, h % np.uint64(50) + np.uint64(1), *rest
+
+    monkeypatch.setattr(op, "plain_pieces", weak)
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["the", "word", "of", f"w{r.randrange(300)}"]) for _ in range(r.randint(0, 9))) + "\n" * r.randint(0, 1) for _ in range(400)]
+    enc = op.Encoder(PATH)
+    for _ in range(2):
+        for t, b in zip(texts, enc.encode(pa.array(texts), 2)):
+            assert list(np.frombuffer(b, enc.kind)) == lib.encode(t, add_special_tokens=False).ids + [2], repr(t)
