@@ -8,6 +8,8 @@ predecessor at once.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,20 +20,29 @@ from .cascade import evaluated
 from .ranking import dense_index
 
 
+#: Rounds whose representatives are written together, so that plans stay short however many there are.
+ROUNDS = 8
+
+
 def independent_set(edges: DataFrame) -> DataFrame:
-    """(id) of representatives among the ends of ``edges`` (rep, member), rep being the earlier."""
+    """(id) of representatives among the ends of ``edges`` (rep, member), rep being the earlier.
+
+    There are as many rounds as the longest chain of claims has links.
+    """
     left = stored(edges.select("rep", "member").distinct(), "edges")
-    chosen = None
+    rounds: list[DataFrame] = []
     undecided = stored(left.select(F.explode(F.array("rep", "member")).alias("id")).distinct(), "undecided")
     while not undecided.isEmpty():
         fresh = stored(undecided.join(left.select(F.col("member").alias("id")).distinct(), "id", "left_anti"), "chosen")
-        chosen = fresh if chosen is None else chosen.unionByName(fresh)
+        rounds.append(fresh)
+        if len(rounds) > ROUNDS:
+            rounds = [stored(reduce(DataFrame.unionByName, rounds), "chosen")]
         claimed = left.join(fresh.select(F.col("id").alias("rep")), "rep", "left_semi").select(F.col("member").alias("id")).distinct()
         undecided = stored(undecided.join(fresh, "id", "left_anti").join(claimed, "id", "left_anti"), "undecided")
         for end in ("rep", "member"):
             left = left.join(undecided.select(F.col("id").alias(end)), end, "left_semi")
         left = stored(left, "edges")
-    return chosen if chosen is not None else undecided
+    return reduce(DataFrame.unionByName, rounds) if rounds else undecided
 
 
 def assign(edges: DataFrame, lengths: DataFrame) -> DataFrame:

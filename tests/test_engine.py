@@ -422,3 +422,8 @@ def test_stores_by_hadoops_names(monkeypatch):
         storage.file_system(path)
     assert seen == ["s3://bucket/a b", "gs://x/y", "hdfs://n/p", "abfss://c@a.example/p"]
     assert storage.file_system("file:///a/b")[1] == storage.file_system("file:/a/b")[1] == "/a/b"
+
+
+def test_long_chains_of_claims(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(22)], "rep long, member long")
+    assert sorted(r["id"] for r in cluster.independent_set(chain).collect()) == list(range(0, 23, 2))
