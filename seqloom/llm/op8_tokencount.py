@@ -218,7 +218,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds))], ["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
-    return small_batches(docs).mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return small_batches(docs).select("id", "text").mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
 def query(spark, sf_dir: str, model: str | None = None) -> DataFrame:

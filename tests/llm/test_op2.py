@@ -46,7 +46,7 @@ def test_trees_on_fresh_examples():
 def test_query_and_odd_rows(spark):
     secret = 'the token = "1eb9c654e721b4f812088970e66a6345cee33dd6" and x.92@mail2.example.com on 2024-01-05, +1 (499) 555-6503.'
     rows = [(1, None, 0), (2, "", 0), (3, secret, 0), (3, secret, 0), (None, "10.0.0.1", 0), (4, "plain words " * 20000, 0)]
-    df = spark.createDataFrame(rows, "id long, text string, n_email int").select("id", "text")
+    df = spark.createDataFrame(rows, "id long, text string, n_email int")
     got = op.find(df).collect()
     assert len(got) == 6
     by = {r["id"]: r for r in got}

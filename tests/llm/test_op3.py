@@ -11,7 +11,7 @@ def table(spark):
         for i in range(k):
             rows.append((n, s, "w " * (1 + (n * 7919) % 40), 0))
             n += 1
-    return spark.createDataFrame(rows, "doc_id long, source string, text string, n_tokens int").select("doc_id", "source", "text"), rows
+    return spark.createDataFrame(rows, "doc_id long, source string, text string, n_tokens int"), rows
 
 
 def weights(rows, alpha):

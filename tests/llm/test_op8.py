@@ -43,6 +43,6 @@ def test_nulls_and_long_texts(spark, sp):
     c = op.PrefixCounter(MODEL, cache=10)
     long = "qwzx" * 20000
     assert c.count(long) == len(sp.encode(long))
-    df = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "a b")], "id long, text string")
+    df = spark.createDataFrame([(7, 1, None), (7, 2, ""), (7, 2, ""), (7, None, "a b")], "n_tokens int, id long, text string")
     assert sorted((r["id"] or 0, r["n_tokens"]) for r in op.token_counts(df, MODEL).collect()) == [(0, len(sp.encode("a b"))), (1, 0), (2, 0), (2, 0)]
     assert op.token_counts(df.limit(0), MODEL).collect() == []
