@@ -18,11 +18,13 @@ share of the rows a source has.
 Defined results: a null source is the source ''; texts that are null or without words have no
 tokens and come with their block; a source without tokens gives no rows; an empty table gives
 none; rows that repeat an id, and rows without one, are separate documents; extra columns are ignored.
-The pipeline stage carries whole rows along, so that nothing is joined by id, and writes them in the order of
-the mix: its files in the order of their names, rows in their order, are the interleaved sources.
+The pipeline stage knows a row by its file and its line there, plans the mix with these alone and joins the whole
+rows once.  It writes each file in the order of the mix; rows fall into files at random, so every file holds
+the interleaved sources at their weights, and copies of a document stand apart.
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,9 +141,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents of the mix, a row for each epoch they are in, in the mix's order."""
-    whole = docs.select("doc_id", "source", F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("mix_row"))
-    out = mixed(whole, row="mix_row")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = out.repartitionByRange(n, "mix_at").sortWithinPartitions("mix_at", "source", "doc_id", "epoch")
-    return out.select(*[F.col("mix_row")[c].alias(c) for c in docs.columns])
+    """Pipeline stage: the documents of the mix, a row for each epoch they are in, each file in the mix's order."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:  # rows that come from no file
+        docs = stored(docs, "documents")
+    line = [F.xxhash64("_metadata.file_path").alias("mix_file"), F.col("_metadata.row_index").alias("mix_line")]
+    light = docs.select("doc_id", "source", F.col("text").cast("string").alias("text"), F.struct(*line).alias("mix_row"))
+    mix = mixed(light, row="mix_row").select("mix_row.mix_file", "mix_row.mix_line", "mix_at", "epoch")
+    whole = docs.select(F.struct(*docs.columns).alias("mix_doc"), *line)
+    out = whole.join(mix, ["mix_file", "mix_line"]).sortWithinPartitions("mix_at", "epoch", "mix_file", "mix_line")
+    return out.select(*[F.col("mix_doc")[c].alias(c) for c in docs.columns])
