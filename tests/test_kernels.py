@@ -171,6 +171,27 @@ def test_equal_pairs_take_the_short_way():
     assert K.align_pair(b"A" * 4001, b"A" * 4000, K.PROTEIN, 0.9) == (0, 0, 0)
 
 
+def test_many_alignments_equal_single_ones():
+    r = random.Random(11)
+    noise = lambda n: "".join(r.choice("AOUXEST") for _ in range(n)).encode()
+    pairs = [mutated(r) for _ in range(120)] + [(x, x) for x in (noise(r.randint(1, 90)) for _ in range(30))]
+    pairs += [(x, x[:40] + noise(r.choice([0, 7, 30])) + x[45:]) for x in (noise(150) for _ in range(20))] + [(b"", b"A"), (b"A", b""), (b"X", b"X")]
+    for s in (K.PROTEIN, K.PROTEIN_FLAT, K.NUCLEOTIDE, K.with_gaps(K.PROTEIN, -2, -1), K.with_gaps(K.PROTEIN, 0, 0)):
+        assert K.align_full_many(pairs, s) == [K.align_full(a, b, s) for a, b in pairs]
+        for least in (0.5, 4.0):
+            assert K.align_pairs(pairs, s, least) == [K.align_pair(a, b, s, least) for a, b in pairs]
+
+
+def test_equal_texts_are_aligned_without_a_table(monkeypatch):
+    """O and U, which score below 0 with themselves, are in every text."""
+    monkeypatch.setattr(K, "_rows", None)
+    monkeypatch.setattr(K, "_sweep", None)
+    x = b"THEQUOTAOFYOURHOUSE" * 100
+    (score, length, same), = K.align_pairs([(x, x)], K.PROTEIN, 0.9)
+    assert score > 0 and length == same == 1900
+    assert K.align_full_many([(x, x)], K.PROTEIN) == [(score, 1900, 1900)]
+
+
 def test_goldens():
     x = b"MKTAYIAKQRQISFVKSHFSRQDILDLWQ"
     assert K.align_pair(x, x, K.PROTEIN, 0.9) == (149, 29, 29)
