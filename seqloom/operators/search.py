@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import SearchOptions
 from ..errors import WARNING, SeqError
 from ..functions import columns as C
-from ..functions.udfs import aligner, hamming_overlap, variable_seed_rows
+from ..functions.udfs import hamming_overlap, variable_seed_rows, with_alignment
 from ..storage import stored
 from .index import Index, matched
 
@@ -111,14 +111,14 @@ def scored(cands: DataFrame, queries: DataFrame, targets: DataFrame, opts: Searc
     rows = rows.filter((overlap > 0) & (C.div32(overlap, F.greatest("qlen", "tlen")) >= C.f32(loose_cov)))
     rows = rows.withColumn("mm", hamming_overlap("query", "target"))
     near = (F.col("mm") <= C.allowed_mismatches(float(ident), overlap) + 16) & C.ungapped_ok(F.col("mm"), overlap, F.greatest("qlen", "tlen"), loose_id, loose_cov)
-    rows = rows.filter(near).withColumn("aln", aligner(opts.scoring)("query", "target"))
-    identity = C.div32(F.col("aln.matches"), F.col("aln.aligned_len"))
-    coverage = C.div32(F.col("aln.aligned_len"), overlap)
-    rows = rows.withColumn("identity", identity).withColumn("coverage", coverage).filter((F.col("aln.aligned_len") > 0) & (F.col("identity") >= C.f32(ident)) & (F.col("coverage") >= C.f32(cover)))
+    rows = with_alignment(rows.filter(near), "query", "target", opts.scoring)
+    identity = C.div32(F.col("matches"), F.col("aligned_len"))
+    coverage = C.div32(F.col("aligned_len"), overlap)
+    rows = rows.withColumn("identity", identity).withColumn("coverage", coverage).filter((F.col("aligned_len") > 0) & (F.col("identity") >= C.f32(ident)) & (F.col("coverage") >= C.f32(cover)))
     k = C.choose_k(opts.policy, opts.k, F.col("qlen"))
     keys = F.array_join(F.transform("keys", lambda x: C.hex64(C.unsigned(x))), ", ")
     explain = F.format_string("k=%d;keys=[%s];count=%d;w=%d", k, keys, F.col("seed_hits"), F.col("weight"))
-    score = (F.col("aln.score") + 4 * F.col("seed_hits") + F.expr("weight div 256")).cast("int")
+    score = (F.col("score") + 4 * F.col("seed_hits") + F.expr("weight div 256")).cast("int")
     return rows.select("q", "query_id", F.col("global_id").alias("target_id"), score.alias("score"), "identity", "coverage", F.col("seed_hits").cast("int").alias("seed_hits"), "segment_id", explain.alias("explain"), "target_name", "local_id")
 
 

@@ -12,7 +12,7 @@ from seqloom.config import ClusterOptions, IndexOptions, SearchOptions, SeedPoli
 from seqloom.errors import SeqError
 from seqloom.functions import columns as C
 from seqloom.functions import kernels as K
-from seqloom.operators import candidates, cluster, search
+from seqloom.operators import candidates, cascade, cluster, search
 from seqloom.operators.index import Index
 from seqloom.operators.ranking import dense_index
 from seqloom.sources import fasta
@@ -427,3 +427,20 @@ def test_stores_by_hadoops_names(monkeypatch):
 def test_long_chains_of_claims(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(22)], "rep long, member long")
     assert sorted(r["id"] for r in cluster.independent_set(chain).collect()) == list(range(0, 23, 2))
+
+
+def test_only_what_the_screen_leaves_is_aligned(spark):
+    """Catalyst evaluated both Arrow functions of a row at once, and so aligned every candidate."""
+    names = "q long, segment_id int, local_id long, seed_hits long, weight long, keys array<long>"
+    far = "W" * 600_000  # too long to be aligned, and unlike the query everywhere
+    cands = spark.createDataFrame([(0, 0, 0, 1, 1, [1]), (0, 0, 1, 1, 1, [1])], names)
+    queries = spark.createDataFrame([(0, "q", "A" * 600_000)], "q long, query_id string, seq string")
+    targets = spark.createDataFrame([(0, i, "t", far, len(far), i) for i in (0, 1)], "segment_id int, local_id long, name string, seq string, seq_len long, global_id long")
+    assert search.scored(cands, queries, targets, SearchOptions()).collect() == []
+    pairs = spark.createDataFrame([(0, 1, 4, 4)], "rep long, member long, rep_len int, member_len int")
+    seqs = spark.createDataFrame([(0, "AAAA"), (1, "WWWW")], "seq_id long, seq string")
+    rows = cascade.evaluated(pairs, seqs, ClusterOptions(level="ultra"), decisions_only=True)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "sw_align" not in plan  # as a function beside hamming_overlap it ran before the filter
+    assert plan.index("MapInArrow") < plan.index("Filter", plan.index("MapInArrow")) < plan.rindex("ArrowEvalPython")
+    assert rows.collect() == []
