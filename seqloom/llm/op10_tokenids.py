@@ -35,7 +35,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, open_fs, scratch_dir, seeded, small_batches, stored, table, text_chunks, write_once
+from .common import KEPT, lean, mix, open_fs, scratch_dir, seeded, small_batches, stored, table, text_chunks, write_once
 
 END_ID = 2
 #: Ids of a shard file, from which on a new one begins at the next document.
@@ -307,7 +307,7 @@ class Encoder:
 
 _DIRECT = 21
 _FEED_HASH = np.uint64(0)
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = KEPT.setdefault("encoders", {})
 
 
 def encoder(path: str) -> Encoder:
@@ -373,9 +373,9 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str) -> Dat
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["range", "seq", "path", "n_docs", "n_ids"])
 
-    rows = small_batches(docs).mapInArrow(encoded, "range int, at long, id long, crc long, ids binary")
+    rows = small_batches(docs).mapInArrow(lean(encoded, "encoders"), "range int, at long, id long, crc long, ids binary")
     rows = rows.repartition(max(1, ranges), "range").sortWithinPartitions("range", "at", "id", "crc")
-    return stored(rows.mapInArrow(write, FILES), "shard-list")
+    return stored(rows.mapInArrow(lean(write, "encoders"), FILES), "shard-list")
 
 
 def read_ids(files: DataFrame) -> DataFrame:
@@ -400,7 +400,7 @@ def read_ids(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids.astype(np.int64), mask=none), pa.array(starts + base), pa.array(shard.lengths), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, min(4096, placed.count()))
-    return placed.repartition(n, "path").mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(n, "path").mapInArrow(lean(read, "encoders"), "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, at="doc_id") -> DataFrame:

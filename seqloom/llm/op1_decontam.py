@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, seeded, small_batches, table, text_chunks, word_hashes
+from .common import lean, mix, seeded, small_batches, table, text_chunks, word_hashes
 
 MAX_EDIT = 0.2
 REPEATS, SAMPLES = 32, 3
@@ -333,7 +333,7 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "item_id", "distance", "item_words", "start", "stop"])
 
-        found = docs.mapInArrow(scan, RESULT)
+        found = docs.mapInArrow(lean(scan), RESULT)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], RESULT)
@@ -350,13 +350,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
         def scan(batches, sent=sent):
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for i, _, data, offs in text_chunks(batch.column(at).cast(pa.string()), 4_000_000):
+                for i, _, data, offs in text_chunks(batch.column(at).cast(pa.string())):
                     h, _, _, first = word_hashes(data, offs, True)
                     for block in sent:
                         keep[[i + t for t, *_ in block.value.match(h, first)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(scan, docs.schema)
+        docs = docs.mapInArrow(lean(scan), docs.schema)
     return docs
 
 

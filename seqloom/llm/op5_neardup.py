@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK, mix, seeded, shingles, small_batches, stored, text_chunks, word_hashes
+from .common import MASK, lean, mix, seeded, shingles, small_batches, stored, text_chunks, word_hashes
 
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
@@ -200,7 +200,7 @@ def _filter(ids: DataFrame, bits: int) -> np.ndarray:
             spot = np.unique(_spot(batch.column(0).to_numpy(), bits))
             yield pa.RecordBatch.from_arrays([pa.array(spot >> 15), pa.array(spot & 0x7FFF)], ["bucket", "bit"])
 
-    rows = ids.mapInArrow(run, "bucket long, bit long").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    rows = ids.mapInArrow(lean(run), "bucket long, bit long").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros(1 << (bits - 3), np.uint8)
     for bucket, held in rows.toLocalIterator():
         out[bucket << 12: (bucket + 1) << 12] = np.frombuffer(held, np.uint8)
@@ -261,7 +261,7 @@ def _bags(ids: DataFrame, texts: DataFrame) -> DataFrame:
         wanted = texts.sparkSession.sparkContext.broadcast((_filter(ids, bits), bits))
     else:
         wanted, texts = None, texts.join(ids.distinct(), "id", "left_semi")
-    return stored(texts.select("id", "text").mapInArrow(_packer(wanted), "id long, bag binary"), "bags").dropDuplicates(["id"])
+    return stored(texts.select("id", "text").mapInArrow(lean(_packer(wanted)), "id long, bag binary"), "bags").dropDuplicates(["id"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         pairs.join(packed.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a")
         .join(packed.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
         .select("a", "b", "bag_a", "bag_b")
-        .mapInArrow(_judged, "a long, b long, similarity double")
+        .mapInArrow(lean(_judged), "a long, b long, similarity double")
     )
 
 
@@ -308,12 +308,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id are one document: the text whose words have the smallest hash stands for it.
     """
     texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    signed = stored(texts.mapInArrow(_signed, SIG_SCHEMA), "signatures")
+    signed = stored(texts.mapInArrow(lean(_signed), SIG_SCHEMA), "signatures")
     one = F.struct("key_a", "key_b", "words")
     several = signed.groupBy("id").agg(F.min(one).alias("one"), F.max(one).alias("other")).filter("one <> other")
     several = stored(several.select("id", F.col("one.key_a").alias("one_a"), F.col("one.key_b").alias("one_b")), "several")
     if not several.isEmpty():
-        texts = stored(texts.join(several, "id", "left").mapInArrow(_chosen, "id long, text string"), "chosen")
+        texts = stored(texts.join(several, "id", "left").mapInArrow(lean(_chosen), "id long, text string"), "chosen")
         signed = signed.join(several, "id", "left").filter("one_a is null or (key_a = one_a and key_b = one_b)").drop("one_a", "one_b")
     own = F.when(F.col("words") == 0, F.col("id"))  # wordless texts are never copies of each other
     keys = signed.select("id", F.coalesce(own, F.col("key_a")).alias("key_a"), F.coalesce(own, F.col("key_b")).alias("key_b"), "words")

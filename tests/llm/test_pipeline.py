@@ -72,3 +72,28 @@ def test_odd_rows(spark, tmp_path):
                 assert plain(got) == plain(want[name]), name
         else:
             assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in df.collect())
+
+
+def test_workers_keep_nothing_of_other_stages():
+    """Idle workers held what earlier stages had freed, and the token cache, beside the JVM of their executor."""
+    import numpy as np
+
+    from seqloom.llm import common
+    from seqloom.llm.op10_tokenids import _encoders
+
+    anon = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("RssAnon")).split()[1])
+
+    def run(batches):
+        for b in batches:
+            held = [np.ones(10_000) for _ in range(2_000)]  # 160 MB that malloc keeps while the last lives
+            last = held.pop()
+            del held
+            yield b + int(last[0])
+
+    common.tidy("")
+    assert common.KEPT["encoders"] is _encoders
+    _encoders["test"] = None
+    before = anon()
+    assert list(common.lean(run, "encoders")([1, 2])) == [2, 3] and "test" in _encoders
+    assert list(common.lean(run)([1, 2])) == [2, 3] and "test" not in _encoders
+    assert anon() - before < 50_000
