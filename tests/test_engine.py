@@ -125,6 +125,51 @@ def test_star_groups_and_masked_groups(spark, monkeypatch):
     assert rows(cluster.cluster(df, o)) == sequential(seqs, o)[0]
 
 
+@pytest.mark.parametrize("level", ["medium"])
+def test_large_groups_are_whole(spark, monkeypatch, level):
+    """A group over 64 linked its longest member alone, and one over 1024 nothing."""
+    r = random.Random(level)
+    letters = lambda n: "".join(r.choice("ARNDCQEGHILKMFPSTWYV") for _ in range(n))
+
+    def near(s):  # shares no seed with ``s`` but those of its first 12 letters, which the group has in common
+        s = list(s)
+        for i in range(12, 60, 10):
+            s[i] = "C" if s[i] in "FWY" else "W"
+        return "".join(s)
+
+    some, many = ["ACDEFGHIKLMA" + letters(48) for _ in range(80)], ["LKIHGFEDCAML" + letters(48) for _ in range(1000)]
+    seqs = some + many + [near(s) for s in some[:10] + many[:30]] + many[40:44] + some[:4]
+    r.shuffle(seqs)
+    seqs = [(f"s{i}", s) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(seqs)], "seq_id long, name string, seq string")
+    o = ClusterOptions(level=level, kmers_per_seq=60)
+    got = rows(cluster.cluster(df, o))
+    assert 1 + max(c for c, _, _ in got) == 1080
+    monkeypatch.setattr(candidates, "CLIQUE", len(seqs))
+    monkeypatch.setattr(candidates, "LARGEST", len(seqs))
+    assert got == sequential(seqs, o)[0]
+
+
+@pytest.mark.parametrize("level, mode", [("medium", 0)])
+def test_few_partners_at_a_time(spark, monkeypatch, level, mode):
+    """Partners in small lists and groups in many blocks give what the loop does, with copies of all kinds."""
+    monkeypatch.setattr(cluster, "FEW", 1)
+    monkeypatch.setattr(cluster, "GROWTH", 2)
+    monkeypatch.setattr(candidates, "BLOCK", 1500)
+    r = random.Random(mode)
+    seqs = random_sequences(31 + mode, 90)
+    unknown = ["ACDEFGHIKL" + "X" * n for n in (30, 30, 32)]  # don't pass with themselves
+    large = "ACDEFGHIKL" * 401  # too long to be aligned with itself
+    seqs += [("u", s) for s in unknown] + [("l", large)] * 3 + [("m", large[:3900])] * 2 + r.sample(seqs, 20)
+    r.shuffle(seqs)
+    df = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(seqs)], "seq_id long, name string, seq string")
+    o = ClusterOptions(level=level, k=4, min_identity=0.8, cov_mode=mode)
+    got = rows(cluster.cluster(df, o))
+    monkeypatch.setattr(candidates, "CLIQUE", len(seqs))
+    monkeypatch.setattr(candidates, "LARGEST", len(seqs))
+    assert got == sequential(seqs, o)[0]
+
+
 def test_small_fixture(spark):
     df = frame(spark, CLUSTERS)
     want = [(0, 0, 0), (0, 0, 1), (0, 0, 2), (1, 3, 3), (1, 3, 4)]

@@ -230,3 +230,18 @@ def test_mismatches_of_many_pairs():
 def test_alignments_that_would_overflow_are_refused():
     with pytest.raises(OverflowError):
         K.align_full(b"A" * (1 << 20), b"A", K.PROTEIN)
+
+
+def test_sketches_never_count_more_mismatches():
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        size = r.integers(1, 140, 12)
+        data = r.integers(65, 91, size.sum()).astype(np.uint8)
+        offs = np.concatenate([[0], np.cumsum(size)])
+        words, at = K.sketches(data, offs)
+        a, b = (x.ravel() for x in np.meshgrid(np.arange(12), np.arange(12)))
+        classes = [K._FOUR[data[offs[i]: offs[i + 1]]] for i in range(12)]
+        want = [int((classes[i][: min(size[i], size[j])] != classes[j][: min(size[i], size[j])]).sum()) for i, j in zip(a, b)]
+        got = K.least_mismatches(words, at, size, a, b)
+        assert got.tolist() == want
+        assert all(n <= K.mismatches(data[offs[i]: offs[i + 1]].tobytes(), data[offs[j]: offs[j + 1]].tobytes()) for n, i, j in zip(got, a, b))
