@@ -125,7 +125,7 @@ def test_star_groups_and_masked_groups(spark, monkeypatch):
     assert rows(cluster.cluster(df, o)) == sequential(seqs, o)[0]
 
 
-@pytest.mark.parametrize("level", ["medium", "sensitive"])
+@pytest.mark.parametrize("level", ["medium", "sensitive", "ultra"])
 def test_large_groups_are_whole(spark, monkeypatch, level):
     """A group over 64 linked its longest member alone, and one over 1024 nothing."""
     r = random.Random(level)
@@ -150,7 +150,7 @@ def test_large_groups_are_whole(spark, monkeypatch, level):
     assert got == sequential(seqs, o)[0]
 
 
-@pytest.mark.parametrize("level, mode", [("medium", 0), ("sensitive", 1), ("sensitive", 3)])
+@pytest.mark.parametrize("level, mode", [("medium", 0), ("sensitive", 1), ("ultra", 2), ("sensitive", 3)])
 def test_few_partners_at_a_time(spark, monkeypatch, level, mode):
     """Partners in small lists and groups in many blocks give what the loop does, with copies of all kinds."""
     monkeypatch.setattr(cluster, "FEW", 1)
